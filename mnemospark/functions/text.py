@@ -33,9 +33,15 @@ def tokens(c: Column) -> Column:
 
 
 def shared_tokens(a: Column, b: Column) -> Column:
-    """How many tokens of ``b``, repeats counted, occur in ``a``."""
-    common = F.array_intersect(a, b)
-    return F.size(F.filter(b, lambda t: F.array_contains(common, t)))
+    """How many tokens of ``b``, repeats counted, occur in ``a``.
+
+    The one-element transform binds the intersection to a lambda variable; an
+    outer expression inside a lambda would be evaluated again per element.
+    """
+    def count(common: Column) -> Column:
+        return F.size(F.filter(b, lambda t: F.array_contains(common, t)))
+
+    return F.element_at(F.transform(F.array(F.array_intersect(a, b)), count), 1)
 
 
 def token_overlap(a: Column, b: Column) -> Column:
@@ -44,15 +50,17 @@ def token_overlap(a: Column, b: Column) -> Column:
     Three distinct shared tokens decide by themselves, so the counting branch
     only ever probes a list of at most two.
     """
-    smaller = F.least(F.size(a), F.size(b))
-    matches = shared_tokens(a, b)
     return (
-        F.when(smaller <= 0, F.lit(False))
+        F.when(F.least(F.size(a), F.size(b)) <= 0, F.lit(False))
         .when(F.size(F.array_intersect(a, b)) >= 3, F.lit(True))
-        .otherwise((matches >= 3) | (matches * 10 > smaller * 3))
+        .otherwise(enough_tokens(shared_tokens(a, b), F.size(a), F.size(b)))
     )
 
 
+def enough_tokens(matches: Column, size_a: Column, size_b: Column) -> Column:
+    return (matches >= 3) | (matches * 10 > F.least(size_a, size_b) * 3)
+
+
 def token_jaccard(a: Column, b: Column) -> Column:
     """Shared tokens counted over ``a`` divided by the multiset union."""
     inter = shared_tokens(b, a)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemospark import fixed_values as V
 from mnemospark.functions import text as T, weights as W
-from mnemospark.operators.ranking import ordinal, top_per_key
+from mnemospark.operators.ranking import ordinal, pinned, spread_ids, top_per_key
 
 
 def rule_conflicts(rules: DataFrame, per_type: int = V.RULES_PER_TYPE, group: tuple[str, ...] = ("project_id",)
@@ -127,18 +127,21 @@ def covered_pairs(pairs: DataFrame) -> DataFrame:
     cheap = pairs.filter(
         ~F.col("new_id").eqNullSafe(F.col("old_id")) & F.col("old_obsoleted_at").isNull() & same_entity
         & (F.col("new_occurred_at") > F.col("old_occurred_at")))
-    scored = cheap.withColumns({
-        "_ng": T.char_bigrams(F.col("new_summary")), "_og": T.char_bigrams(F.col("old_summary")),
-        "polarity_new": T.polarity(F.col("new_summary")), "polarity_old": T.polarity(F.col("old_summary")),
-    }).withColumns({"_shared": T.shared_bigrams(F.col("_ng"), F.col("_og")), "_total": F.size("_ng") + F.size("_og")})
+    def measured(g: Column) -> Column:
+        return F.struct(T.shared_bigrams(g["n"], g["o"]).alias("_shared"),
+                        (F.size(g["n"]) + F.size(g["o"])).alias("_total"))
+
+    grams = F.struct(T.char_bigrams(F.col("new_summary")).alias("n"), T.char_bigrams(F.col("old_summary")).alias("o"))
+    subject = cheap.select("*", F.inline(F.transform(F.array(grams), measured))).filter(
+        (F.col("_shared") > 0) & (8 * F.col("_shared") >= F.col("_total")))
+    scored = pinned(subject, polarity_new=T.polarity(F.col("new_summary")), polarity_old=T.polarity(F.col("old_summary")))
     flip = (F.col("polarity_new") != "neutral") & (F.col("polarity_old") != "neutral") & (
         F.col("polarity_new") != F.col("polarity_old"))
     restated = (20 * F.col("_shared") >= 9 * F.col("_total")) | F.col("new_summary").contains(
         F.col("old_summary")) | F.col("old_summary").contains(F.col("new_summary"))
     return (
         scored.withColumns({"polarity_flip": flip, "similarity": F.round(2.0 * F.col("_shared") / F.col("_total"), 9)})
-        .filter((F.col("_shared") > 0) & (8 * F.col("_shared") >= F.col("_total")) & (~restated | flip))
-        .drop("_ng", "_og", "_shared", "_total")
+        .filter(flip | ~restated).drop("_shared", "_total")
     )
 
 
@@ -151,7 +154,7 @@ def update_pairs(new: DataFrame, old: DataFrame, candidates: DataFrame) -> DataF
                    F.col("entity_group").alias("old_entity"),
                    F.coalesce("occurred_at", "created_at").alias("old_occurred_at"),
                    F.col("obsoleted_at").alias("old_obsoleted_at"))
-    return candidates.select("new_id", "old_id").join(n, "new_id").join(o, "old_id")
+    return spread_ids(candidates.select("new_id", "old_id"), "new_id").join(n, "new_id").join(o, "old_id")
 
 
 def explicit_updates(carriers: DataFrame, memories: DataFrame, peers: int = V.UPDATE_PEERS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemospark import fixed_values as V
 from mnemospark.functions import text as T, weights as W
-from mnemospark.operators.ranking import apply_clamped, clamped_sum, nearest_neighbours, top_per_key
+from mnemospark.operators.ranking import apply_clamped, clamped_sum, nearest_neighbours, pinned, top_per_key
 from mnemospark.operators.retrieve import pitfall_priority
 
 
@@ -60,8 +60,8 @@ def recall(questions: DataFrame, pitfalls: DataFrame, k: int = V.PITFALL_TOP, po
     q = questions.select("question_id", "project_id", T.char_bigrams(F.col("query"), True).alias("_qb"),
                          T.entity_references(F.col("query")).alias("_refs"))
     named = F.size(F.filter("_refs", lambda r: F.contains(F.lower(F.col("entity_id")), r)))
-    scored = q.join(usable, "project_id").withColumn(
-        "score", F.round(T.dice(F.col("_qb"), F.col("_pb")) + 0.3 * named, 9)).filter("score > 0")
+    scored = pinned(q.join(usable, "project_id"),
+                    score=F.round(T.dice(F.col("_qb"), F.col("_pb")) + 0.3 * named, 9)).filter("score > 0")
     best = top_per_key(scored, ["question_id"], [F.desc("score"), F.asc("id")], k)
     return best.select("question_id", "id", "score", "rank")
 

@@ -29,6 +29,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns that are computed exactly once per row.
+
+    A filter on a plain column is pushed below it with the expression copied in;
+    a generator stops that.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def spread_ids(df: DataFrame, key: str) -> DataFrame:
+    """Fan slim id rows out before texts are joined to them; a fixed partition count
+    is not coalesced again for being small in bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
                 rank: str = "rank") -> DataFrame:
     """First ``k`` rows per key. Spark trims to k per task before the shuffle."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mnemospark import fixed_values as V
 from mnemospark.functions import text as T, vectors as X, weights as W
-from mnemospark.operators.ranking import nearest_neighbours, top_per_key
+from mnemospark.operators.ranking import nearest_neighbours, pinned, top_per_key
 
 
 def structured_filter(
@@ -149,10 +149,10 @@ def _pairs(questions: DataFrame, memories: DataFrame, on: tuple[str, ...] = ("pr
         pairs = pairs.filter(F.col("occurred_before").isNull() | (F.col("occurred_at") <= F.col("occurred_before")))
     same = F.size("query_vector") == F.size("context_vector")
     sem = F.when(same, X.cosine(F.col("query_vector"), F.col("context_vector"), F.col("_qn"), F.col("_mn")))
-    lex = T.dice(F.col("_qb"), F.col("_mb"))
-    return pairs.select(
+    lex = F.nullif(F.round(T.dice(F.col("_qb"), F.col("_mb")), 9), F.lit(0.0))
+    return pinned(pairs, sem=F.round(sem, 9), lex=lex).select(
         "question_id", "id", "weight", F.coalesce("surprise_score", F.lit(0.0)).alias("surprise_score"),
-        "occurred_at", F.round(sem, 9).alias("sem"), F.when(lex > 0, F.round(lex, 9)).alias("lex"))
+        "occurred_at", "sem", "lex")
 
 
 def fusion_depth(k: int, rrf_k: int, boost: float) -> int:
@@ -261,11 +261,26 @@ def lexical_topk(questions: DataFrame, memories: DataFrame, k: int = V.EPISODE_T
     if "occurred_after" in questions.columns:
         pairs = pairs.filter((F.col("occurred_after").isNull() | (F.col("occurred_at") >= F.col("occurred_after")))
                              & (F.col("occurred_before").isNull() | (F.col("occurred_at") <= F.col("occurred_before"))))
-    scored = pairs.withColumn("score", F.round(T.dice(F.col("_qb"), F.col("_mb")), 9)).filter("score > 0")
+    scored = pinned(pairs, score=F.round(T.dice(F.col("_qb"), F.col("_mb")), 9)).filter("score > 0")
     best = top_per_key(scored, ["question_id"], [F.desc("score"), F.asc("id")], k)
     return best.select("question_id", "id", "score", "rank", "occurred_at")
 
 
+def token_matches(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """(left_id, right_id) whose texts share enough tokens, found through the tokens.
+
+    Both sides have id, text and ``on``. Sharing one token is necessary, so the
+    join runs on the token and pairs without any never meet; matches add up in
+    the map-side part of the aggregation.
+    """
+    lt = left.select(F.col("id").alias("left_id"), *on, T.tokens(F.col("text")).alias("_t")).select(
+        "left_id", *on, F.size("_t").alias("_ls"), F.explode(F.array_distinct("_t")).alias("token"))
+    rt = right.select(F.col("id").alias("right_id"), *on, T.tokens(F.col("text")).alias("_t")).select(
+        "right_id", *on, F.size("_t").alias("_rs"), F.explode("_t").alias("token"))
+    shared = rt.join(lt, [*on, "token"]).groupBy("left_id", "right_id", "_ls", "_rs").agg(F.count("*").alias("_m"))
+    return shared.filter(T.enough_tokens(F.col("_m"), F.col("_ls"), F.col("_rs"))).select("left_id", "right_id")
+
+
 def mixed_search(questions: DataFrame, memories: DataFrame, rules: DataFrame, pitfalls: DataFrame, k: int,
                  hard_language: bool = False) -> DataFrame:
     """Gated episodes (relevance = weight), overlapping rules (0.5), entity pitfalls (0.6).
@@ -282,11 +297,12 @@ def mixed_search(questions: DataFrame, memories: DataFrame, rules: DataFrame, pi
         gated = gated.filter((F.col("context_language") == "") | (F.col("context_language") == F.col("language")))
     episodes = gated.select(
         "question_id", F.lit("episodic").alias("kind"), "id", F.col("weight").alias("relevance"))
-    q = questions.select("question_id", "project_id", T.tokens(F.col("query")).alias("_qt"))
-    r = rules.filter(F.col("obsoleted_at").isNull()).select(
-        F.col("id"), "project_id", T.tokens(F.col("content")).alias("_rt"))
-    semantic = q.join(r, "project_id").filter(T.token_overlap(F.col("_qt"), F.col("_rt"))).select(
-        "question_id", F.lit("semantic").alias("kind"), "id", F.lit(0.5).alias("relevance"))
+    semantic = token_matches(
+        questions.select(F.col("question_id").alias("id"), "project_id", F.col("query").alias("text")),
+        rules.filter(F.col("obsoleted_at").isNull()).select("id", "project_id", F.col("content").alias("text")),
+        on=("project_id",),
+    ).select(F.col("left_id").alias("question_id"), F.lit("semantic").alias("kind"), F.col("right_id").alias("id"),
+             F.lit(0.5).alias("relevance"))
     anchored = questions.filter("entity_id <> ''").select("question_id", "project_id", "entity_id").join(
         pitfalls.filter(F.col("obsoleted_at").isNull()), ["project_id", "entity_id"])
     top_pitfalls = top_per_key(anchored, ["question_id"], pitfall_priority(), V.PITFALL_TOP).select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemospark import fixed_values as V
 from mnemospark.functions import text as T, vectors as X, weights as W
-from mnemospark.operators.ranking import apply_clamped, clamped_sum, nearest_neighbours, top_per_key
+from mnemospark.operators.ranking import apply_clamped, clamped_sum, nearest_neighbours, pinned, top_per_key
 
 
 def similar_memories(events: DataFrame, memories: DataFrame, k: int = V.NEIGHBOUR_K) -> DataFrame:
@@ -94,7 +94,7 @@ def related_links(new: DataFrame, memories: DataFrame, candidates: int = V.LINK_
     floor = F.when(F.coalesce(signal, F.lit(False)), F.lit(V.SAME_INFORMATION_COSINE)).otherwise(
         F.lit(V.TOKEN_LINK_JACCARD))
     pairs = source.join(pool, "project_id").filter(F.col("from_id") != F.col("to_id"))
-    scored = pairs.withColumn("strength", strength).withColumn("_floor", floor)
+    scored = pinned(pairs, strength=strength, _floor=floor)
     return scored.filter(F.col("strength") >= F.col("_floor")).select(
         "from_id", "to_id", F.lit("RELATES_TO").alias("edge_type"), "strength")
 
