@@ -69,25 +69,26 @@ def token_jaccard(a: Column, b: Column) -> Column:
     )
 
 
-def char_bigram_list(c: Column) -> Column:
-    """Adjacent code-point pairs in order; a single character stands for itself.
+def char_bigrams(c: Column, fold_case: bool = False) -> Column:
+    """Set of character bigrams as numbers (first code point * 2**21 + second), which
+    hash and shuffle cheaper than strings. Case is kept unless ``fold_case``: retrieval
+    folds, conflict, update and cluster comparisons do not.
 
     ``split`` on the empty pattern walks the text once, where ``substring`` per
     position would rescan it from the start each time.
     """
-    chars = F.split(c, "")
-    n = F.length(c)
-    return (
-        F.when(n == 0, F.array().cast("array<string>"))
-        .when(n == 1, F.array(c))
-        .otherwise(F.zip_with(F.slice(chars, 1, n - 1), F.slice(chars, 2, n - 1), lambda x, y: F.concat(x, y)))
-    )
+    text = F.lower(c) if fold_case else c
+    n = F.length(text)
 
+    def pairs(codes: Column) -> Column:
+        left, right = F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1)
+        return F.zip_with(left, right, lambda x, y: x * F.lit(2097152).cast("bigint") + y)
 
-def char_bigrams(c: Column, fold_case: bool = False) -> Column:
-    """Set of character bigrams. Case is kept unless ``fold_case``: retrieval folds,
-    conflict, update and cluster comparisons do not."""
-    return F.array_distinct(char_bigram_list(F.lower(c) if fold_case else c))
+    codes = F.transform(F.split(text, ""), lambda x: F.ascii(x).cast("bigint"))
+    return (
+        F.when(n == 0, F.array().cast("array<bigint>")).when(n == 1, codes)
+        .otherwise(F.array_distinct(F.element_at(F.transform(F.array(codes), pairs), 1)))
+    )
 
 
 def shared_bigrams(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemospark import fixed_values as V
 from mnemospark.functions import text as T, vectors as X
-from mnemospark.operators.ranking import top_per_key
+from mnemospark.operators.ranking import pinned, top_per_key
 
 
 # --- rules --------------------------------------------------------------------
@@ -42,10 +42,10 @@ def backtest(rules: DataFrame, scan: DataFrame, embed: Callable[[Column], Column
     ``embed`` turns a text column into vectors; members that carry a
     context_vector keep it.
     """
-    ruled = rules.select("project_id", "task_type", embed(F.col("content")).alias("_rv"))
+    ruled = pinned(rules.select("project_id", "task_type", "content"), _rv=embed(F.col("content"))).drop("content")
     stored = F.col("context_vector") if "context_vector" in scan.columns else F.lit(None).cast("array<float>")
     members = scan.select("project_id", "task_type", "summary", stored.alias("_stored"))
-    members = members.withColumn("_kv", embed(F.col("summary"))).select(
+    members = pinned(members, _kv=embed(F.col("summary"))).select(
         "project_id", "task_type", F.when(X.has_magnitude(F.col("_stored")), F.col("_stored")).otherwise(
             F.col("_kv")).alias("_mv"))
     signal = X.has_magnitude(F.col("_rv")) & X.has_magnitude(F.col("_mv"))

@@ -181,12 +181,13 @@ def rrf_topk(questions: DataFrame, memories: DataFrame, k: int = V.EPISODE_TOP,
     tie = [F.desc("weight"), F.asc("id")]
     columns = ["question_id", "id", "weight", "surprise_score", "occurred_at", "sem", "lex"]
 
-    def head(channel: str) -> DataFrame:
-        mine = pairs.filter(F.col(channel).isNotNull())
-        return top_per_key(mine, ["question_id"], [F.desc(channel), *tie], depth, f"{channel}_rank")
-
-    heads = head("sem").unionByName(head("lex"), allowMissingColumns=True)
-    candidates = heads.groupBy(*columns).agg(F.max("sem_rank").alias("sem_rank"), F.max("lex_rank").alias("lex_rank"))
+    channels = F.filter(F.array(
+        F.struct(F.lit("sem").alias("channel"), F.col("sem").alias("value")),
+        F.struct(F.lit("lex").alias("channel"), F.col("lex").alias("value"))), lambda c: c["value"].isNotNull())
+    both = pairs.select(*columns, F.inline(channels))
+    heads = top_per_key(both, ["question_id", "channel"], [F.desc("value"), *tie], depth)
+    candidates = heads.groupBy(*columns).agg(
+        *[F.max(F.when(F.col("channel") == c, F.col("rank"))).alias(f"{c}_rank") for c in ("sem", "lex")])
 
     # Best-first thresholds of the candidates whose rank in a channel is still open.
     def open_keys(channel: str) -> Column:

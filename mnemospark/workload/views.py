@@ -18,11 +18,16 @@ class Views:
     """Lazy views over one scale-factor directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._read = spark, sf_dir, {}
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
         """A driver table; its zone-less times are UTC."""
+        if name not in self._read:
+            self._read[name] = self._load(name)
+        return self._read[name]
+
+    def _load(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         cores = self.spark.sparkContext.defaultParallelism
         if name in _TEXTS and len(df.inputFiles()) < cores:
