@@ -74,12 +74,12 @@ def entry_source(v):
 
 
 @case("configured_source", f"""
-SELECT '/c/' || doc_id || '.txt' AS source_uri, lang AS project_id, sha256({O.trim_space('text')}) AS content_hash, source AS team FROM documents WHERE NOT regexp_matches(doc_id::VARCHAR, '9$')""")
+SELECT '/c/' || source || '-' || doc_id || '.txt' AS source_uri, lang AS project_id, sha256({O.trim_space('text')}) AS content_hash, source AS team FROM documents WHERE source <> 'src3'""")
 def configured_source(v):
     d = F.col("doc_id").cast("string")
     text = F.concat(F.lit("---\nproj: "), "lang", F.lit("\nteam: "), "source", F.lit("\n---\n"), "text")
-    config = {"name": "mine", "format": "yaml_frontmatter", "exclude": ["*9.txt"], "project_id": "proj", "metadata": {"team": "team"}}
-    raw = S.configured(_files(v.table("documents"), F.concat(F.lit("/c/"), d, F.lit(".txt")), text), config)
+    config = {"name": "mine", "format": "yaml_frontmatter", "exclude": ["src3-*"], "project_id": "proj", "metadata": {"team": "team"}}
+    raw = S.configured(_files(v.table("documents"), F.concat(F.lit("/c/"), "source", F.lit("-"), d, F.lit(".txt")), text), config)
     return raw.select("source_uri", "project_id", "content_hash", F.col("metadata")["team"].alias("team"))
 
 
