@@ -12,7 +12,7 @@ from mnemospark import fixed_values as V
 
 
 def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))  # no-op casts vanish
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
@@ -20,6 +20,15 @@ def l2_norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
+def unit(a: Column) -> Column:
+    """The vector in double at length 1 (a zero vector stays zero), so that cosine is
+    one dot product per pair."""
+    def scale(norm: Column) -> Column:
+        return F.transform(a, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+
+    return F.element_at(F.transform(F.array(l2_norm(a)), scale), 1)
+
+
 def has_magnitude(a: Column) -> Column:
     return a.isNotNull() & F.exists(a, lambda x: x != 0)
 

@@ -165,7 +165,7 @@ def representatives(clusters: DataFrame, keys: tuple[str, ...] = ("project_id",
 
     ``clusters`` has keys, id, member, summary; a cluster is bounded by the entity cap.
     """
-    rows = clusters.select(*keys, "id", "member", "summary", T.char_bigrams(F.col("summary")).alias("_g"))
+    rows = pinned(clusters.select(*keys, "id", "member", "summary"), _g=T.char_bigrams(F.col("summary")))
     other = rows.select(*keys, F.col("id").alias("_oid"), F.col("_g").alias("_og"))
     # In whole millionths, so equal means stay equal whatever the summation order.
     pair = F.when(F.col("id") == F.col("_oid"), F.lit(None)).otherwise(

@@ -22,9 +22,9 @@ def rule_conflicts(rules: DataFrame, per_type: int = V.RULES_PER_TYPE, group: tu
     keys = [*group, "type"]
     active = rules.filter(F.col("obsoleted_at").isNull())
     capped = top_per_key(active, keys, [F.desc("weight"), F.asc("id")], per_type, "_r")
-    sided = capped.select(*keys, "id", "_r", "trust_level", "content", "entity_group",
-                          T.polarity(F.col("content")).alias("polarity"))
-    directive = sided.filter(F.col("polarity") != "neutral").withColumn("_g", T.char_bigrams(F.col("content")))
+    sided = pinned(capped.select(*keys, "id", "_r", "trust_level", "content", "entity_group"),
+                   polarity=T.polarity(F.col("content")))
+    directive = pinned(sided.filter(F.col("polarity") != "neutral"), _g=T.char_bigrams(F.col("content")))
 
     def side(polarity: str, tag: str) -> DataFrame:
         rest = [c for c in directive.columns if c not in keys]

@@ -55,10 +55,10 @@ def recall(questions: DataFrame, pitfalls: DataFrame, k: int = V.PITFALL_TOP, po
     """
     active = pitfalls.filter(F.col("obsoleted_at").isNull() & (F.col("weight") >= 0.5))
     heavy = top_per_key(active, ["project_id"], [F.desc("weight"), F.asc("id")], pool, "_pool")
-    usable = heavy.filter(W.injectable(F.col("status"), F.col("occurrence_count"), F.col("weight"))).select(
-        "id", "project_id", "entity_id", T.char_bigrams(F.col("signature"), True).alias("_pb"))
-    q = questions.select("question_id", "project_id", T.char_bigrams(F.col("query"), True).alias("_qb"),
-                         T.entity_references(F.col("query")).alias("_refs"))
+    usable = heavy.filter(W.injectable(F.col("status"), F.col("occurrence_count"), F.col("weight")))
+    usable = pinned(usable, _pb=T.char_bigrams(F.col("signature"), True)).select("id", "project_id", "entity_id", "_pb")
+    q = pinned(questions, _qb=T.char_bigrams(F.col("query"), True), _refs=T.entity_references(F.col("query"))).select(
+        "question_id", "project_id", "_qb", "_refs")
     named = F.size(F.filter("_refs", lambda r: F.contains(F.lower(F.col("entity_id")), r)))
     scored = pinned(q.join(usable, "project_id"),
                     score=F.round(T.dice(F.col("_qb"), F.col("_pb")) + 0.3 * named, 9)).filter("score > 0")

@@ -32,8 +32,8 @@ def durable(df: DataFrame) -> DataFrame:
 def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     """Add costly columns that are computed exactly once per row.
 
-    A filter on a plain column is pushed below it with the expression copied in;
-    a generator stops that.
+    A plain column is copied into filters that get pushed below it, and generated
+    code of a broadcast join evaluates it once per match; a generator stops both.
     """
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 

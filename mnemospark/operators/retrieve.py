@@ -131,24 +131,23 @@ def gate_stats(questions: DataFrame, memories: DataFrame, cap: int = V.GATED_CAN
 def _pairs(questions: DataFrame, memories: DataFrame, on: tuple[str, ...] = ("project_id",)) -> DataFrame:
     """Slim scored pairs: ids, tie-break columns and both channel scores.
 
-    Norms and bigram sets are per-row columns, computed below the join. ``sem``
+    Unit vectors and bigram sets are per-row columns, computed below the join. ``sem``
     is NULL for a missing or mismatched vector, ``lex`` for no shared bigram.
     """
-    q = questions.select(
-        "question_id", *on, "query_vector", X.l2_norm(F.col("query_vector")).alias("_qn"),
-        T.char_bigrams(F.col("query"), fold_case=True).alias("_qb"),
-        *[c for c in ("occurred_after", "occurred_before") if c in questions.columns])
-    m = memories.filter(F.col("obsoleted_at").isNull()).select(
-        "id", *on, "weight", "surprise_score", "occurred_at", "context_vector",
-        X.l2_norm(F.col("context_vector")).alias("_mn"),
-        T.char_bigrams(F.col("summary"), fold_case=True).alias("_mb"))
+    windows = [c for c in ("occurred_after", "occurred_before") if c in questions.columns]
+    q = pinned(questions.select("question_id", *on, "query", "query_vector", *windows),
+               _qv=X.unit(F.col("query_vector")), _qb=T.char_bigrams(F.col("query"), fold_case=True),
+               ).drop("query", "query_vector")
+    active = memories.filter(F.col("obsoleted_at").isNull())
+    m = pinned(active.select("id", *on, "weight", "surprise_score", "occurred_at", "summary", "context_vector"),
+               _mv=X.unit(F.col("context_vector")), _mb=T.char_bigrams(F.col("summary"), fold_case=True),
+               ).drop("summary", "context_vector")
     pairs = q.join(m, list(on)) if on else q.crossJoin(m)
     if "occurred_after" in questions.columns:
         pairs = pairs.filter(F.col("occurred_after").isNull() | (F.col("occurred_at") >= F.col("occurred_after")))
     if "occurred_before" in questions.columns:
         pairs = pairs.filter(F.col("occurred_before").isNull() | (F.col("occurred_at") <= F.col("occurred_before")))
-    same = F.size("query_vector") == F.size("context_vector")
-    sem = F.when(same, X.cosine(F.col("query_vector"), F.col("context_vector"), F.col("_qn"), F.col("_mn")))
+    sem = F.when(F.size("_qv") == F.size("_mv"), X.dot(F.col("_qv"), F.col("_mv")))
     lex = F.nullif(F.round(T.dice(F.col("_qb"), F.col("_mb")), 9), F.lit(0.0))
     return pinned(pairs, sem=F.round(sem, 9), lex=lex).select(
         "question_id", "id", "weight", F.coalesce("surprise_score", F.lit(0.0)).alias("surprise_score"),
@@ -255,11 +254,11 @@ def lexical_topk(questions: DataFrame, memories: DataFrame, k: int = V.EPISODE_T
     active = memories.filter(F.col("obsoleted_at").isNull())
     if pool is not None:
         active = top_per_key(active, ["project_id"], [F.desc("created_at"), F.asc("id")], pool, "_recent")
-    m = active.select("id", "project_id", "occurred_at", T.char_bigrams(F.col("summary"), True).alias("_mb"))
-    q = questions.select("question_id", "project_id", T.char_bigrams(F.col("query"), True).alias("_qb"),
-                         *[c for c in ("occurred_after", "occurred_before") if c in questions.columns])
+    m = pinned(active, _mb=T.char_bigrams(F.col("summary"), True)).select("id", "project_id", "occurred_at", "_mb")
+    windows = [c for c in ("occurred_after", "occurred_before") if c in questions.columns]
+    q = pinned(questions, _qb=T.char_bigrams(F.col("query"), True)).select("question_id", "project_id", "_qb", *windows)
     pairs = q.join(m, "project_id")
-    if "occurred_after" in questions.columns:
+    if windows:
         pairs = pairs.filter((F.col("occurred_after").isNull() | (F.col("occurred_at") >= F.col("occurred_after")))
                              & (F.col("occurred_before").isNull() | (F.col("occurred_at") <= F.col("occurred_before"))))
     scored = pinned(pairs, score=F.round(T.dice(F.col("_qb"), F.col("_mb")), 9)).filter("score > 0")

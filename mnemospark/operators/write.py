@@ -83,11 +83,11 @@ def related_links(new: DataFrame, memories: DataFrame, candidates: int = V.LINK_
     """RELATES_TO edges to the heaviest memories of the project: cosine where both
     sides carry a vector, token overlap otherwise."""
     pool = top_per_key(memories.filter(F.col("obsoleted_at").isNull()), ["project_id"],
-                       [F.desc("weight"), F.asc("id")], candidates, "_top").select(
-        F.col("id").alias("to_id"), "project_id", F.col("context_vector").alias("_tv"),
-        T.tokens(F.col("summary")).alias("_tt"))
-    source = new.select(F.col("id").alias("from_id"), "project_id", F.col("context_vector").alias("_fv"),
-                        T.tokens(F.col("summary")).alias("_ft"))
+                       [F.desc("weight"), F.asc("id")], candidates, "_top")
+    pool = pinned(pool, _tt=T.tokens(F.col("summary"))).select(
+        F.col("id").alias("to_id"), "project_id", F.col("context_vector").alias("_tv"), "_tt")
+    source = pinned(new, _ft=T.tokens(F.col("summary"))).select(
+        F.col("id").alias("from_id"), "project_id", F.col("context_vector").alias("_fv"), "_ft")
     signal = X.has_magnitude(F.col("_fv")) & X.has_magnitude(F.col("_tv")) & (F.size("_fv") == F.size("_tv"))
     strength = F.when(F.coalesce(signal, F.lit(False)), F.round(X.cosine(F.col("_fv"), F.col("_tv")), 9)).otherwise(
         T.token_jaccard(F.col("_ft"), F.col("_tt")))
