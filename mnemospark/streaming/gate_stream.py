@@ -34,7 +34,10 @@ class GateProcessor(StatefulProcessor):
                 ring = Ring()
             reasons.append(ring.decide(row.alone, Ring.item(row.tokens, row.vector), self._min_cycles, self._cosine))
         tokens, vectors = ring.rows()
-        self._ring.put(list(zip(tokens, vectors)))
+        if tokens:
+            self._ring.put(list(zip(tokens, vectors)))
+        else:  # a list state cannot hold an empty list
+            self._ring.clear()
         yield pd.DataFrame({"project_id": key[0], "event_id": batch["event_id"], "seq": batch["seq"],
                             "gate_reason": reasons})
 
