@@ -55,7 +55,7 @@ SELECT k AS id, 'func:f' || (k % 20) || '.py' AS entity_id, 'FUNCTION' AS entity
  e.embedding::DOUBLE[] AS signature_embedding,
  CASE k % 6 WHEN 0 THEN 'CONCURRENCY' WHEN 1 THEN 'RESOURCE_EXHAUSTION' WHEN 2 THEN 'CONFIG' WHEN 3 THEN 'CONTRACT_VIOLATION' WHEN 4 THEN 'LOGIC_ERROR' ELSE 'UNKNOWN' END AS root_cause_category,
  'raise limit ' || (k % 7) AS fix_strategy, k % 3 = 0 AS was_user_corrected, n AS occurrence_count, last AS last_occurred_at,
- 1 + k % 5 AS trust_level, least(1.0::DOUBLE, top / 400) AS weight, first AS created_at,
+ 1 + k % 5 AS trust_level, least(1.0::DOUBLE, top / 150) AS weight, first AS created_at,
  CASE WHEN k % 13 = 0 THEN last END AS obsoleted_at, [e1, e2, -1] AS source_episodic_ids,
  CASE k % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'proposed' WHEN 2 THEN 'suppressed' ELSE '' END AS status,
  n AS times_shown, low AS times_suppressed, 0 AS times_adopted, k % 4 AS protection_level

@@ -145,7 +145,7 @@ class Views:
             F.concat(F.lit("raise limit "), k % 7).alias("fix_strategy"), (k % 3 == 0).alias("was_user_corrected"),
             F.col("n").cast("int").alias("occurrence_count"), F.col("last").alias("last_occurred_at"),
             F.lit("INFERRED").alias("source_type"), (1 + k % 5).cast("int").alias("trust_level"),
-            F.least(F.lit(1.0), F.col("top") / 400).alias("weight"), F.col("first").alias("created_at"),
+            F.least(F.lit(1.0), F.col("top") / 150).alias("weight"), F.col("first").alias("created_at"),
             F.col("last").alias("updated_at"), F.when(k % 13 == 0, F.col("last")).otherwise(none).alias("obsoleted_at"),
             F.array("e1", "e2", F.lit(-1).cast("bigint")).alias("source_episodic_ids"),
             F.when(k % 4 == 0, "confirmed").when(k % 4 == 1, "proposed").when(k % 4 == 2, "suppressed").otherwise("")
