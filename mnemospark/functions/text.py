@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from mnemospark import fixed_values as V
@@ -70,25 +72,25 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 
 def char_bigrams(c: Column, fold_case: bool = False) -> Column:
-    """Set of character bigrams as numbers (first code point * 2**21 + second), which
-    hash and shuffle cheaper than strings. Case is kept unless ``fold_case``: retrieval
-    folds, conflict, update and cluster comparisons do not.
+    """Set of character bigrams as numbers (first code point * 2**21 + second); a single
+    character stands for itself. Case is kept unless ``fold_case``: retrieval folds,
+    conflict, update and cluster comparisons do not.
 
-    ``split`` on the empty pattern walks the text once, where ``substring`` per
-    position would rescan it from the start each time.
+    Done in numpy on Arrow batches: one JVM string per character made this the
+    dominant cost of every text comparison.
     """
-    text = F.lower(c) if fold_case else c
-    n = F.length(text)
 
-    def pairs(codes: Column) -> Column:
-        left, right = F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1)
-        return F.zip_with(left, right, lambda x, y: x * F.lit(2097152).cast("bigint") + y)
+    @F.pandas_udf("array<bigint>")
+    def codes(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> np.ndarray | None:
+            if text is None:
+                return None
+            points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+            return np.unique(points[:-1] * 2097152 + points[1:]) if len(points) > 1 else points
 
-    codes = F.transform(F.split(text, ""), lambda x: F.ascii(x).cast("bigint"))
-    return (
-        F.when(n == 0, F.array().cast("array<bigint>")).when(n == 1, codes)
-        .otherwise(F.array_distinct(F.element_at(F.transform(F.array(codes), pairs), 1)))
-    )
+        return texts.map(one)
+
+    return codes(F.lower(c) if fold_case else c)
 
 
 def shared_bigrams(a: Column, b: Column) -> Column:
