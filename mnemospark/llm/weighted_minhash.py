@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +16,10 @@ SHINGLE = 5
 #: Word document frequencies are counted in this many buckets: a fixed bound of what the driver sees.
 DF_BITS = 18
 #: A shingle key in 64 bits: text number in its block, shingle hash, quantised idf.
-_HASH_BITS, _IDF_BITS, _IDF_STEP = 44, 8, 12.0
+_HASH_BITS, _IDF_BITS, _IDF_STEP = 44, 8, 50.0
 _BANDS, _ROWS = 16, 4
+#: Buckets of more nodes than this are compared block against block, of at most about so many nodes and so much weight.
+_PAIRWISE, _BLOCK_DOCS, _BLOCK_MASS = 16, 384, 4e6
 
 
 def _key_parts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,6 +59,11 @@ def shingle_keys(texts: Texts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 _FACTOR = 0xD6E8FEB86659FD93
 
 
+def _tf(count: np.ndarray) -> np.ndarray:
+    """Sublinear term frequency."""
+    return 1 + np.log(np.maximum(count, 1))
+
+
 class Sampler:
     """Consistent weighted samples with gamma and uniform variates read from seeded tables by shingle hash."""
 
@@ -72,7 +80,7 @@ class Sampler:
     def sample(self, key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Text numbers that have shingles, and a row of samples for each of them."""
         owner, shingle, level = _key_parts(key)
-        log_w = np.log(count.astype(np.float32)) + np.log(level.astype(np.float32) / np.float32(_IDF_STEP))
+        log_w = np.log(_tf(count).astype(np.float32)) + np.log(level.astype(np.float32) / np.float32(_IDF_STEP))
         begins = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
         sizes = np.diff(np.concatenate((begins, [len(owner)])))
         shingle = mix(shingle)
@@ -91,7 +99,11 @@ class Sampler:
 
 
 def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """idf of every bucket of word hashes, from the words of all texts: ln(1 + N / df)."""
+    """idf of every bucket of word hashes, from the words of all texts: ln(1 + N / (df + N / 100)).
+
+    Smoothing in parts of N makes weights alike at every corpus size, and words of under a hundredth of the
+    texts nearly alike, so that a changed word doesn't count several times what a kept one does.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(1 << DF_BITS, np.int64), 0
@@ -110,7 +122,8 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     df = np.zeros(1 << DF_BITS)
     inside = sums["bucket"] >= 0
     df[sums["bucket"][inside]] = sums["n"][inside]
-    return np.log1p(sums["n"][~inside].sum() / np.maximum(df, 1)).astype(np.float32)
+    n = max(sums["n"][~inside].sum(), 1)
+    return np.log1p(n / (np.maximum(df, 1) + n / 100)).astype(np.float32)
 
 
 def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -130,7 +143,7 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                         code = mix(code * np.uint64(_FACTOR) + samples[:, i::_ROWS])
                     bands[who] = code
                     owner, _, level = _key_parts(key)
-                    mass = np.bincount(owner, count * level / _IDF_STEP, minlength=stop - start)
+                    mass = np.bincount(owner, _tf(count) * level / _IDF_STEP, minlength=stop - start)
                 part = batch.slice(start, stop - start)
                 rows = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), _BANDS).cast(pa.list_(pa.int64()))
                 rows = pa.compute.if_else(pa.array(mass > 0), rows, pa.scalar(None, rows.type))
@@ -169,7 +182,61 @@ def similarities(pairs: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFram
 
 def _mass(key: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
     owner, _, level = _key_parts(key)
-    return np.bincount(owner, count * level / _IDF_STEP, minlength=size)
+    return np.bincount(owner, _tf(count) * level / _IDF_STEP, minlength=size)
+
+
+def _block_links(rest: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(a, b) links across components inside buckets, found block against block.
+
+    Nodes outside their bucket's main component meet all nodes of the bucket. Both sides are dealt into blocks
+    of a bounded number and mass, a block pair is one task's product of shingle matrices, and every node sends on
+    one link for each component it meets there.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def items(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        data = [t.encode() for t in frame["text"]]
+        texts = Texts(np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(d) for d in data]))
+        key, count = shingle_keys(texts, shared.value)
+        owner, shingle, level = _key_parts(np.repeat(key, count))
+        nth = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+        weight = level / _IDF_STEP * np.where(nth > 0, _tf(nth + np.uint64(1)) - _tf(nth), 1.0)
+        return owner, mix(shingle + nth * np.uint64(_FACTOR)), weight, np.bincount(owner, weight, minlength=len(frame))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found, left = {"a": [], "b": []}, left.rename(columns=lambda c: c.removeprefix("x_"))
+        if len(left) and len(right):
+            own_l, item_l, weight_l, mass_l = items(left)
+            own_r, item_r, _, mass_r = items(right)
+            common = np.intersect1d(item_l, item_r)
+            inner = np.zeros((len(left), len(right)), np.float32)
+            at_l, at_r = (np.searchsorted(common, x) for x in (item_l, item_r))
+            in_l = np.isin(item_l, common, assume_unique=False)
+            in_r = np.isin(item_r, common, assume_unique=False)
+            for start in range(0, len(common), 4096):
+                a, b = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
+                here = in_l & (at_l >= start) & (at_l < start + 4096)
+                a[own_l[here], at_l[here] - start] = weight_l[here]
+                here = in_r & (at_r >= start) & (at_r < start + 4096)
+                b[own_r[here], at_r[here] - start] = 1
+                inner += a @ b.T
+            alike = inner / np.maximum(mass_l[:, None] + mass_r[None, :] - inner, 1e-12) >= threshold
+            comp_l, comp_r = left["component"].to_numpy(), right["component"].to_numpy()
+            alike &= comp_l[:, None] != comp_r[None, :]
+            i, j = np.nonzero(alike)
+            _, once = np.unique(np.stack((i, comp_r[j])), axis=1, return_index=True) if len(i) else (None, np.zeros(0, np.int64))
+            x, y = left["node"].to_numpy()[i[once]], right["node"].to_numpy()[j[once]]
+            found = {"a": np.maximum(x, y), "b": np.minimum(x, y)}
+        return pd.DataFrame(found).astype("int64")
+
+    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.lower("text").alias("text"))
+    rows = rest.join(texts, F.col("node") == F.col("id")).filter(F.col("text").isNotNull())
+    own, every = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+    x = rows.filter("component != main").select("band", "value", "node", "component", "text", own.alias("left"), "cuts").withColumn("right", every).drop("cuts")
+    y = rows.select("band", "value", "node", "component", "text", own.alias("right"), "cuts").withColumn("left", every).drop("cuts")
+    x = x.select(*[F.col(c).alias(f"x_{c}") for c in x.columns])
+    by = ["band", "value", "left", "right"]
+    return x.groupBy(*[f"x_{c}" for c in by]).cogroup(y.groupBy(*by)).applyInPandas(compare, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -197,15 +264,16 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, class_id) of every row: documents linked by weighted Jaccard similarity >= ``threshold``.
 
-    The class id is the least doc_id of the class. Weights are tf times the mean idf of a shingle's five
-    words. (The document frequency of a shingle itself counts its copies and would push the larger groups
+    The class id is the least doc_id of the class. Weights are 1 + ln(tf) times the mean idf of a shingle's
+    five words. (The document frequency of a shingle itself counts its copies and would push the larger groups
     of near copies under the threshold.)
 
     Equal texts are one node. In a band's bucket every node is compared with the bucket's least node
     only; what remains are pairs of different components so far, of which one lies outside the bucket's
-    largest component. As the distance is a metric, those whose similarities to that least node differ by
-    more than 1 - ``threshold`` can't be links; all others are compared. So no link among the candidates
-    of the bands is lost, while a bucket of near copies costs a row each.
+    largest component. In buckets of up to ``_PAIRWISE`` nodes they are compared one by one, but for those
+    whose similarities to the least node differ by more than 1 - ``threshold`` (the distance is a metric);
+    in larger ones block against block. So no link among the candidates of the bands is lost, while a bucket
+    of near copies costs a row each.
 
     Texts null or without words are classes by themselves, as are rows without doc_id (null class). Rows
     of one doc_id are one document; if their texts differ, any of them may link it. Extra columns are not
@@ -228,11 +296,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         .join(comps.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left")
         .select("band", "value", "node", "mass", "similarity", F.coalesce("component", "node").alias("component"))
     )
-    shares = judged.groupBy("band", "value", "component").agg(F.count("*").alias("n"))
-    mixed = shares.groupBy("band", "value").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    shares = judged.groupBy("band", "value", "component").agg(F.count("*").alias("n"), F.sum("mass").alias("mass"))
+    mixed = shares.groupBy("band", "value").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"),
+        F.ceil(F.greatest(F.sum("n") / _BLOCK_DOCS, F.sum("mass") / _BLOCK_MASS)).cast("int").alias("cuts"),
+    ).filter("parts > 1").drop("parts")
     rest = durable(judged.join(mixed, ["band", "value"]))
-    x = rest.filter("component != main").select("band", "value", *[F.col(c).alias(f"x_{c}") for c in ("node", "mass", "similarity", "component")])
-    y = rest.select("band", "value", *[F.col(c).alias(f"y_{c}") for c in ("node", "mass", "similarity", "component")])
+    few = rest.filter(F.col("n") <= _PAIRWISE)
+    x = few.filter("component != main").select("band", "value", *[F.col(c).alias(f"x_{c}") for c in ("node", "mass", "similarity", "component")])
+    y = few.select("band", "value", *[F.col(c).alias(f"y_{c}") for c in ("node", "mass", "similarity", "component")])
     close = (
         (F.col("x_component") != F.col("y_component")) & (F.abs(F.col("x_similarity") - F.col("y_similarity")) <= slack)
         & (F.least("x_mass", "y_mass") >= (threshold - 1e-6) * F.greatest("x_mass", "y_mass"))
@@ -242,7 +314,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         .select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
         .join(to_hub, ["a", "b"], "left_anti")
     )
-    more = durable(similarities(across, docs, idf)).filter(F.col("similarity") >= threshold).select("a", "b")
+    paired = similarities(across, docs, idf).filter(F.col("similarity") >= threshold).select("a", "b")
+    more = durable(paired.unionByName(_block_links(rest.filter(F.col("n") > _PAIRWISE), docs, idf, threshold)))
     if not more.isEmpty():
         comps = components(links.unionByName(more))
 
