@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Segments kept with their ids in each of a Python worker's two generations, the longest that are kept, and token pairs.
-_CACHE, _CACHED_CHARS, _PAIRS = 300_000, 48, 500_000
+_CACHE, _CACHED_CHARS, _PAIRS = 400_000, 48, 600_000
 
 
 class Codec:
@@ -42,6 +42,7 @@ class Codec:
         self.control = {i for i, p in enumerate(model.pieces) if p.type == kinds.CONTROL}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
         self.end = self.pieces.index("</s>")
+        self._plain = {i for i, p in enumerate(model.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
         self.prefix = MARK if spec.add_dummy_prefix else ""
         usable = {p.piece: (-p.score, i) for i, p in enumerate(model.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
         self.rank = {piece: rank for piece, (rank, _) in usable.items()}
@@ -52,14 +53,18 @@ class Codec:
                 self._automaton.add_word(piece, piece)
         self._automaton.make_automaton()
         # Where no piece has a character pair, a text falls apart between the two: in front of marks, behind
-        # Latin letters and around line ends, if the vocabulary allows it.
+        # Latin letters and around characters that no piece has, if the vocabulary allows it.
         self._apart = not any(re.search(f"[^{MARK}]{MARK}", piece) for piece in usable)
-        fine = not any(re.search(f"[{_LATIN}][^{_LATIN}{MARK}]|[\n\r\t].|.[\n\r\t]", piece, re.S) for piece in usable)
-        other = f"[^{_LATIN}{MARK}\n\r\t]"
-        self._segment = re.compile(f"{MARK}*{other}*[{_LATIN}]+|{MARK}*{other}+|{MARK}+|[\n\r\t]" if fine else f"{MARK}*[^{MARK}]+|{MARK}+")
+        fine = not any(re.search(f"[{_LATIN}][^{_LATIN}{MARK}]", piece) for piece in usable)
+        used = set().union(*usable)
+        alone = "".join(c for c in "\n\t\r" if c not in used)
+        other = f"[^{_LATIN}{MARK}{alone}]"
+        latin = f"{MARK}*{other}*[{_LATIN}]+|{MARK}*{other}+|{MARK}+" + (f"|[{alone}]" if alone else "")
+        self._segment = re.compile(latin if fine else f"{MARK}*[^{MARK}]+|{MARK}+")
         self._compatible: dict[tuple[str, str], bool] = {}
-        self._known: dict[str, tuple[str, int, str]] = {}
-        self._older: dict[str, tuple[str, int, str]] = {}
+        self._known: dict[str, str] = {}
+        self._older: dict[str, str] = {}
+        self._odd: dict[str, str] = {}
 
     def _merge(self, text: str) -> list[str]:
         """Merge the best adjacent pair, leftmost first, until none is a piece: for single tokens and pairs of them."""
@@ -120,6 +125,8 @@ class Codec:
 
     def _raw(self, ids: list[int]) -> str:
         """Text of the ids with marks still in it."""
+        if self._plain.issuperset(ids):
+            return "".join([self.pieces[i] for i in ids])
         out, pending = [], bytearray()
         for i in [*ids, None]:
             if i in self.bytes:
@@ -138,26 +145,28 @@ class Codec:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids with the end id, sha256 of the ids, sha256 of the decoded text."""
-        ids, n, raw, known = [], 1, [], self._known
-        for segment in self._segments(text) if text else []:
-            found = known.get(segment)
-            if found is None:
-                found = self._older.get(segment)
-                if found is None:
-                    own = self._ids(segment)
-                    raw_text = self._raw(own)
-                    found = (" ".join(map(str, own)), len(own), segment if raw_text == segment else raw_text)
-                if len(segment) <= _CACHED_CHARS:
-                    if len(known) >= _CACHE:
-                        self._older, self._known = known, {}
-                        known = self._known
-                    known[segment] = found
-            ids.append(found[0])
-            n += found[1]
-            raw.append(found[2])
-        ids.append(str(self.end))
-        decoded = "".join(raw).removeprefix(self.prefix).replace(MARK, " ")
-        return n, hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        segments = self._segments(text) if text else []
+        found = list(map(self._known.get, segments))
+        if None in found:
+            found = [self._look(s) if f is None else f for s, f in zip(segments, found)]
+        ids = " ".join([*found, str(self.end)])
+        raw = "".join([self._odd.get(s, s) for s in segments] if self._odd else segments)
+        decoded = raw.removeprefix(self.prefix).replace(MARK, " ")
+        return ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+    def _look(self, segment: str) -> str:
+        """Ids of a segment that isn't in the newer generation; where they decode to something else, that is noted."""
+        ids = self._known.get(segment) or self._older.get(segment)
+        if ids is None:
+            own = self._ids(segment)
+            ids, raw = " ".join(map(str, own)), self._raw(own)
+            if raw != segment:
+                self._odd[segment] = raw
+        if len(segment) <= _CACHED_CHARS:
+            if len(self._known) >= _CACHE:
+                self._older, self._known = self._known, {}
+            self._known[segment] = ids
+        return ids
 
 
 def _utf8(data: bytes) -> str:
