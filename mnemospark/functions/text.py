@@ -142,18 +142,19 @@ def relative_time(question: Column, now: datetime | Column) -> Column:
 
 
 def derive_summary(text: Column) -> Column:
-    """Trimmed message without the continue filler and leading punctuation, 500 characters."""
+    """Trimmed message without the continue filler and leading punctuation."""
     body = F.regexp_replace(trim_space(text), "^" + V.CONTINUE_PREFIX, "")
-    return truncate(F.regexp_replace(body, f"^[{V.LEADING_FILLER}]+", ""), V.SUMMARY_CHARS)
+    return F.regexp_replace(body, f"^[{V.LEADING_FILLER}]+", "")
 
 
 def is_confirmed(text: Column) -> Column:
     return text.rlike(V.CONFIRMED_PATTERN)
 
 
-def is_correction(text: Column) -> Column:
-    """Short message with a correction phrase; an explicit instruction is not a correction."""
-    short = F.length(trim_space(text)) < V.CORRECTION_CHARS
+def is_correction(text: Column, shorter_than: int | None = None) -> Column:
+    """Message with a correction phrase; an explicit instruction is not a correction.
+    ``shorter_than`` restricts it to short messages where that is wanted."""
+    short = F.lit(True) if shorter_than is None else F.length(trim_space(text)) < shorter_than
     return ~is_confirmed(text) & short & text.rlike(V.CORRECTION_PATTERN)
 
 

@@ -25,7 +25,7 @@ def pattern_clusters(episodes: DataFrame, min_size: int = V.PATTERN_MIN_SIZE) ->
 def rule_text(scan: DataFrame, min_size: int = V.PATTERN_MIN_SIZE) -> DataFrame:
     """One candidate rule per cluster: bulleted summaries in scan order.
 
-    ``scan`` is a recent scan, so a cluster holds at most its per-project limit.
+    A rule's text holds its whole cluster; bound it by a limit of the scan where that is wanted.
     """
     ordered = F.array_sort(F.collect_list(F.struct("scan_rank", "id", "summary")))
     clusters = scan.groupBy("project_id", "task_type").agg(ordered.alias("_m")).filter(F.size("_m") >= min_size)
@@ -81,9 +81,9 @@ def derived_edges(nodes: DataFrame, run_id: str, now: Column) -> DataFrame:
 
 # --- pitfalls -----------------------------------------------------------------
 
-def entity_groups(scan: DataFrame, cap: int = V.EPISODES_PER_ENTITY, min_size: int = 2,
+def entity_groups(scan: DataFrame, cap: int | None = None, min_size: int = 2,
                   cross_project: bool = False) -> DataFrame:
-    """First ``cap`` debug episodes per entity in scan order, for entities with at
+    """Debug episodes per entity in scan order (with ``cap``, the first so many), for entities with at
     least ``min_size``. Adds position and, unless cross_project, groups by project too."""
     keys = ["entity_group"] if cross_project else ["project_id", "entity_group"]
     debug = scan.filter((F.col("task_type") == "debug") & (F.col("entity_group") != ""))
@@ -189,13 +189,13 @@ def heuristic_pitfalls(clusters: DataFrame, now: Column, min_size: int = 2) -> D
         F.min_by("language", "member").alias("language")).filter(F.size("_m") >= min_size)
     rep = representatives(clusters).select(*keys, F.col("summary").alias("_rep"))
     none = F.lit(None)
-    signature = T.truncate(F.concat(F.col("entity_group"), F.lit(": "), F.col("_rep")), V.SIGNATURE_CHARS)
+    signature = F.concat(F.col("entity_group"), F.lit(": "), F.col("_rep"))
     return sources.join(rep, keys).select(
         T.stable_id("pitfall", F.col("project_id"), F.col("entity_group"), signature).alias("id"),
         F.col("entity_group").alias("entity_id"), T.infer_entity_type(F.col("entity_group")).alias("entity_type"),
         "project_id", "language", signature.alias("signature"),
         none.cast("array<float>").alias("signature_embedding"), F.lit("UNKNOWN").alias("root_cause_category"),
-        T.truncate(F.col("_rep"), V.SIGNATURE_CHARS).alias("fix_strategy"), F.lit(False).alias("was_user_corrected"),
+        F.col("_rep").alias("fix_strategy"), F.lit(False).alias("was_user_corrected"),
         F.size("_m").alias("occurrence_count"), none.cast("timestamp").alias("last_occurred_at"),
         F.lit("INFERRED").alias("source_type"), F.lit(2).alias("trust_level"), F.lit(1.0).alias("weight"),
         now.alias("created_at"), now.alias("updated_at"), none.cast("timestamp").alias("obsoleted_at"),
@@ -282,23 +282,21 @@ def rule_prompts(scan: DataFrame, min_size: int = V.PATTERN_MIN_SIZE) -> DataFra
     """Prompt text per pattern cluster, for an outside inference step."""
     ordered = F.array_sort(F.collect_list(F.struct("scan_rank", "id", "summary")))
     lines = F.transform("_m", lambda m, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), m["summary"], F.lit("\n")))
-    head = F.concat(F.lit("Project: "), F.col("project_id"), F.lit(" | TaskType: "), F.col("task_type"),
-                    F.lit("\n\nMemories:\n"))
+    head = F.concat(F.lit("Notes of project "), F.col("project_id"), F.lit(", task "), F.col("task_type"), F.lit(":\n"))
     return scan.groupBy("project_id", "task_type").agg(ordered.alias("_m")).filter(F.size("_m") >= min_size).select(
         "project_id", "task_type", F.concat(head, F.array_join(lines, "")).alias("prompt"))
 
 
 def pitfall_prompts(groups: DataFrame) -> DataFrame:
-    """Prompt text per entity group; each summary is cut to 500 characters."""
+    """Prompt text per entity group."""
     ordered = F.array_sort(F.collect_list(F.struct("position", "id", "summary")))
     lines = F.transform("_m", lambda m, i: F.concat(
-        F.lit("["), i.cast("string"), F.lit("] "), T.truncate(m["summary"], V.SUMMARY_CHARS), F.lit("\n")))
+        F.lit("["), i.cast("string"), F.lit("] "), m["summary"], F.lit("\n")))
     n = F.size("_m").cast("string")
     prompt = F.concat(
         F.lit("Entity: "), F.col("entity_group"), F.lit("\nProject: "), F.col("project_id"),
-        F.lit(" | Language: "), F.coalesce("language", F.lit("")), F.lit("\nTotal debug sessions for this entity: "), n,
-        F.lit("\n\nDebug session summaries:\n"), F.array_join(lines, ""), F.lit("\nAnalyze these "), n,
-        F.lit(" debug sessions and extract structured error patterns.\n"))
+        F.lit(" | Language: "), F.coalesce("language", F.lit("")), F.lit("\nSessions: "), n,
+        F.lit("\n\n"), F.array_join(lines, ""), F.lit("\nName what went wrong repeatedly, why, and how to avoid it.\n"))
     return groups.groupBy("project_id", "entity_group").agg(
         ordered.alias("_m"), F.min_by("language", "position").alias("language")).select(
         "project_id", "entity_group", prompt.alias("prompt"))

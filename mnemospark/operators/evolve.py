@@ -11,18 +11,19 @@ from mnemospark.functions import text as T, weights as W
 from mnemospark.operators.ranking import ordinal, pinned, spread_ids, top_per_key
 
 
-def rule_conflicts(rules: DataFrame, per_type: int = V.RULES_PER_TYPE, group: tuple[str, ...] = ("project_id",)
+def rule_conflicts(rules: DataFrame, per_type: int | None = None, group: tuple[str, ...] = ("project_id",)
                    ) -> DataFrame:
     """Pairs of active rules of one type with opposite directives about one subject.
 
-    The operator compares the ``per_type`` heaviest active rules of each
-    (group, type), so at most per_type**2/4 opposite pairs meet per key and the
-    text comparison never sees an open-ended group.
+    Every prohibitive rule meets every affirmative one of its (group, type), as
+    bigram sets of numbers computed once per rule; only conflicts leave the join.
+    ``per_type`` restricts this to the heaviest rules where that is wanted.
     """
     keys = [*group, "type"]
     active = rules.filter(F.col("obsoleted_at").isNull())
-    capped = top_per_key(active, keys, [F.desc("weight"), F.asc("id")], per_type, "_r")
-    sided = pinned(capped.select(*keys, "id", "_r", "trust_level", "content", "entity_group"),
+    if per_type is not None:
+        active = top_per_key(active, keys, [F.desc("weight"), F.asc("id")], per_type, "_r")
+    sided = pinned(active.select(*keys, "id", "weight", "trust_level", "content", "entity_group"),
                    polarity=T.polarity(F.col("content")))
     directive = pinned(sided.filter(F.col("polarity") != "neutral"), _g=T.char_bigrams(F.col("content")))
 
@@ -33,7 +34,7 @@ def rule_conflicts(rules: DataFrame, per_type: int = V.RULES_PER_TYPE, group: tu
 
     pairs = side("prohibitive", "p_").join(side("affirmative", "q_"), keys)
     same_subject = pairs.filter(T.dice_at_least(F.col("p__g"), F.col("q__g"), int(V.SUBJECT_DICE * 100)))
-    first = F.col("p__r") < F.col("q__r")
+    first = (F.col("p_weight") > F.col("q_weight")) | ((F.col("p_weight") == F.col("q_weight")) & (F.col("p_id") < F.col("q_id")))
 
     def pick(name: str, tag: str) -> list[Column]:
         a, b = F.col(f"p_{name}"), F.col(f"q_{name}")
@@ -157,11 +158,11 @@ def update_pairs(new: DataFrame, old: DataFrame, candidates: DataFrame) -> DataF
     return spread_ids(candidates.select("new_id", "old_id"), "new_id").join(n, "new_id").join(o, "old_id")
 
 
-def explicit_updates(carriers: DataFrame, memories: DataFrame, peers: int = V.UPDATE_PEERS) -> DataFrame:
-    """Covered pairs of each carrier (id) among the latest ``peers`` of its project."""
+def explicit_updates(carriers: DataFrame, memories: DataFrame, peers: int | None = None) -> DataFrame:
+    """Covered pairs of each carrier (id) among its project (with ``peers``, its latest)."""
     effective = F.coalesce("occurred_at", "created_at")
     active = memories.filter(F.col("obsoleted_at").isNull()).withColumn("_at", effective)
-    latest = top_per_key(active, ["project_id"], [F.desc("_at"), F.asc("id")], peers, "_recent")
+    latest = active if peers is None else top_per_key(active, ["project_id"], [F.desc("_at"), F.asc("id")], peers, "_recent")
     old = latest.select("project_id", F.col("id").alias("old_id"), F.col("summary").alias("old_summary"),
                         F.col("entity_group").alias("old_entity"), F.col("_at").alias("old_occurred_at"),
                         F.col("obsoleted_at").alias("old_obsoleted_at"))

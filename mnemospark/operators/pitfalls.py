@@ -14,7 +14,7 @@ from mnemospark.operators.retrieve import pitfall_priority
 
 def pitfall_topk(pitfalls: DataFrame, k: int = 10, *, project_id: str | None = None, language: str | None = None,
                  entity_id: str | None = None, root_cause: str | None = None, min_weight: float = 0.0) -> DataFrame:
-    """Structured filter, heaviest first; k is at most 100."""
+    """Structured filter, the k heaviest first."""
     out = pitfalls.filter(F.col("obsoleted_at").isNull())
     for name, value in (("project_id", project_id), ("language", language), ("entity_id", entity_id),
                         ("root_cause_category", root_cause)):
@@ -22,7 +22,7 @@ def pitfall_topk(pitfalls: DataFrame, k: int = 10, *, project_id: str | None = N
             out = out.filter(F.col(name) == value)
     if min_weight > 0:
         out = out.filter(F.col("weight") >= min_weight)
-    return out.orderBy(F.desc("weight"), F.asc("id")).limit(min(k if k > 0 else 10, 100))
+    return out.orderBy(F.desc("weight"), F.asc("id")).limit(max(k, 0))
 
 
 def by_entity(lookups: DataFrame, pitfalls: DataFrame) -> DataFrame:
@@ -46,15 +46,15 @@ def vector_search(questions: DataFrame, pitfalls: DataFrame, k: int = 10,
     return open_ended.unionByName(anchored).withColumnsRenamed({"left_id": "question_id", "right_id": "id"})
 
 
-def recall(questions: DataFrame, pitfalls: DataFrame, k: int = V.PITFALL_TOP, pool: int = V.PITFALL_POOL
+def recall(questions: DataFrame, pitfalls: DataFrame, k: int = V.PITFALL_TOP, pool: int | None = None
            ) -> DataFrame:
     """Overlap of query and signature, +0.3 per entity reference that names the pitfall's entity.
 
-    The operator looks at the ``pool`` heaviest active pitfalls of the project
-    (weight at least 0.5) and then drops those that may not be injected.
+    Active pitfalls of the project with a weight of at least 0.5 that may be injected;
+    with ``pool``, only among its heaviest.
     """
     active = pitfalls.filter(F.col("obsoleted_at").isNull() & (F.col("weight") >= 0.5))
-    heavy = top_per_key(active, ["project_id"], [F.desc("weight"), F.asc("id")], pool, "_pool")
+    heavy = active if pool is None else top_per_key(active, ["project_id"], [F.desc("weight"), F.asc("id")], pool, "_pool")
     usable = heavy.filter(W.injectable(F.col("status"), F.col("occurrence_count"), F.col("weight")))
     usable = pinned(usable, _pb=T.char_bigrams(F.col("signature"), True)).select("id", "project_id", "entity_id", "_pb")
     q = pinned(questions, _qb=T.char_bigrams(F.col("query"), True), _refs=T.entity_references(F.col("query"))).select(
@@ -67,11 +67,9 @@ def recall(questions: DataFrame, pitfalls: DataFrame, k: int = V.PITFALL_TOP, po
 
 
 def workbench(pitfalls: DataFrame, k: int = 20, status: str | None = None, **conditions) -> DataFrame:
-    """Summary rows; the status filter acts after the limit."""
-    rows = pitfall_topk(pitfalls, k, **conditions)
+    """Summary rows of the k heaviest pitfalls, of one status if given."""
     normal = W.normal_status(F.col("status"))
-    if status is not None:
-        rows = rows.filter(normal == status)
+    rows = pitfall_topk(pitfalls if status is None else pitfalls.filter(normal == status), k, **conditions)
     return rows.withColumns({
         "injectable": W.injectable(F.col("status"), F.col("occurrence_count"), F.col("weight")),
         "interference_rate": W.interference_rate(F.col("times_shown"), F.col("times_suppressed")),

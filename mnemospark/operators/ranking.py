@@ -17,15 +17,14 @@ CHUNK = 4096
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the session names."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            import tempfile
+    """Cut lineage with a reliable checkpoint in the folder the session names, else in its warehouse.
 
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(folder)
+    Executors and driver share both; a folder of one machine is never used.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return df.checkpoint()
 
 
@@ -44,10 +43,12 @@ def spread_ids(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None,
                 rank: str = "rank") -> DataFrame:
-    """First ``k`` rows per key. Spark trims to k per task before the shuffle."""
+    """First ``k`` rows per key (None: all, ranked). Spark trims to k per task before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
+    if k is None:
+        return df.withColumn(rank, F.row_number().over(window))
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 

@@ -50,12 +50,13 @@ def score_topk(scores: DataFrame, k: int, keys: list[str], score: str = "score",
     return top_per_key(scores, keys, [F.desc(score), F.asc(index)], k)
 
 
-def recent_scan(memories: DataFrame, since: datetime | Column, limit: int | None = V.RECENT_SCAN) -> DataFrame:
-    """Active memories created since, newest first, at most ``limit`` per project."""
+def recent_scan(memories: DataFrame, since: datetime | Column, limit: int | None = None) -> DataFrame:
+    """Active memories created since, with ``scan_rank`` to order them newest first: a key that falls with time,
+    or the rank per project where only the ``limit`` newest are asked for."""
     at = since if isinstance(since, Column) else F.lit(since)
     recent = memories.filter((F.col("created_at") >= at) & F.col("obsoleted_at").isNull())
     if limit is None:
-        return recent
+        return recent.withColumn("scan_rank", -F.unix_micros("created_at"))
     return top_per_key(recent, ["project_id"], [F.desc("created_at"), F.asc("id")], limit, "scan_rank")
 
 
@@ -93,17 +94,24 @@ def gated_pairs(contexts: DataFrame, memories: DataFrame, cooling: float = V.COO
     return ctx.join(mem, "project_id").withColumn("boosted", F.col("weight") * boost)
 
 
-def gate_and_rank(contexts: DataFrame, memories: DataFrame, cap: int = V.GATED_CANDIDATES, **options) -> DataFrame:
+def gate_and_rank(contexts: DataFrame, memories: DataFrame, cap: int | None = None, **options) -> DataFrame:
+    """All gated pairs, or the best ``cap`` of each context with their rank."""
+    if cap is None:
+        return gated_pairs(contexts, memories, **options)
     order = [F.desc("boosted"), F.asc("id")]
     return top_per_key(gated_pairs(contexts, memories, **options), ["question_id"], order, cap)
 
 
-def two_stage(questions: DataFrame, memories: DataFrame, k: int, cap: int = V.GATED_CANDIDATES) -> DataFrame:
-    """Gate, keep the heaviest ``cap`` candidates, rank those by cosine.
+def two_stage(questions: DataFrame, memories: DataFrame, k: int, cap: int | None = None) -> DataFrame:
+    """Gate, then rank what passes (with ``cap``, its heaviest rows) by cosine.
 
-    Each question meets only its own capped candidates, so the vectors are
-    joined to at most ``cap`` rows per question.
+    The gate depends on the memory alone but for its order, so without a cap the
+    blocked neighbour search runs over what is alive and no pair is stored.
     """
+    if cap is None:
+        alive = memories.filter(F.col("obsoleted_at").isNull() & (F.col("weight") >= V.COOLING_THRESHOLD))
+        found = nearest_neighbours(questions, alive, k, left_id="question_id", left_vector="query_vector", weight=None)
+        return found.withColumnsRenamed({"left_id": "question_id", "right_id": "id"}).select("question_id", "id", "similarity", "rank")
     gated = gate_and_rank(questions, memories, cap).select("question_id", "id")
     scored = (
         gated.join(memories.select("id", "context_vector"), "id")
@@ -115,12 +123,12 @@ def two_stage(questions: DataFrame, memories: DataFrame, k: int, cap: int = V.GA
     return best.select("question_id", "id", "similarity", "rank")
 
 
-def gate_stats(questions: DataFrame, memories: DataFrame, cap: int = V.GATED_CANDIDATES) -> DataFrame:
+def gate_stats(questions: DataFrame, memories: DataFrame, cap: int | None = None) -> DataFrame:
     """total_candidates and after_filter per question, from counts alone."""
     alive = F.col("obsoleted_at").isNull() & (F.col("weight") >= V.COOLING_THRESHOLD)
     per_project = memories.groupBy("project_id").agg(
         F.count("*").alias("total_candidates"),
-        F.least(F.sum(alive.cast("bigint")), F.lit(cap)).alias("after_filter"))
+        F.least(F.sum(alive.cast("bigint")), F.lit(2**62 if cap is None else cap)).alias("after_filter"))
     stats = questions.select("question_id", "project_id").join(per_project, "project_id", "left")
     return stats.select("question_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
                                          for c in ("total_candidates", "after_filter")])
@@ -249,8 +257,8 @@ def newest_first(ranked: DataFrame, when: Column | None = None) -> DataFrame:
 
 
 def lexical_topk(questions: DataFrame, memories: DataFrame, k: int = V.EPISODE_TOP,
-                 pool: int | None = V.LEXICAL_POOL) -> DataFrame:
-    """Bigram overlap with the recent memories of the question's project, best k."""
+                 pool: int | None = None) -> DataFrame:
+    """Bigram overlap with the memories (with ``pool``, the most recent ones) of the question's project, best k."""
     active = memories.filter(F.col("obsoleted_at").isNull())
     if pool is not None:
         active = top_per_key(active, ["project_id"], [F.desc("created_at"), F.asc("id")], pool, "_recent")

@@ -79,11 +79,12 @@ def create_new(events: DataFrame, now: datetime | Column) -> DataFrame:
         F.coalesce("occurred_at", at).alias("occurred_at"))
 
 
-def related_links(new: DataFrame, memories: DataFrame, candidates: int = V.LINK_CANDIDATES) -> DataFrame:
-    """RELATES_TO edges to the heaviest memories of the project: cosine where both
+def related_links(new: DataFrame, memories: DataFrame, candidates: int | None = None) -> DataFrame:
+    """RELATES_TO edges to the memories of the project (with ``candidates``, its heaviest): cosine where both
     sides carry a vector, token overlap otherwise."""
-    pool = top_per_key(memories.filter(F.col("obsoleted_at").isNull()), ["project_id"],
-                       [F.desc("weight"), F.asc("id")], candidates, "_top")
+    pool = memories.filter(F.col("obsoleted_at").isNull())
+    if candidates is not None:
+        pool = top_per_key(pool, ["project_id"], [F.desc("weight"), F.asc("id")], candidates, "_top")
     pool = pinned(pool, _tt=T.tokens(F.col("summary"))).select(
         F.col("id").alias("to_id"), "project_id", F.col("context_vector").alias("_tv"), "_tt")
     source = pinned(new, _ft=T.tokens(F.col("summary"))).select(

@@ -142,7 +142,7 @@ class Consolidation:
 
 
 def consolidate(memories: DataFrame, run_id: str, now: datetime, hours: float = 24.0,
-                limit: int | None = V.RECENT_SCAN, embed: Callable[[Column], Column] = X.keyword_vector,
+                limit: int | None = None, embed: Callable[[Column], Column] = X.keyword_vector,
                 threshold: float = V.BACKTEST_MIN) -> Consolidation:
     """Recent scan, then rules and pitfalls from the same scan, edges and the run row."""
     at = F.lit(now)

@@ -218,7 +218,7 @@ def refine(raw: DataFrame) -> DataFrame:
     return rows.withColumns({
         "language": T.infer_language(F.coalesce("project_id", F.lit("")), F.col("_c")),
         "task_type": T.infer_task_type(F.col("_c")), "entity_group": T.mentioned_entity(F.col("_c")),
-        "summary": F.when(key("name") != "", named).otherwise(T.truncate(F.col("_c"), V.SUMMARY_CHARS, "...")),
+        "summary": F.when(key("name") != "", named).otherwise(F.col("_c")),
         "confidence": F.when(F.col("_c") == "", F.lit(0.3)).otherwise(F.lit(0.6)),
     }).drop("_c")
 

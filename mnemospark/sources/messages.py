@@ -65,12 +65,12 @@ def ingest_counts(dropped: DataFrame, judged: DataFrame, *keys: str) -> DataFram
 
 
 def compression_insights(messages: DataFrame, tag: str = "[memory] ") -> DataFrame:
-    """Last non-trivial message per session (session_id, seq, content), 300 characters."""
+    """Last non-trivial message per session (session_id, seq, content)."""
     text = T.trim_space(F.col("content"))
     anchors = messages.withColumn("_t", text).filter(
         T.is_confirmed(F.col("_t")) | T.is_correction(F.col("_t")) | (F.length("_t") > 20))
     return anchors.groupBy("session_id").agg(F.max_by("_t", "seq").alias("_t")).select(
-        "session_id", F.concat(F.lit(tag), T.truncate(F.col("_t"), V.INSIGHT_CHARS)).alias("insight"))
+        "session_id", F.concat(F.lit(tag), F.col("_t")).alias("insight"))
 
 
 def _user_episode(df: DataFrame, ident: Column, summary: Column, source: str, trust: int, uri: Column, at: Column
@@ -90,8 +90,7 @@ def delegations(calls: DataFrame, now: datetime | Column, scheme: str = "delegat
     """Episodes of delegated tasks (project_id, call_id, child_id, task, result); blank tasks are skipped."""
     at = now if isinstance(now, Column) else F.lit(now)
     asked = calls.filter(T.trim_space(F.coalesce("task", F.lit(""))) != "")
-    summary = T.truncate(F.concat(F.lit("委派："), F.col("task"), F.lit(" → "), F.coalesce("result", F.lit(""))),
-                         V.SUMMARY_CHARS)
+    summary = F.concat(F.lit("委派："), F.col("task"), F.lit(" → "), F.coalesce("result", F.lit("")))
     return _user_episode(asked, T.stable_id("delegation", F.col("project_id"), F.col("call_id")), summary,
                          "DELEGATION", V.TRUST_DEFAULT, F.concat(F.lit(scheme), F.col("child_id").cast("string")), at)
 

@@ -56,15 +56,15 @@ def write(df: DataFrame, root: str, table: str) -> int:
 def upsert(base: DataFrame, delta: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
     """Rows of ``delta`` replace rows of ``base`` with the same key.
 
-    Several delta rows of one key are settled by ``order`` (highest wins). The
-    partial aggregation keeps one row per key and task before the shuffle.
+    Several delta rows of one key are settled by ``order`` (highest wins). Only the delta is
+    aggregated; the base is filtered by an anti join on the keys, which Spark broadcasts when
+    they are few, so a small delta doesn't move the base.
     """
     columns = base.columns
     rank = order if order is not None else F.lit(0)
-    tagged = base.select(F.struct(*columns).alias("_r"), F.struct(F.lit(0).alias("d"), F.lit(None).cast(
-        delta.select(rank.alias("o")).schema["o"].dataType).alias("o")).alias("_o")).unionByName(
-        delta.select(F.struct(*columns).alias("_r"), F.struct(F.lit(1).alias("d"), rank.alias("o")).alias("_o")))
-    return tagged.groupBy(F.col(f"_r.{key}").alias("_k")).agg(F.max_by("_r", "_o").alias("_r")).select("_r.*")
+    latest = delta.select(F.struct(*columns).alias("_r"), rank.alias("_o")).groupBy(F.col(f"_r.{key}").alias("_k")).agg(F.max_by("_r", "_o").alias("_r"))
+    kept = base.join(latest.select(F.col("_k").alias("_replaced")), base[key].eqNullSafe(F.col("_replaced")), "left_anti")
+    return kept.select(*columns).unionByName(latest.select("_r.*"))
 
 
 def patch(base: DataFrame, delta: DataFrame, key: str = "id") -> DataFrame:

@@ -14,7 +14,7 @@ from mnemospark.workload.views import NOW
 START = datetime(2024, 1, 1)
 _SCAN = ("scan", """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id) AS scan_rank FROM v_epi
- WHERE obsoleted_at IS NULL AND created_at >= TIMESTAMP '2024-01-01 00:00:00') WHERE scan_rank <= 1000""")
+ WHERE obsoleted_at IS NULL AND created_at >= TIMESTAMP '2024-01-01 00:00:00')""")
 _RULES = ("rules", """
 SELECT project_id, task_type, count(*) AS members, 'Pattern in ' || project_id || '/' || task_type || ':' || chr(10) || string_agg('- ' || summary, chr(10) ORDER BY scan_rank) AS content
 FROM scan GROUP BY 1, 2 HAVING count(*) >= 3""")
@@ -71,7 +71,7 @@ def persist_rules(v):
 
 _GROUPS = ("groups", """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, entity_group ORDER BY scan_rank, id) AS position, count(*) OVER (PARTITION BY project_id, entity_group) AS group_size
- FROM scan WHERE task_type = 'debug' AND entity_group <> '') WHERE group_size >= 2 AND position <= 50""")
+ FROM scan WHERE task_type = 'debug' AND entity_group <> '') WHERE group_size >= 2""")
 
 
 def _groups(v):
@@ -150,16 +150,16 @@ def pitfall_merge(v):
 
 
 @case("rule_prompts", O.with_views("epi", _SCAN) + """
-SELECT project_id, task_type, md5('Project: ' || project_id || ' | TaskType: ' || task_type || chr(10) || chr(10) || 'Memories:' || chr(10) || string_agg('[' || n || '] ' || summary || chr(10), '' ORDER BY n)) AS digest
+SELECT project_id, task_type, md5('Notes of project ' || project_id || ', task ' || task_type || ':' || chr(10) || string_agg('[' || n || '] ' || summary || chr(10), '' ORDER BY n)) AS digest
 FROM (SELECT *, row_number() OVER (PARTITION BY project_id, task_type ORDER BY scan_rank) - 1 AS n FROM scan) GROUP BY 1, 2 HAVING count(*) >= 3""")
 def rule_prompts(v):
     return distil.rule_prompts(_scan(v)).select("project_id", "task_type", F.md5("prompt").alias("digest"))
 
 
 @case("prompt_table", O.with_views("epi", _SCAN, _GROUPS) + """
-SELECT project_id, entity_group, md5('Entity: ' || entity_group || chr(10) || 'Project: ' || project_id || ' | Language: ' || arg_min(language, position) || chr(10) || 'Total debug sessions for this entity: ' || count(*) || chr(10) || chr(10)
- || 'Debug session summaries:' || chr(10) || string_agg('[' || (position - 1) || '] ' || substr(summary, 1, 500) || chr(10), '' ORDER BY position)
- || chr(10) || 'Analyze these ' || count(*) || ' debug sessions and extract structured error patterns.' || chr(10)) AS digest FROM groups GROUP BY 1, 2""")
+SELECT project_id, entity_group, md5('Entity: ' || entity_group || chr(10) || 'Project: ' || project_id || ' | Language: ' || arg_min(language, position) || chr(10) || 'Sessions: ' || count(*) || chr(10) || chr(10)
+ || string_agg('[' || (position - 1) || '] ' || summary || chr(10), '' ORDER BY position)
+ || chr(10) || 'Name what went wrong repeatedly, why, and how to avoid it.' || chr(10)) AS digest FROM groups GROUP BY 1, 2""")
 def prompt_table(v):
     return distil.pitfall_prompts(_groups(v)).select("project_id", "entity_group", F.md5("prompt").alias("digest"))
 

@@ -165,13 +165,12 @@ def confirmed(x: str) -> str:
 
 
 def correction(x: str) -> str:
-    return (f"(NOT {confirmed(x)} AND length({trim_space(x)}) < 200 "
-            f"AND regexp_matches({x}, {quoted(V.CORRECTION_PATTERN)}))")
+    return (f"(NOT {confirmed(x)} AND regexp_matches({x}, {quoted(V.CORRECTION_PATTERN)}))")
 
 
 def derive_summary(x: str) -> str:
     body = f"regexp_replace({trim_space(x)}, '^{V.CONTINUE_PREFIX}', '')"
-    return f"substr(regexp_replace({body}, '^[{V.LEADING_FILLER}]+', ''), 1, 500)"
+    return f"regexp_replace({body}, '^[{V.LEADING_FILLER}]+', '')"
 
 
 def estimate_tokens(x: str) -> str:

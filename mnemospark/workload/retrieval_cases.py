@@ -59,10 +59,9 @@ def score_topk(v):
 
 
 @case("recent_scan", O.with_views("epi") + f"""
-SELECT id, project_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id) AS rank
- FROM v_epi WHERE obsoleted_at IS NULL AND created_at >= TIMESTAMP '2024-01-01 00:00:00') WHERE rank <= 1000""")
+SELECT id, project_id, -epoch_us(created_at) AS scan_rank FROM v_epi WHERE obsoleted_at IS NULL AND created_at >= TIMESTAMP '2024-01-01 00:00:00'""")
 def recent_scan(v):
-    return R.recent_scan(v.epi(), datetime(2024, 1, 1)).select("id", "project_id", big("scan_rank").alias("rank"))
+    return R.recent_scan(v.epi(), datetime(2024, 1, 1)).select("id", "project_id", "scan_rank")
 
 
 @case("cosine_topk", O.with_views("q vec", _COS) + """
@@ -107,7 +106,7 @@ def rank_then_time(v):
 
 @case("lexical_topk", O.with_views("q vec", _QB, ("mb", f"""
 SELECT id, project_id, {O.bigrams('lower(summary)')} AS g FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id) AS r
- FROM v_vec WHERE obsoleted_at IS NULL) WHERE r <= 500"""), ("lex", f"""
+ FROM v_vec WHERE obsoleted_at IS NULL)"""), ("lex", f"""
 SELECT question_id, mb.id, round({O.dice('qb.g', 'mb.g')}, 9) AS lex FROM qb JOIN mb ON qb.project_id = mb.project_id""")) + """
 SELECT question_id, id, round(lex, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY lex DESC, id) AS rank
  FROM lex WHERE lex > 0) WHERE rank <= 5""")
@@ -119,17 +118,17 @@ _GATED = ("gated", """
 SELECT question_id, m.id, m.weight, q.language AS ql, m.language, m.weight * (1 + CASE WHEN q.task_type IN ('debug','feature','refactor','review') THEN 0.2::DOUBLE ELSE 0 END
  + CASE WHEN q.language <> '' AND q.language = m.language THEN 0.1::DOUBLE ELSE 0 END) AS boosted
 FROM v_q q JOIN v_vec m ON q.project_id = m.project_id WHERE m.obsoleted_at IS NULL AND m.weight >= 0.01""")
-_CAPPED = ("capped", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY boosted DESC, id) AS rank FROM gated) WHERE rank <= 500""")
+_CAPPED = ("capped", "SELECT * FROM gated")
 
 
 @case("hard_soft_gating", O.with_views("q vec", _GATED, _CAPPED) + """
-SELECT question_id, id, round(boosted, 6) AS boosted, rank FROM capped""")
+SELECT question_id, id, round(boosted, 6) AS boosted FROM capped""")
 def hard_soft_gating(v):
-    return R.gate_and_rank(v.q(), v.vec()).select("question_id", "id", r6("boosted").alias("boosted"), big("rank").alias("rank"))
+    return R.gate_and_rank(v.q(), v.vec()).select("question_id", "id", r6("boosted").alias("boosted"))
 
 
 @case("gate_stats", O.with_views("q vec") + """
-SELECT question_id, count(m.id) AS total_candidates, least(500, CAST(coalesce(sum(CASE WHEN m.obsoleted_at IS NULL AND m.weight >= 0.01 THEN 1 ELSE 0 END), 0) AS BIGINT)) AS after_filter
+SELECT question_id, count(m.id) AS total_candidates, CAST(coalesce(sum(CASE WHEN m.obsoleted_at IS NULL AND m.weight >= 0.01 THEN 1 ELSE 0 END), 0) AS BIGINT) AS after_filter
 FROM v_q q LEFT JOIN v_vec m ON q.project_id = m.project_id GROUP BY 1""")
 def gate_stats(v):
     return R.gate_stats(v.q(), v.vec())
@@ -176,7 +175,7 @@ def mixed_search(v):
 
 @case("pitfall_filter", O.with_views("pit") + """
 SELECT id, round(weight, 6) AS weight FROM v_pit WHERE obsoleted_at IS NULL AND language = 'python' AND root_cause_category = 'CONFIG' AND weight >= 0.2
-ORDER BY v_pit.weight DESC, id LIMIT 100""")
+ORDER BY v_pit.weight DESC, id LIMIT 500""")
 def pitfall_filter(v):
     return P.pitfall_topk(v.pit(), 500, language="python", root_cause="CONFIG", min_weight=0.2).select("id", r6("weight").alias("weight"))
 
@@ -207,7 +206,7 @@ def pitfall_vector(v):
 
 _RECALL = (("pb", f"""
 SELECT id, project_id, entity_id, {O.bigrams('lower(signature)')} AS g FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY weight DESC, id) AS r
- FROM v_pit WHERE obsoleted_at IS NULL AND weight >= 0.5) WHERE r <= 50 AND {O.injectable()}"""), ("qb", f"""
+ FROM v_pit WHERE obsoleted_at IS NULL AND weight >= 0.5) WHERE {O.injectable()}"""), ("qb", f"""
 SELECT question_id, project_id, {O.bigrams('lower(query)')} AS g, list_transform(regexp_extract_all(query, {O.quoted(V.ENTITY_PATTERN)}),
  lambda r: regexp_replace(lower(r), '^@', '')) AS refs FROM v_q"""), ("recalled", f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM (
@@ -221,9 +220,9 @@ def pitfall_recall(v):
     return P.recall(v.q(), v.pit()).select("question_id", "id", r6("score").alias("score"), big("rank").alias("rank"))
 
 
-@case("workbench_list", O.with_views("pit", ("t", "SELECT * FROM v_pit WHERE obsoleted_at IS NULL ORDER BY weight DESC, id LIMIT 30")) + f"""
+@case("workbench_list", O.with_views("pit", ("t", f"SELECT * FROM v_pit WHERE obsoleted_at IS NULL AND ({O.normal_status('status')}) = 'proposed' ORDER BY weight DESC, id LIMIT 30")) + f"""
 SELECT id, ({O.normal_status('status')}) AS status, CAST({O.injectable()} AS INTEGER) AS injectable,
- round(least(1.0::DOUBLE, times_suppressed / times_shown::DOUBLE), 6) AS interference_rate FROM t WHERE ({O.normal_status('status')}) = 'proposed'""")
+ round(least(1.0::DOUBLE, times_suppressed / times_shown::DOUBLE), 6) AS interference_rate FROM t""")
 def workbench_list(v):
     return P.workbench(v.pit(), 30, status="proposed").select(
         "id", "status", F.col("injectable").cast("int").alias("injectable"), r6("interference_rate").alias("interference_rate"))

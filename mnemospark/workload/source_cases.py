@@ -127,7 +127,7 @@ def _task_sql(x):
 
 @case("refine_heuristic", f"""
 SELECT doc_id, {_language_sql("lower(source || ' ' || text)")} AS language, {_task_sql('lower(text)')} AS task_type,
- CASE WHEN doc_id % 3 = 0 THEN 'n' || doc_id || ': ' || lang WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS summary,
+ CASE WHEN doc_id % 3 = 0 THEN 'n' || doc_id || ': ' || lang ELSE text END AS summary,
  regexp_replace(regexp_extract(text, '@[\\w./-]+\\.(?:go|proto|ts|tsx|js|py|java|rs)'), '^@', '') AS entity FROM documents""")
 def refine_heuristic(v):
     return S.refine(_raw(v)).select("doc_id", "language", "task_type", "summary", F.col("entity_group").alias("entity"))
@@ -140,7 +140,7 @@ def project_from_path(v):
 
 
 @case("compression_insight", O.with_views("turns", ("t", f"SELECT session_id, seq, {O.trim_space('content')} AS t FROM v_turns")) + f"""
-SELECT session_id, '[memory] ' || substr(arg_max(t, seq), 1, 300) AS insight FROM t WHERE {O.confirmed('t')} OR {O.correction('t')} OR length(t) > 20 GROUP BY 1""")
+SELECT session_id, '[memory] ' || arg_max(t, seq) AS insight FROM t WHERE {O.confirmed('t')} OR {O.correction('t')} OR length(t) > 20 GROUP BY 1""")
 def compression_insight(v):
     return messages.compression_insights(v.turn())
 
@@ -166,7 +166,7 @@ def read_only_context(v):
 
 
 @case("delegations", """
-SELECT sha256('delegation' || chr(1) || 'c' || conv_id || chr(1) || turn) AS id, substr('委派：' || text || ' → ' || role, 1, 500) AS summary, 'delegation://' || turn AS uri FROM conversations""")
+SELECT sha256('delegation' || chr(1) || 'c' || conv_id || chr(1) || turn) AS id, '委派：' || text || ' → ' || role AS summary, 'delegation://' || turn AS uri FROM conversations""")
 def delegations(v):
     calls = v.table("conversations").select(F.concat(F.lit("c"), "conv_id").alias("project_id"), F.col("turn").alias("call_id"), F.col("turn").alias("child_id"),
                                             F.col("text").alias("task"), F.col("role").alias("result"))

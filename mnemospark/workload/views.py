@@ -10,7 +10,6 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-_TEXTS = ("documents", "conversations", "pages")
 NOW = datetime(2024, 1, 31)
 
 
@@ -29,9 +28,6 @@ class Views:
 
     def _load(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in _TEXTS and len(df.inputFiles()) < cores:
-            df = df.repartition(cores)  # one small file would keep all text work in one task
         plain = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
         return df.withColumns({c: F.col(c).cast("timestamp") for c in plain}) if plain else df
 

@@ -106,7 +106,7 @@ SELECT id, project_id, summary, entity_group, occurred_at, {O.bigrams('summary')
 
 @case("explicit_update", O.with_views("vec", _PEERS, ("carriers", """SELECT project_id, max(id) AS id FROM v_vec WHERE obsoleted_at IS NULL GROUP BY 1""")) + f"""
 SELECT a.id AS new_id, b.id AS old_id, round({O.dice('a.g', 'b.g')}, 6) AS similarity
-FROM carriers c JOIN peers a ON a.id = c.id JOIN peers b ON b.project_id = a.project_id AND b.id <> a.id AND b.r <= 500 AND a.occurred_at > b.occurred_at
+FROM carriers c JOIN peers a ON a.id = c.id JOIN peers b ON b.project_id = a.project_id AND b.id <> a.id AND a.occurred_at > b.occurred_at
  AND (a.entity_group = '' OR b.entity_group = '' OR a.entity_group = b.entity_group OR true)
 WHERE 8 * len(list_intersect(a.g, b.g)) >= len(a.g) + len(b.g) AND (NOT (20 * len(list_intersect(a.g, b.g)) >= 9 * (len(a.g) + len(b.g)) OR contains(a.summary, b.summary) OR contains(b.summary, a.summary))
  OR (a.p <> 'neutral' AND b.p <> 'neutral' AND a.p <> b.p))""")
@@ -117,7 +117,7 @@ def explicit_update(v):
     return evolve.explicit_updates(carriers, memories).select("new_id", "old_id", r6("similarity").alias("similarity"))
 
 
-@case("relates_to", O.with_views("new vec", ("pool", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY weight DESC, id) AS r FROM v_vec WHERE obsoleted_at IS NULL) WHERE r <= 20""")) + f"""
+@case("relates_to", O.with_views("new vec", ("pool", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY weight DESC, id) AS r FROM v_vec WHERE obsoleted_at IS NULL)""")) + f"""
 SELECT event_id AS from_id, m.id AS to_id, round({O.cosine('n.context_vector', 'm.context_vector')}, 6) AS strength
 FROM v_new n JOIN pool m ON n.project_id = m.project_id WHERE {O.cosine('n.context_vector', 'm.context_vector')} >= 0.7""")
 def relates_to(v):
@@ -125,7 +125,7 @@ def relates_to(v):
     return write.related_links(new, v.vec()).select("from_id", "to_id", r6("strength").alias("strength"))
 
 
-@case("token_jaccard_links", O.with_views("new vec", ("pool", f"""SELECT id, project_id, {O.tokens('summary')} AS t FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY weight DESC, id) AS r FROM v_vec WHERE obsoleted_at IS NULL) WHERE r <= 20"""),
+@case("token_jaccard_links", O.with_views("new vec", ("pool", f"""SELECT id, project_id, {O.tokens('summary')} AS t FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY weight DESC, id) AS r FROM v_vec WHERE obsoleted_at IS NULL)"""),
     ("e", f"SELECT event_id, project_id, {O.tokens('summary')} AS t FROM v_new"), ("x", """
 SELECT event_id, p.id, len(list_filter(e.t, lambda w: list_contains(p.t, w))) AS i, len(e.t) AS la, len(p.t) AS lb FROM e JOIN pool p ON e.project_id = p.project_id""")) + """
 SELECT event_id AS from_id, id AS to_id, round(i / (la + lb - i)::DOUBLE, 6) AS strength FROM x WHERE la > 0 AND lb > 0 AND i / (la + lb - i)::DOUBLE >= 0.15""")
@@ -187,7 +187,7 @@ def feedback_rejects(v):
 
 _CONFLICTS = (("r", f"""
 SELECT * FROM (SELECT id, project_id, type, trust_level, entity_group, {O.polarity('content')} AS p, {O.bigrams('content')} AS g,
- row_number() OVER (PARTITION BY project_id, type ORDER BY weight DESC, id) AS r FROM v_rule WHERE obsoleted_at IS NULL) WHERE r <= 50"""), ("conflicts", """
+ row_number() OVER (PARTITION BY project_id, type ORDER BY weight DESC, id) AS r FROM v_rule WHERE obsoleted_at IS NULL)"""), ("conflicts", """
 SELECT a.project_id, a.type, a.id AS rule_a, b.id AS rule_b, a.trust_level AS ta, b.trust_level AS tb FROM r a JOIN r b
 ON a.project_id = b.project_id AND a.type = b.type AND a.r < b.r AND a.p <> b.p AND a.p <> 'neutral' AND b.p <> 'neutral'
 WHERE len(a.g) > 0 AND len(b.g) > 0 AND 8 * len(list_intersect(a.g, b.g)) >= len(a.g) + len(b.g)"""))
