@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemospark import fixed_values as V
@@ -79,25 +81,78 @@ def create_new(events: DataFrame, now: datetime | Column) -> DataFrame:
         F.coalesce("occurred_at", at).alias("occurred_at"))
 
 
-def related_links(new: DataFrame, memories: DataFrame, candidates: int | None = None) -> DataFrame:
+def _link_block(cosine_floor: float, token_floor: float):
+    """Links between the rows of one block pair."""
+
+    def incidence(tokens: pd.Series, known: pd.Index, values: bool) -> np.ndarray:
+        owner = np.repeat(np.arange(len(tokens)), tokens.str.len())
+        code = known.get_indexer(np.concatenate([*tokens, np.zeros(0, object)]))
+        out = np.zeros((len(tokens), len(known)), np.float32)
+        np.add.at(out, (owner[code >= 0], code[code >= 0]), 1)
+        return out if values else np.minimum(out, 1)
+
+    def vectors(column: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray]:
+        there = np.array([v is not None and len(v) == size and bool(np.any(v)) for v in column])
+        full = np.zeros((len(column), size))
+        for i in np.flatnonzero(there):
+            full[i] = column.iloc[i] / np.linalg.norm(np.asarray(column.iloc[i], np.float64))
+        return full, there
+
+    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"from_id": [], "to_id": [], "strength": []})
+        known = pd.Index(np.concatenate([*right["tokens"], np.zeros(0, object)])).unique()
+        known = known.intersection(pd.Index(np.concatenate([*left["tokens"], np.zeros(0, object)])).unique())
+        shared = np.zeros((len(left), len(right)))
+        for at in range(0, len(known), 4096):
+            part = known[at:at + 4096]
+            shared += incidence(left["tokens"], part, True) @ incidence(right["tokens"], part, False).T
+        la, lb = (d["tokens"].str.len().to_numpy()[:, None] for d in (left, right))
+        total = la + lb.T - shared
+        strength = np.where((la > 0) & (lb.T > 0), shared / np.maximum(total, 1e-12), 0.0)
+        floor = np.full(strength.shape, token_floor)
+        for size in sorted({len(v) for d in (left, right) for v in d["vector"] if v is not None}):
+            (x, in_x), (y, in_y) = vectors(left["vector"], size), vectors(right["vector"], size)
+            both = in_x[:, None] & in_y[None, :]
+            strength[both], floor[both] = np.round(x @ y.T, 9)[both], cosine_floor
+        f, t = left["from_id"].to_numpy(), right["to_id"].to_numpy()
+        i, j = np.nonzero((strength >= floor) & (f[:, None] != t[None, :]))
+        return pd.DataFrame({"from_id": f[i], "to_id": t[j], "strength": strength[i, j]})
+
+    return match
+
+
+def related_links(new: DataFrame, memories: DataFrame, candidates: int | None = None, block_rows: int = 512) -> DataFrame:
     """RELATES_TO edges to the memories of the project (with ``candidates``, its heaviest): cosine where both
-    sides carry a vector, token overlap otherwise."""
+    sides carry a vector, token overlap otherwise.
+
+    Both sides are cut into blocks, and each pair of blocks is one product of token and vector
+    matrices, so a hot project spreads over many tasks and only links leave them.
+    """
     pool = memories.filter(F.col("obsoleted_at").isNull())
     if candidates is not None:
         pool = top_per_key(pool, ["project_id"], [F.desc("weight"), F.asc("id")], candidates, "_top")
-    pool = pinned(pool, _tt=T.tokens(F.col("summary"))).select(
-        F.col("id").alias("to_id"), "project_id", F.col("context_vector").alias("_tv"), "_tt")
-    source = pinned(new, _ft=T.tokens(F.col("summary"))).select(
-        F.col("id").alias("from_id"), "project_id", F.col("context_vector").alias("_fv"), "_ft")
-    signal = X.has_magnitude(F.col("_fv")) & X.has_magnitude(F.col("_tv")) & (F.size("_fv") == F.size("_tv"))
-    strength = F.when(F.coalesce(signal, F.lit(False)), F.round(X.cosine(F.col("_fv"), F.col("_tv")), 9)).otherwise(
-        T.token_jaccard(F.col("_ft"), F.col("_tt")))
-    floor = F.when(F.coalesce(signal, F.lit(False)), F.lit(V.SAME_INFORMATION_COSINE)).otherwise(
-        F.lit(V.TOKEN_LINK_JACCARD))
-    pairs = source.join(pool, "project_id").filter(F.col("from_id") != F.col("to_id"))
-    scored = pinned(pairs, strength=strength, _floor=floor)
-    return scored.filter(F.col("strength") >= F.col("_floor")).select(
-        "from_id", "to_id", F.lit("RELATES_TO").alias("edge_type"), "strength")
+
+    def side(df: DataFrame, ident: str) -> DataFrame:
+        return df.select(F.col("project_id").alias(f"{ident}_key"), F.col("id").alias(ident), F.col("context_vector").alias("vector"),
+                         T.tokens(F.col("summary")).alias("tokens"))
+
+    def dealt(df: DataFrame, ident: str, own: str, other: str) -> DataFrame:
+        own_n, other_n = F.col(f"_n{own}"), F.col(f"_n{other}")
+        return (df.join(sizes, df[f"{ident}_key"] == sizes["_key"]).withColumn(f"{ident}_{own}", F.pmod(F.xxhash64(ident), own_n))
+                .withColumn(f"{ident}_{other}", F.explode(F.sequence(F.lit(0).cast("bigint"), other_n - 1)))
+                .drop("_key", "_nl", "_nr"))
+
+    def blocks(df: DataFrame, ident: str, n: str) -> DataFrame:
+        return df.groupBy("project_id").agg(F.ceil(F.count("*") / block_rows).alias(n))
+
+    sizes = blocks(new, "from_id", "_nl").join(blocks(pool, "to_id", "_nr"), "project_id").withColumnRenamed("project_id", "_key")
+    left, right = dealt(side(new, "from_id"), "from_id", "l", "r"), dealt(side(pool, "to_id"), "to_id", "r", "l")
+    kinds = dict(left.dtypes) | dict(right.dtypes)
+    found = left.groupBy("from_id_key", "from_id_l", "from_id_r").cogroup(right.groupBy("to_id_key", "to_id_l", "to_id_r")).applyInPandas(
+        _link_block(V.SAME_INFORMATION_COSINE, V.TOKEN_LINK_JACCARD),
+        f"from_id {kinds['from_id']}, to_id {kinds['to_id']}, strength double")
+    return found.select("from_id", "to_id", F.lit("RELATES_TO").alias("edge_type"), "strength")
 
 
 def as_edges(links: DataFrame, now: datetime | Column, **properties: Column) -> DataFrame:

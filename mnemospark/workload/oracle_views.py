@@ -20,23 +20,23 @@ SELECT event_id AS id, 'p' || (user_id % 10) AS project_id,
  ts AS created_at, CASE WHEN value < 5 THEN ts END AS obsoleted_at, ts AS occurred_at
 FROM events""",
     "vec": f"""
-SELECT vec_id AS id, 'p' || label AS project_id, lang AS language,
+SELECT doc_id AS id, 'p' || coalesce(label, doc_id % 10) AS project_id, lang AS language,
  CASE lang WHEN 'en' THEN 'debug' WHEN 'fr' THEN 'feature' WHEN 'de' THEN 'review' ELSE 'refactor' END AS task_type,
  {_MARK} || text AS summary, 1 + doc_id % 5 AS trust_level, least(1.0::DOUBLE, n_chars / 3000.0::DOUBLE) AS weight,
  1.0::DOUBLE AS effective_frequency, 'doc:' || (doc_id % 50) AS entity_group, embedding::DOUBLE[] AS context_vector,
  false AS is_correction, (doc_id % 5) / 5.0::DOUBLE AS surprise_score, {_MINUTE} AS created_at,
  CASE WHEN n_chars < 100 THEN {_MINUTE} END AS obsoleted_at, {_MINUTE} AS occurred_at
-FROM embeddings JOIN documents ON vec_id = doc_id""",
+FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
     "new": f"""
-SELECT doc_id + 1000000 AS event_id, doc_id AS seq, 'p' || label AS project_id,
+SELECT doc_id + 1000000 AS event_id, doc_id AS seq, 'p' || coalesce(label, doc_id % 10) AS project_id,
  CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS language, 'debug' AS task_type,
  CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 3 = 0 THEN 'doc:new' ELSE 'doc:' || (doc_id % 50) END AS entity_group,
  CASE WHEN doc_id % 2 = 0 THEN CASE doc_id % 3 WHEN 0 THEN 'always ' WHEN 1 THEN 'never ' ELSE '' END ELSE {_MARK} END
   || text || ' again' AS summary,
- list_concat(embedding[1:56], [0,0,0,0,0,0,0,0]::FLOAT[])::DOUBLE[] AS context_vector,
+ CASE WHEN embedding IS NOT NULL THEN list_concat(embedding[1:56], [0,0,0,0,0,0,0,0]::FLOAT[])::DOUBLE[] END AS context_vector,
  doc_id % 6 = 0 AS is_correction, CASE WHEN doc_id % 6 = 0 THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS surprise_score,
  CASE WHEN doc_id % 4 = 0 THEN TIMESTAMP '2023-12-31 00:00:00' ELSE make_timestamp(1706745600000000 + doc_id * 60000000) END AS occurred_at
-FROM embeddings JOIN documents ON vec_id = doc_id""",
+FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
     "rule": f"""
 SELECT doc_id AS id, source AS project_id, CASE WHEN doc_id % 2 = 0 THEN 'RULE' ELSE 'CONSTRAINT' END AS type,
  {_MARK} || text AS content, 1 + doc_id % 5 AS trust_level, least(1.0::DOUBLE, n_chars / 3000.0::DOUBLE) AS weight,

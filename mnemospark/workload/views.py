@@ -59,13 +59,17 @@ class Views:
     def _minute(ident: str = "doc_id") -> Column:
         return F.timestamp_micros(F.lit(1704067200000000) + F.col(ident) * 60000000)  # 2024-01-01 + id minutes
 
+    @staticmethod
+    def _project() -> Column:
+        return F.concat(F.lit("p"), F.coalesce(F.col("label"), F.col("doc_id") % 10))
+
     def vec(self) -> DataFrame:
-        """Documents with their vector, as episodes of the project of the label."""
+        """All documents, with their vector where there is one, as episodes of the project of the label."""
         none = F.lit(None)
         lang = F.col("lang")
-        joined = self.table("embeddings").join(self.table("documents"), F.col("vec_id") == F.col("doc_id"))
+        joined = self.table("documents").join(self.table("embeddings"), F.col("vec_id") == F.col("doc_id"), "left")
         return joined.select(
-            F.col("vec_id").alias("id"), F.concat(F.lit("p"), F.col("label")).alias("project_id"), lang.alias("language"),
+            F.col("doc_id").alias("id"), self._project().alias("project_id"), lang.alias("language"),
             F.when(lang == "en", "debug").when(lang == "fr", "feature").when(lang == "de", "review")
             .otherwise("refactor").alias("task_type"),
             self._marked().alias("summary"), F.lit("LLM").alias("source_type"),
@@ -78,19 +82,19 @@ class Views:
             F.when(F.col("n_chars") < 100, self._minute()).alias("obsoleted_at"), self._minute().alias("occurred_at"))
 
     def new(self) -> DataFrame:
-        """Write events: every vector row again, slightly changed, so that all
+        """Write events: every document again, slightly changed, so that all
         separation reasons, restatements and directive flips occur."""
         d = F.col("doc_id")
         swapped = F.when(d % 3 == 0, "always ").when(d % 3 == 1, "never ").otherwise("")
         kept = F.when(d % 3 == 0, "never ").when(d % 3 == 1, "always ").otherwise("")
-        joined = self.table("embeddings").join(self.table("documents"), F.col("vec_id") == d)
+        joined = self.table("documents").join(self.table("embeddings"), F.col("vec_id") == d, "left")
         return joined.select(
-            (d + 1000000).alias("event_id"), d.alias("seq"), F.concat(F.lit("p"), F.col("label")).alias("project_id"),
+            (d + 1000000).alias("event_id"), d.alias("seq"), self._project().alias("project_id"),
             F.when(d % 5 == 0, "xx").otherwise(F.col("lang")).alias("language"), F.lit("debug").alias("task_type"),
             F.when(d % 7 == 0, "").when(d % 3 == 0, "doc:new").otherwise(F.concat(F.lit("doc:"), d % 50))
             .alias("entity_group"),
             F.concat(F.when(d % 2 == 0, swapped).otherwise(kept), F.col("text"), F.lit(" again")).alias("summary"),
-            F.concat(F.slice("embedding", 1, 56), F.array_repeat(F.lit(0.0).cast("float"), 8)).alias("context_vector"),
+            F.when(F.col("embedding").isNotNull(), F.concat(F.slice("embedding", 1, 56), F.array_repeat(F.lit(0.0).cast("float"), 8))).alias("context_vector"),
             (d % 6 == 0).alias("is_correction"), F.when(d % 6 == 0, 0.7).otherwise(0.0).alias("surprise_score"),
             F.when(d % 4 == 0, F.lit(datetime(2023, 12, 31))).otherwise(
                 F.timestamp_micros(F.lit(1706745600000000) + d * 60000000)).alias("occurred_at"))

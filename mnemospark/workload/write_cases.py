@@ -14,7 +14,7 @@ from mnemospark.workload.views import NOW
 _NEAR = ("near", f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY sem DESC, weight DESC, id) AS rank FROM (
  SELECT event_id, m.id, m.weight, {O.cosine('n.context_vector', 'm.context_vector')} AS sem
- FROM v_new n JOIN v_vec m ON n.project_id = m.project_id WHERE m.obsoleted_at IS NULL)) WHERE rank <= 5""")
+ FROM v_new n JOIN v_vec m ON n.project_id = m.project_id WHERE m.obsoleted_at IS NULL) WHERE sem IS NOT NULL) WHERE rank <= 5""")
 _JUDGED = ("judged", """
 SELECT near.event_id, n.seq, near.id, sem, rank, CASE WHEN sem < 0.85 THEN 'below_similarity_threshold' WHEN n.language <> m.language THEN 'different_language'
  WHEN n.entity_group <> m.entity_group THEN 'different_entity' ELSE 'same_entity_same_context' END AS reason
@@ -117,9 +117,12 @@ def explicit_update(v):
     return evolve.explicit_updates(carriers, memories).select("new_id", "old_id", r6("similarity").alias("similarity"))
 
 
-@case("relates_to", O.with_views("new vec", ("pool", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY weight DESC, id) AS r FROM v_vec WHERE obsoleted_at IS NULL)""")) + f"""
-SELECT event_id AS from_id, m.id AS to_id, round({O.cosine('n.context_vector', 'm.context_vector')}, 6) AS strength
-FROM v_new n JOIN pool m ON n.project_id = m.project_id WHERE {O.cosine('n.context_vector', 'm.context_vector')} >= 0.7""")
+@case("relates_to", O.with_views("new vec", ("a", f"SELECT event_id, project_id, context_vector AS v, {O.tokens('summary')} AS t FROM v_new"),
+    ("b", f"SELECT id, project_id, context_vector AS v, {O.tokens('summary')} AS t FROM v_vec WHERE obsoleted_at IS NULL"), ("x", f"""
+SELECT event_id, b.id, {O.cosine('a.v', 'b.v')} AS sem, len(list_filter(a.t, lambda w: list_contains(b.t, w))) AS i, len(a.t) AS la, len(b.t) AS lb
+FROM a JOIN b ON a.project_id = b.project_id""")) + """
+SELECT event_id AS from_id, id AS to_id, round(coalesce(sem, i / (la + lb - i)::DOUBLE), 6) AS strength FROM x
+WHERE CASE WHEN sem IS NOT NULL THEN sem >= 0.7 ELSE la > 0 AND lb > 0 AND i / (la + lb - i)::DOUBLE >= 0.15 END""")
 def relates_to(v):
     new = v.new().withColumn("id", F.col("event_id"))
     return write.related_links(new, v.vec()).select("from_id", "to_id", r6("strength").alias("strength"))
