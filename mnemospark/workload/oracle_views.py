@@ -59,7 +59,7 @@ SELECT k AS id, 'func:f' || (k % 20) || '.py' AS entity_id, 'FUNCTION' AS entity
  CASE WHEN k % 13 = 0 THEN last END AS obsoleted_at, [e1, e2, -1] AS source_episodic_ids,
  CASE k % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'proposed' WHEN 2 THEN 'suppressed' ELSE '' END AS status,
  n AS times_shown, low AS times_suppressed, 0 AS times_adopted, k % 4 AS protection_level
-FROM (SELECT user_id % 50 AS k, count(*) AS n, max(ts) AS last, min(ts) AS first, max(value) AS top,
+FROM (SELECT user_id AS k, count(*) AS n, max(ts) AS last, min(ts) AS first, max(value) AS top,
   CAST(sum(CASE WHEN value < 20 THEN 1 ELSE 0 END) AS BIGINT) AS low, min(event_id) AS e1, max(event_id) AS e2
  FROM events WHERE event_type = 'error' GROUP BY 1) LEFT JOIN embeddings e ON e.vec_id = k""",
     "q": """

@@ -124,9 +124,9 @@ class Views:
             .otherwise("soon").alias("chat_time"))
 
     def pit(self) -> DataFrame:
-        """Pitfalls from error events, one per user group."""
+        """Pitfalls from error events, one per user."""
         k = F.col("k")
-        errors = self.table("events").filter(F.col("event_type") == "error").withColumn("k", F.col("user_id") % 50)
+        errors = self.table("events").filter(F.col("event_type") == "error").withColumn("k", F.col("user_id"))
         grouped = errors.groupBy("k").agg(
             F.count("*").alias("n"), F.max("ts").alias("last"), F.min("ts").alias("first"), F.max("value").alias("top"),
             F.sum((F.col("value") < 20).cast("bigint")).alias("low"), F.min("event_id").alias("e1"),
