@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemospark import fixed_values as V
 from mnemospark.functions import text as T, vectors as X, weights as W
-from mnemospark.operators.ranking import apply_clamped, clamped_sum, nearest_neighbours, pinned, top_per_key
+from mnemospark.operators.ranking import apply_clamped, clamped_sum, durable, nearest_neighbours, pinned, top_per_key
 
 
 def similar_memories(events: DataFrame, memories: DataFrame, k: int = V.NEIGHBOUR_K) -> DataFrame:
@@ -47,6 +47,41 @@ def merge_targets(judged: DataFrame, covered: DataFrame | None = None) -> DataFr
     return best.select("event_id", "b.*")
 
 
+def batch_joins(rows: DataFrame, covered: DataFrame, threshold: float = V.MERGE_COSINE, k: int = V.NEIGHBOUR_K) -> DataFrame:
+    """memory_id, id, similarity: which earlier new row a new row joins, as if written one after another.
+
+    ``rows`` are new memories with ``seq``; ``covered`` (new_id, old_id, new_seq) are supersessions among
+    them. A row joins the most similar earlier row of its project, language and entity that joined nothing
+    itself and wasn't superseded before, by this row or an earlier one. Rows without an undecided earlier
+    look-alike are settled as standing; whatever looks like a standing row is settled as joining; this
+    repeats for the rest. A round settles at least the first row of every key, a group of near copies
+    takes one, and ``k`` look-alikes of a row are considered at a time.
+    """
+    on = ("project_id", "language", "entity_group")
+    gone = covered.groupBy(F.col("old_id").alias("right_id")).agg(F.min("new_seq").alias("_gone"))
+    own = covered.select(F.col("new_id").alias("left_id"), F.col("old_id").alias("right_id"))
+
+    def alike(left: DataFrame, right: DataFrame) -> DataFrame:
+        found = nearest_neighbours(left, right, k, on=on, earlier=("seq", "seq")).filter(F.col("similarity") >= threshold)
+        timed = found.join(left.select(F.col("id").alias("left_id"), F.col("seq").alias("_seq")), "left_id").join(gone, "right_id", "left")
+        return timed.filter(F.col("_gone").isNull() | (F.col("_gone") > F.col("_seq"))).join(own, ["left_id", "right_id"], "left_anti")
+
+    def without(df: DataFrame, ids: DataFrame, name: str = "left_id") -> DataFrame:
+        return df.join(ids.select(F.col(name).alias("id")).distinct(), "id", "left_anti")
+
+    waiting, standing = rows, None
+    while True:
+        settled = durable(without(waiting, alike(waiting, waiting)))
+        standing = settled if standing is None else durable(standing.unionByName(settled))
+        rest = without(waiting, settled, "id")
+        waiting = durable(without(rest, alike(rest, settled)))
+        if waiting.isEmpty():
+            break
+    best = alike(without(rows, standing, "id"), standing).groupBy("left_id").agg(
+        F.min_by(F.struct("right_id", "similarity"), "rank").alias("b"))
+    return best.select(F.col("left_id").alias("memory_id"), F.col("b.right_id").alias("id"), F.col("b.similarity").alias("similarity"))
+
+
 def merge_append(memories: DataFrame, events: DataFrame, targets: DataFrame, now: datetime | Column) -> DataFrame:
     """Updated rows of the memories that absorbed events, appended in seq order."""
     at = now if isinstance(now, Column) else F.lit(now)

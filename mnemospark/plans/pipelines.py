@@ -27,13 +27,13 @@ class WriteResult:
 
 def write_batch(events: DataFrame, memories: DataFrame, pitfalls: DataFrame, now: datetime, link: bool = True
                 ) -> WriteResult:
-    """Gate-passed events against a snapshot, then one pass among the new rows.
+    """Gate-passed events against a snapshot, then among the new rows.
 
     ``events``: event_id, project_id, seq, language, task_type, entity_group,
     summary, context_vector, is_correction, surprise_score, occurred_at. Order
-    of effects: neighbours, supersession, merge or create, boost, links. In the
-    second pass a new row joins the most similar earlier new row of the same
-    project, language and entity, provided that row itself joined nothing.
+    of effects: neighbours, supersession, merge or create, boost, links. The second
+    pass does the same among the new rows (:func:`write.batch_joins`); a new row that
+    joined another isn't superseded by itself.
     """
     at = F.lit(now)
     carriers = events.withColumn("id", F.col("event_id").cast("string")).withColumn("created_at", at)
@@ -50,15 +50,16 @@ def write_batch(events: DataFrame, memories: DataFrame, pitfalls: DataFrame, now
     keyed = by_id.select("event_id", "seq", "project_id").withColumn(
         "memory_id", T.stable_id("episodic", F.col("project_id"), F.col("event_id")))
 
-    # Second pass: roots are new rows with no earlier look-alike in the batch.
-    ordered = fresh.join(keyed.select(F.col("memory_id").alias("id"), "seq", "event_id"), "id")
-    blank = ordered.fillna("", ["language", "entity_group"])
-    alike = nearest_neighbours(blank, blank, V.NEIGHBOUR_K, on=("project_id", "language", "entity_group"),
-                               earlier=("seq", "seq")).filter(F.col("similarity") >= V.MERGE_COSINE)
-    alike = durable(alike)
-    roots = alike.join(alike.select(F.col("left_id").alias("right_id")).distinct(), "right_id", "left_anti")
-    joins = roots.groupBy("left_id").agg(F.min_by(F.struct("right_id", "similarity"), "rank").alias("b")).select(
-        F.col("left_id").alias("memory_id"), F.col("b.right_id").alias("id"), F.col("b.similarity").alias("similarity"))
+    # Second pass: the new rows among themselves, in the order of writing.
+    ordered = durable(fresh.join(keyed.select(F.col("memory_id").alias("id"), "seq", "event_id"), "id").fillna("", ["language", "entity_group"]))
+    around = nearest_neighbours(ordered, ordered, V.NEIGHBOUR_K, earlier=("seq", "seq"))
+    newer = evolve.covered_pairs(evolve.update_pairs(ordered, ordered, around.select(
+        F.col("left_id").alias("new_id"), F.col("right_id").alias("old_id"))))
+    newer = durable(newer.join(ordered.select(F.col("id").alias("new_id"), F.col("seq").alias("new_seq")), "new_id"))
+    joins = durable(write.batch_joins(ordered, newer.select("new_id", "old_id", "new_seq")))
+    later = newer.join(joins.select(F.col("memory_id").alias("old_id")), "old_id", "left_anti").join(
+        ordered.select(F.col("id").alias("new_id"), "event_id"), "new_id").withColumn("new_id", F.col("event_id"))
+    covered = covered.unionByName(later.select(*covered.columns))
     inner = durable(joins.join(keyed.select("memory_id", "event_id", "seq"), "memory_id"))
     standing = fresh.join(inner.select(F.col("memory_id").alias("id")), "id", "left_anti")
     grown = write.merge_append(standing, by_id, inner.select("event_id", "seq", "id", "similarity"), at)

@@ -84,6 +84,35 @@ def test_write_batch(spark):
     assert sorted(r.id for r in again.memories.collect()) == sorted(rows)
 
 
+def test_write_batch_follows_the_order_of_writing(spark):
+    from math import cos, radians, sin
+
+    turns = [dict(summary=f"topic {c} told at angle {a}", context_vector=[cos(radians(a)), sin(radians(a)), 0.0]) for c, a in zip("abcd", (0, 25, 50, 75))]
+    says = [dict(summary="The user prefers PostgreSQL", entity_group="", context_vector=[0.0, 0.0, 1.0], occurred_at=datetime(2029, 5, 1)),
+            dict(summary="The user now prefers SQLite", entity_group="", context_vector=[0.0, 0.1, 1.0], occurred_at=datetime(2029, 5, 3))]
+    events = write_event(spark, [*turns, *says])
+    pits = spark.createDataFrame([], "id string, entity_id string, project_id string, obsoleted_at timestamp")
+    result = pipelines.write_batch(events, episodic(spark, []), pits, NEW)
+    actions = {r.event_id: r.merge_action for r in result.outcomes.collect()}
+    assert [actions[f"n{i}"] for i in range(6)] == ["created_new", "updated_existing", "created_new", "updated_existing", "created_new", "created_new"]
+    rows = {r.summary: r for r in result.memories.collect()}
+    assert len(rows) == 4 and rows["The user prefers PostgreSQL"].obsoleted_at == NEW and rows["The user now prefers SQLite"].obsoleted_at is None
+    edge = result.edges.filter("edge_type = 'SUPERSEDED'").collect()
+    assert [(e.from_id, e.to_id) for e in edge] == [(rows["The user now prefers SQLite"].id, rows["The user prefers PostgreSQL"].id)]
+
+
+def test_write_batch_settles_a_hot_group_in_one_round(spark, monkeypatch):
+    from mnemospark.operators import write
+
+    rounds = []
+    monkeypatch.setattr(write, "durable", lambda df, f=write.durable: rounds.append(1) or f(df))
+    events = write_event(spark, [dict(summary=f"the same told {i} times", context_vector=[1.0, i / 1000, 0.0]) for i in range(60)])
+    pits = spark.createDataFrame([], "id string, entity_id string, project_id string, obsoleted_at timestamp")
+    result = pipelines.write_batch(events, episodic(spark, []), pits, NEW)
+    assert {r["count"] for r in result.outcomes.groupBy("merge_action").count().collect()} == {1, 59}
+    assert len(rounds) == 2
+
+
 def brute_hac(items, floor):
     def dice(a, b):
         x, y = ({s[i:i + 2] for i in range(len(s) - 1)} for s in (a, b))
