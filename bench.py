@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -14,7 +15,8 @@ from mnemospark.workload import catalog
 HEADLINE = [
     "effective_frequency", "full_weight", "feedback_fold", "rrf_topk", "two_stage", "similar_memories", "separation",
     "supersession", "rule_conflicts", "gate_stateful", "traceback", "risk_score", "representative", "pitfall_merge",
-    "near_dup_suppress", "ingest_dedup", "latency_percentile",
+    "near_dup_suppress", "ingest_dedup", "latency_percentile", "boosted_cosine_topk", "mixed_search", "relates_to", "keyword_embedding",
+    "write_pipeline", "consolidation_run", "edit_context",
 ]
 
 
@@ -25,7 +27,9 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-checkpoint-"))  # one machine, so shared
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     # Start-up, class loading and the first Python worker are not a query's cost.

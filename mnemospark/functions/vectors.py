@@ -61,30 +61,40 @@ def _fnv1a(data: bytes) -> int:
 def keyword_vector(text: Column, dim: int = V.EMBEDDING_DIM) -> Column:
     """Hashed character-bigram embedding, unit length, case kept.
 
-    The bigrams of one language repeat endlessly, so each is hashed once per
-    worker batch stream and then looked up.
+    A batch is one array of code-point pairs; only pairs that the worker hasn't met are
+    hashed, and all texts of a chunk are counted in one pass.
     """
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        slots: dict[str, tuple[int, int]] = {}
-
-        def one(value: str | None) -> np.ndarray:
-            vec = np.zeros(dim, dtype=np.float32)
-            value = value or ""
-            grams = [value] if len(value) == 1 else map("".join, zip(value, value[1:]))
-            for gram in grams:
-                slot = slots.get(gram)
-                if slot is None:
-                    if len(slots) > 2_000_000:
-                        slots.clear()
-                    sign = -1 if _fnv1a(("s" + gram).encode()) & 1 else 1
-                    slot = slots[gram] = (_fnv1a(gram.encode()) % dim, sign)
-                vec[slot[0]] += slot[1]
-            norm = np.float32(np.sqrt(np.sum(vec.astype(np.float64) ** 2)))
-            return vec / norm if norm > 0 else vec
+        slots: dict[int, tuple[int, int]] = {}
+
+        def slot(pair: int) -> tuple[int, int]:
+            found = slots.get(pair)
+            if found is None:
+                first, second = divmod(pair, 1 << 21)
+                gram = (chr(first - 1) if first else "") + chr(second)
+                sign = -1 if _fnv1a(("s" + gram).encode()) & 1 else 1
+                if len(slots) > 2_000_000:
+                    slots.clear()
+                found = slots[pair] = (_fnv1a(gram.encode()) % dim, sign)
+            return found
+
+        def pairs(value: str | None) -> np.ndarray:
+            code = np.frombuffer((value or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+            return code if len(code) < 2 else ((code[:-1] + 1) << 21) | code[1:]
+
+        def chunk(values: pd.Series) -> list[np.ndarray]:
+            each = [pairs(v) for v in values]
+            owner = np.repeat(np.arange(len(each)), [len(p) for p in each])
+            known, at = np.unique(np.concatenate(each), return_inverse=True)
+            where, sign = np.array([slot(p) for p in known.tolist()], np.int64).reshape(-1, 2).T
+            flat = np.bincount(owner * dim + where[at], weights=sign[at], minlength=len(each) * dim)
+            vec = flat.reshape(len(each), dim).astype(np.float32)
+            norm = np.sqrt(np.sum(vec.astype(np.float64) ** 2, axis=1, keepdims=True)).astype(np.float32)
+            return list(np.divide(vec, norm, out=vec, where=norm > 0))
 
         for batch in batches:
-            yield pd.Series([one(v) for v in batch])
+            yield pd.Series([v for start in range(0, len(batch), 128) for v in chunk(batch.iloc[start:start + 128])], dtype=object)
 
     return embed(text)
