@@ -97,45 +97,79 @@ def _bigrams(s: str) -> frozenset:
 
 
 def _cluster_group(cosine_floor: float, dice_floor: float):
-    """Average-link clustering of one entity's episodes (at most the entity cap).
+    """Average-link clustering of one entity's episodes.
 
-    Sums and pair counts are kept per cluster pair, so a merge adds two rows.
+    Sums and pair counts are kept per cluster pair, so a merge adds two rows; only the row
+    that changed, and rows whose best partner it was, are looked at again.
     """
 
+    def overlaps(grams: list[frozenset]) -> np.ndarray:
+        code = {g: k for k, g in enumerate(sorted(set().union(*grams)))}
+        size = np.array([len(g) for g in grams])
+        shared = np.zeros((len(grams), len(grams)), np.float32)
+        owner = np.repeat(np.arange(len(grams)), size)
+        at = np.array([code[g] for gs in grams for g in gs], np.int64)
+        for start in range(0, len(code), 4096):
+            part, here = np.zeros((len(grams), 4096), np.float32), (at >= start) & (at < start + 4096)
+            part[owner[here], at[here] - start] = 1
+            shared += part @ part.T
+        return 2.0 * shared.astype(np.float64) / np.maximum(size[:, None] + size[None, :], 1)
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("position", ignore_index=True)
         n = len(group)
         vectors = [None if v is None or not np.any(v) else np.asarray(v, dtype=np.float64) for v in group["vector"]]
-        grams = [_bigrams(s) for s in group["summary"]]
-        cos, seen, lex = np.zeros((n, n)), np.zeros((n, n)), np.zeros((n, n))
-        for i in range(n):
-            for j in range(i + 1, n):
-                if vectors[i] is not None and vectors[j] is not None:
-                    seen[i, j] = seen[j, i] = 1
-                    if len(vectors[i]) == len(vectors[j]):
-                        norm = np.linalg.norm(vectors[i]) * np.linalg.norm(vectors[j])
-                        cos[i, j] = cos[j, i] = float(vectors[i] @ vectors[j]) / norm
-                total = len(grams[i]) + len(grams[j])
-                if grams[i] and grams[j]:
-                    lex[i, j] = lex[j, i] = 2.0 * len(grams[i] & grams[j]) / total
-        floor = cosine_floor if any(v is not None for v in vectors) else dice_floor
-        members = [[i] for i in range(n)]
-        sizes = np.ones(n)
-        while len(members) > 1:
-            pairs = np.outer(sizes, sizes)
+        lex = overlaps([_bigrams(s) for s in group["summary"]])
+        there = np.array([v is not None for v in vectors])
+        seen = (there[:, None] & there[None, :]).astype(np.float64)
+        cos = np.zeros((n, n))
+        for size in {len(v) for v in vectors if v is not None}:
+            at = np.array([i for i, v in enumerate(vectors) if v is not None and len(v) == size])
+            x = np.stack([vectors[i] / np.linalg.norm(vectors[i]) for i in at])
+            cos[np.ix_(at, at)] = x @ x.T
+        for m in (cos, seen, lex):
+            np.fill_diagonal(m, 0.0)
+        floor = cosine_floor if there.any() else dice_floor
+        members: list[list[int]] = [[i] for i in range(n)]
+        sizes, alive = np.ones(n), np.ones(n, np.bool_)
+
+        def row(i: int) -> np.ndarray:
             with np.errstate(invalid="ignore", divide="ignore"):
-                sims = np.where(seen > 0, cos / seen, lex / pairs)
-            sims = np.round(np.where(np.triu(np.ones_like(sims), 1) > 0, sims, -np.inf), 9)
-            i, j = np.unravel_index(np.argmax(sims), sims.shape)
-            if sims[i, j] <= 0 or sims[i, j] < floor:
+                sims = np.round(np.where(seen[i] > 0, cos[i] / seen[i], lex[i] / (sizes[i] * sizes)), 9)
+            return np.where(alive, sims, -np.inf)
+
+        best, partner = np.full(n, -np.inf), np.zeros(n, np.int64)
+
+        def look(i: int) -> None:
+            later = row(i)[i + 1:]
+            if len(later):
+                k = int(np.argmax(later))
+                best[i], partner[i] = later[k], i + 1 + k
+            else:
+                best[i] = -np.inf
+
+        for i in range(n):
+            look(i)
+        while alive.sum() > 1:
+            i = int(np.argmax(best))
+            j = int(partner[i])
+            if not best[i] > 0 or best[i] < floor:
                 break
             for m in (cos, seen, lex):
                 m[i, :] += m[j, :]
                 m[:, i] += m[:, j]
-            cos, seen, lex = (np.delete(np.delete(m, j, 0), j, 1) for m in (cos, seen, lex))
-            members[i] += members.pop(j)
+            members[i] += members[j]
             sizes[i] += sizes[j]
-            sizes = np.delete(sizes, j)
+            alive[j], best[j] = False, -np.inf
+            fresh = row(i)
+            for k in np.flatnonzero(alive[:i] & np.isin(partner[:i], (i, j))):
+                look(k)
+            better = np.flatnonzero(alive[:i] & ((fresh[:i] > best[:i]) | ((fresh[:i] == best[:i]) & (partner[:i] > i))))
+            best[better], partner[better] = fresh[better], i
+            for k in i + np.flatnonzero(alive[i:j] & (partner[i:j] == j)):
+                look(k)
+            look(i)
+        members = [m for m, kept in zip(members, alive) if kept]
         label = {m: (c, p) for c, ms in enumerate(members) for p, m in enumerate(ms)}
         out = group[["project_id", "entity_group", "id"]].copy()
         out["cluster"] = [label[m][0] for m in range(n)]
@@ -163,7 +197,7 @@ def cluster_entities(groups: DataFrame, vector: str | None = "context_vector",
 def representatives(clusters: DataFrame, keys: tuple[str, ...] = ("project_id", "entity_group", "cluster")) -> DataFrame:
     """Most representative member of each cluster: highest mean overlap with the rest.
 
-    ``clusters`` has keys, id, member, summary; a cluster is bounded by the entity cap.
+    ``clusters`` has keys, id, member, summary; its members meet inside the join, never in one row.
     """
     rows = pinned(clusters.select(*keys, "id", "member", "summary"), _g=T.char_bigrams(F.col("summary")))
     other = rows.select(*keys, F.col("id").alias("_oid"), F.col("_g").alias("_og"))
@@ -235,8 +269,7 @@ def dedup_pitfalls(pitfalls: DataFrame, floor: float = V.PITFALL_DEDUP_COSINE) -
     """leader_id of each pitfall of one run: cosine of signatures, or equal
     signatures where a vector is missing; never across entities.
 
-    The input is the output of one extraction run, so an entity has at most half
-    the entity cap of them.
+    The input is the output of one extraction run: one pitfall per cluster of an entity.
     """
     slim = pitfalls.select("project_id", "entity_id", F.col("id").cast("string").alias("id"), "position", "signature",
                            F.col("signature_embedding").cast("array<double>").alias("vector"))

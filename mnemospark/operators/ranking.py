@@ -52,6 +52,28 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
+def block_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: str, right_id: str,
+                left_rows: int = CHUNK, right_rows: int = CHUNK):
+    """Both sides cut into blocks of about so many rows per key, ready to meet block by block.
+
+    ``on`` names key columns of either side. Returns the two grouped frames for ``cogroup``; their
+    columns are prefixed ``l_`` and ``r_``. A hot key becomes many block pairs.
+    """
+    counts = left.groupBy(*on).agg(F.ceil(F.count("*") / left_rows).alias("_nl")).join(
+        right.groupBy(*on).agg(F.ceil(F.count("*") / right_rows).alias("_nr")), list(on)) if on else left.agg(
+        F.ceil(F.count("*") / left_rows).alias("_nl")).crossJoin(right.agg(F.ceil(F.count("*") / right_rows).alias("_nr")))
+
+    def dealt(df: DataFrame, prefix: str, ident: str, own: str, other: str):
+        sized = df.join(counts, list(on)) if on else df.crossJoin(F.broadcast(counts))  # counts: one row without keys
+        placed = (sized.withColumn(f"_b{own}", F.pmod(F.xxhash64(ident), F.greatest(f"_n{own}", F.lit(1))))
+                  .withColumn(f"_b{other}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(f"_n{other}", F.lit(1)) - 1)))
+                  .drop("_nl", "_nr"))
+        named = placed.select(*[F.col(c).alias(f"{prefix}_{c}") for c in placed.columns])
+        return named.groupBy(*[f"{prefix}_{c}" for c in (*on, "_bl", "_br")])
+
+    return dealt(left, "l", left_id, "l", "r"), dealt(right, "r", right_id, "r", "l")
+
+
 def _rank_block(k: int, earlier_only: bool):
     """Best k right rows for each left row of one block pair."""
 

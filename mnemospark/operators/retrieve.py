@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mnemospark import fixed_values as V
 from mnemospark.functions import text as T, vectors as X, weights as W
-from mnemospark.operators.ranking import nearest_neighbours, pinned, top_per_key
+from mnemospark.operators.ranking import block_pairs, durable, nearest_neighbours, pinned, top_per_key
 
 
 def structured_filter(
@@ -67,8 +69,7 @@ def cosine_topk(questions: DataFrame, memories: DataFrame, k: int, surprise_boos
         found = nearest_neighbours(
             questions, memories, k, on=on, left_id="question_id", left_vector="query_vector")
         return found.withColumnsRenamed({"left_id": "question_id", "right_id": "id"})
-    pairs = _pairs(questions, memories, on).filter("sem is not null").withColumn(
-        "similarity", F.round(F.col("sem") * (1 + surprise_boost * F.col("surprise_score")), 9))
+    pairs = _heads(questions, memories, on, k, surprise_boost).withColumnRenamed("sem", "similarity")
     order = [F.desc("similarity"), F.desc("weight"), F.asc("id")]
     return top_per_key(pairs, ["question_id"], order, k).select("question_id", "id", "similarity", "rank")
 
@@ -136,30 +137,124 @@ def gate_stats(questions: DataFrame, memories: DataFrame, cap: int | None = None
 
 # --- rank fusion -------------------------------------------------------------
 
-def _pairs(questions: DataFrame, memories: DataFrame, on: tuple[str, ...] = ("project_id",)) -> DataFrame:
-    """Slim scored pairs: ids, tie-break columns and both channel scores.
-
-    Unit vectors and bigram sets are per-row columns, computed below the join. ``sem``
-    is NULL for a missing or mismatched vector, ``lex`` for no shared bigram.
-    """
-    windows = [c for c in ("occurred_after", "occurred_before") if c in questions.columns]
-    q = pinned(questions.select("question_id", *on, "query", "query_vector", *windows),
-               _qv=X.unit(F.col("query_vector")), _qb=T.char_bigrams(F.col("query"), fold_case=True),
-               ).drop("query", "query_vector")
-    active = memories.filter(F.col("obsoleted_at").isNull())
-    m = pinned(active.select("id", *on, "weight", "surprise_score", "occurred_at", "summary", "context_vector"),
-               _mv=X.unit(F.col("context_vector")), _mb=T.char_bigrams(F.col("summary"), fold_case=True),
-               ).drop("summary", "context_vector")
-    pairs = q.join(m, list(on)) if on else q.crossJoin(m)
-    if "occurred_after" in questions.columns:
-        pairs = pairs.filter(F.col("occurred_after").isNull() | (F.col("occurred_at") >= F.col("occurred_after")))
-    if "occurred_before" in questions.columns:
-        pairs = pairs.filter(F.col("occurred_before").isNull() | (F.col("occurred_at") <= F.col("occurred_before")))
-    sem = F.when(F.size("_qv") == F.size("_mv"), X.dot(F.col("_qv"), F.col("_mv")))
-    lex = F.nullif(F.round(T.dice(F.col("_qb"), F.col("_mb")), 9), F.lit(0.0))
-    return pinned(pairs, sem=F.round(sem, 9), lex=lex).select(
-        "question_id", "id", "weight", F.coalesce("surprise_score", F.lit(0.0)).alias("surprise_score"),
-        "occurred_at", "sem", "lex")
+def _scored_blocks(questions: DataFrame, memories: DataFrame, on: tuple[str, ...], *extra: str):
+    """Question and memory blocks with vectors, bigram sets and what ranking needs; ``extra`` question columns ride along."""
+    def at(name: str) -> Column:
+        return (F.unix_micros(name) if name in questions.columns else F.lit(None).cast("bigint")).alias(name)
+
+    q = questions.select("question_id", *on, F.col("query_vector").alias("vector"), T.char_bigrams(F.col("query"), fold_case=True).alias("grams"),
+                         at("occurred_after"), at("occurred_before"), *extra)
+    m = memories.filter(F.col("obsoleted_at").isNull()).select(
+        "id", *on, F.col("context_vector").alias("vector"), T.char_bigrams(F.col("summary"), fold_case=True).alias("grams"), "weight",
+        F.coalesce("surprise_score", F.lit(0.0)).alias("surprise_score"), F.unix_micros("occurred_at").alias("at"))
+    return block_pairs(q, m, on, "question_id", "id", 256, 2048)
+
+
+def _block_scores(left: pd.DataFrame, right: pd.DataFrame, lexical: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Cosine and bigram overlap of every pair of two blocks at nine decimals; NaN where there is none."""
+    shape = (len(left), len(right))
+    sem, lex = np.full(shape, np.nan), np.full(shape, np.nan)
+    for size in {len(v) for v in left["l_vector"] if v is not None}:
+        def unit(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+            at = np.array([i for i, v in enumerate(column) if v is not None and len(v) == size], np.int64)
+            x = np.array([column.iloc[i] for i in at], np.float64).reshape(len(at), size)
+            norm = np.sqrt((x * x).sum(1))
+            return at[norm > 0], x[norm > 0] / norm[norm > 0, None]
+
+        (i, x), (j, y) = unit(left["l_vector"]), unit(right["r_vector"])
+        sem[np.ix_(i, j)] = np.round(x @ y.T, 9)
+    if lexical:
+        def flat(column: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            sets = [np.zeros(0, np.int64) if g is None else np.asarray(g, np.int64) for g in column]
+            sizes = np.array([len(g) for g in sets])
+            return np.repeat(np.arange(len(sets)), sizes), np.concatenate([*sets, np.zeros(0, np.int64)]), sizes
+
+        (own_l, gram_l, size_l), (own_r, gram_r, size_r) = flat(left["l_grams"]), flat(right["r_grams"])
+        known = np.unique(gram_l)
+        shared = np.zeros(shape, np.float32)
+        at_l = np.searchsorted(known, gram_l)
+        at_r = np.minimum(np.searchsorted(known, gram_r), max(len(known) - 1, 0))
+        hit = known[at_r] == gram_r if len(known) else np.zeros(0, np.bool_)
+        own_r, at_r = (own_r[hit], at_r[hit]) if len(known) else (own_r[:0], at_r[:0])
+        for start in range(0, len(known), 4096):
+            width = min(4096, len(known) - start)
+            a, b = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+            here = (at_l >= start) & (at_l < start + width)
+            a[own_l[here], at_l[here] - start] = 1
+            here = (at_r >= start) & (at_r < start + width)
+            b[own_r[here], at_r[here] - start] = 1
+            shared += a @ b.T
+        dice = np.round(2.0 * shared.astype(np.float64) / np.maximum(size_l[:, None] + size_r[None, :], 1), 9)
+        lex = np.where(dice > 0, dice, np.nan)
+    after, before = (left[f"l_occurred_{w}"].to_numpy(np.float64, na_value=np.nan)[:, None] for w in ("after", "before"))
+    at = right["r_at"].to_numpy(np.float64, na_value=np.nan)[None, :]
+    outside = (~np.isnan(after) & ~(at >= after)) | (~np.isnan(before) & ~(at <= before))
+    sem[outside], lex[outside] = np.nan, np.nan
+    return sem, lex
+
+
+def _first(values: np.ndarray, weight: np.ndarray, code: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of one question: value, weight descending, then id."""
+    at = np.flatnonzero(~np.isnan(values))
+    if len(at) > k:
+        at = at[values[at] >= np.partition(values[at], len(at) - k)[len(at) - k]]
+    return at[np.lexsort((code[at], -weight[at], -values[at]))[:k]]
+
+
+def _head_rows(depth: int, boost: float | None):
+    """Rows that may be among the first ``depth`` of a channel; with ``boost`` the one channel is boosted cosine."""
+
+    def heads(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = {c: [] for c in ("question_id", "id", "weight", "surprise_score", "occurred_at", "sem", "lex")}
+        if len(left) and len(right):
+            sem, lex = _block_scores(left, right, boost is None)
+            weight, surprise = right["r_weight"].to_numpy(np.float64), right["r_surprise_score"].to_numpy(np.float64)
+            ids, code = right["r_id"].to_numpy(), pd.factorize(right["r_id"], sort=True)[0]
+            channels = (sem, lex) if boost is None else (np.round(sem * (1 + boost * surprise), 9),)
+            rows, cols = [], []
+            for i in range(len(left)):
+                at = np.unique(np.concatenate([_first(c[i], weight, code, depth) for c in channels]))
+                rows.append(np.full(len(at), i))
+                cols.append(at)
+            i, j = np.concatenate(rows), np.concatenate(cols)
+            out = {"question_id": left["l_question_id"].to_numpy()[i], "id": ids[j], "weight": weight[j], "surprise_score": surprise[j],
+                   "occurred_at": right["r_at"].to_numpy()[j], "sem": channels[0][i, j] if boost is not None else sem[i, j], "lex": lex[i, j]}
+        return pd.DataFrame(out)
+
+    return heads
+
+
+def _count_rows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """How many pairs of a block come right behind each number of the question's thresholds, by channel."""
+    out: dict[str, list] = {"question_id": [], "channel": [], "at": [], "n": []}
+    if len(left) and len(right):
+        sem, lex = _block_scores(left, right)
+        weight, ids = right["r_weight"].to_numpy(np.float64), right["r_id"].to_numpy()
+        for i in range(len(left)):
+            for channel, values in (("sem", sem[i]), ("lex", lex[i])):
+                key_s, key_w, key_i = (left[f"l_{channel}_{f}"].iloc[i] for f in "swi")
+                at = np.flatnonzero(~np.isnan(values))
+                if key_s is None or not len(key_s) or not len(at):
+                    continue
+                s, w = np.concatenate((key_s, values[at])), np.concatenate((key_w, weight[at]))
+                code = pd.factorize(np.concatenate((np.asarray(key_i, ids.dtype), ids[at])), sort=True)[0]
+                pair = np.arange(len(s)) >= len(key_s)
+                order = np.lexsort((pair, code, -w, -s))
+                passed = np.cumsum(~pair[order])[pair[order]]
+                place, n = np.unique(passed, return_counts=True)
+                out["question_id"] += [left["l_question_id"].iloc[i]] * len(place)
+                out["channel"] += [channel] * len(place)
+                out["at"] += place.tolist()
+                out["n"] += n.tolist()
+    return pd.DataFrame(out).astype({"channel": object})
+
+
+def _heads(questions: DataFrame, memories: DataFrame, on: tuple[str, ...], depth: int, boost: float | None = None) -> DataFrame:
+    left, right = _scored_blocks(questions, memories, on)
+    kinds = dict(questions.dtypes) | dict(memories.select("id").dtypes)
+    found = left.cogroup(right).applyInPandas(_head_rows(depth, boost), (
+        f"question_id {kinds['question_id']}, id {kinds['id']}, weight double, surprise_score double, occurred_at bigint, sem double, lex double"))
+    return found.withColumns({"occurred_at": F.timestamp_micros("occurred_at"), "sem": F.nanvl("sem", F.lit(None)), "lex": F.nanvl("lex", F.lit(None))})
 
 
 def fusion_depth(k: int, rrf_k: int, boost: float) -> int:
@@ -178,13 +273,14 @@ def rrf_topk(questions: DataFrame, memories: DataFrame, k: int = V.EPISODE_TOP,
     """Reciprocal rank fusion of cosine and bigram overlap; exact top k per question.
 
     Ranking a question's whole project in a window would put an unbounded group
-    into one task. Instead each channel gives its first L rows (see
-    :func:`fusion_depth`); the other-channel rank of those few candidates is
-    found by counting, with map-side partial sums, how many pairs beat them.
+    into one task. Instead questions and memories meet in blocks, as matrix
+    products, and each block sends on its first L rows of either channel (see
+    :func:`fusion_depth`); the other-channel rank of those few candidates is found
+    by a second pass that sends on only how many pairs beat them.
     Columns: question_id, id, score, rank, sem_rank, lex_rank, occurred_at.
     """
-    pairs = _pairs(questions, memories, on)
     depth = fusion_depth(k, rrf_k, surprise_boost)
+    pairs = durable(_heads(questions, memories, on, depth))
     tie = [F.desc("weight"), F.asc("id")]
     columns = ["question_id", "id", "weight", "surprise_score", "occurred_at", "sem", "lex"]
 
@@ -209,20 +305,13 @@ def rrf_topk(questions: DataFrame, memories: DataFrame, k: int = V.EPISODE_TOP,
     thresholds = candidates.groupBy("question_id").agg(
         best_first(open_keys("sem")).alias("sem_keys"), best_first(open_keys("lex")).alias("lex_keys"))
 
-    def beaten_from(channel: str) -> Column:
-        """Position from which on the thresholds are worse than this pair."""
-        s, w, i = F.col(channel), F.col("weight"), F.col("id")
-        not_worse = F.size(F.filter(F.col(f"{channel}_keys"), lambda t: (t["s"] > s) | ((t["s"] == s) & (
-            (t["w"] > w) | ((t["w"] == w) & (t["i"] <= i))))))
-        return F.when(s.isNotNull(), not_worse)
-
-    places = F.array(
-        F.struct(F.lit("sem").alias("channel"), beaten_from("sem").alias("at")),
-        F.struct(F.lit("lex").alias("channel"), beaten_from("lex").alias("at")))
-    beaten = (
-        pairs.join(thresholds, "question_id").select("question_id", F.explode(places).alias("p"))
-        .filter("p.at is not null").groupBy("question_id", "p.channel", "p.at").agg(F.count("*").alias("n"))
-    )
+    thresholds = durable(thresholds)
+    parts = {f"{c}_{f}": F.col(f"{c}_keys.{f}") for c in ("sem", "lex") for f in "swi"}
+    keyed = questions.join(thresholds.select("question_id", *[c.alias(n) for n, c in parts.items()]), "question_id")
+    left, right = _scored_blocks(keyed, memories, on, *parts)
+    beaten = left.cogroup(right).applyInPandas(
+        _count_rows, f"question_id {dict(questions.dtypes)['question_id']}, channel string, at int, n bigint",
+    ).groupBy("question_id", "channel", "at").agg(F.sum("n").alias("n"))
     opened = thresholds.select("question_id", F.explode(F.array(
         F.struct(F.lit("sem").alias("channel"), F.col("sem_keys").alias("keys")),
         F.struct(F.lit("lex").alias("channel"), F.col("lex_keys").alias("keys")))).alias("o")
