@@ -141,10 +141,11 @@ def relative_time(question: Column, now: datetime | Column) -> Column:
     )
 
 
-def derive_summary(text: Column) -> Column:
-    """Trimmed message without the continue filler and leading punctuation."""
+def derive_summary(text: Column, chars: int | None = None) -> Column:
+    """Trimmed message without the continue filler and leading punctuation, cut only if ``chars`` says so."""
     body = F.regexp_replace(trim_space(text), "^" + V.CONTINUE_PREFIX, "")
-    return F.regexp_replace(body, f"^[{V.LEADING_FILLER}]+", "")
+    whole = F.regexp_replace(body, f"^[{V.LEADING_FILLER}]+", "")
+    return whole if chars is None else truncate(whole, chars)
 
 
 def is_confirmed(text: Column) -> Column:

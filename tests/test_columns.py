@@ -68,14 +68,17 @@ def test_relative_time(spark, text, days, newest):
 
 @pytest.mark.parametrize("text,confirmed,correction", [
     ("记住：软路由在客厅", True, False), ("Remember this: use tabs", True, False), ("不对，evaluator 写错了", False, True),
-    ("Actually it's port 80", False, True), ("Don't use that script", False, True), ("actually " + "x" * 200, False, False), ("hello", False, False)])
+    ("Actually it's port 80", False, True), ("Don't use that script", False, True), ("actually " + "x" * 200, False, True), ("hello", False, False)])
 def test_derivation_flags(spark, text, confirmed, correction):
     assert one(spark, T.is_confirmed(L(text)), T.is_correction(L(text))) == (confirmed, correction)
+    short = correction and len(text) < 200
+    assert one(spark, T.is_correction(L(text), shorter_than=200)) is short
 
 
 def test_derive_summary(spark):
     assert one(spark, T.derive_summary(L(" 继续：检查 openclash 缓存是否污染\n"))) == "检查 openclash 缓存是否污染"
-    assert len(one(spark, T.derive_summary(L("x" * 900)))) == 500
+    assert len(one(spark, T.derive_summary(L("x" * 900)))) == 900
+    assert len(one(spark, T.derive_summary(L("x" * 900), 500))) == 500
 
 
 def test_weights(spark):
