@@ -102,6 +102,22 @@ def resolve_manually(conflicts: DataFrame, decisions: DataFrame, now: datetime |
     return resolved, joined.filter(~F.coalesce(in_pair, F.lit(False)))
 
 
+def resolution_effects(resolved: DataFrame, now: datetime | Column) -> tuple[DataFrame, DataFrame]:
+    """(retired rule ids, CONFLICTS_WITH edges from winner to loser) of settled pairs.
+
+    Takes the rows of :func:`resolve_by_trust` or :func:`resolve_manually`; pending pairs have no effect.
+    A rule that loses several times is retired once and keeps an edge from every winner.
+    """
+    at = now if isinstance(now, Column) else F.lit(now)
+    manual = "loser_id" in resolved.columns
+    winner, loser = ("winner_id", "loser_id") if manual else ("winner", "loser")
+    settled = resolved.filter(F.col(loser).isNotNull()).select(F.col(winner).alias("from_id"), F.col(loser).alias("to_id")).distinct()
+    edges = settled.select(
+        F.col("from_id").cast("string"), F.col("to_id").cast("string"), F.lit("CONFLICTS_WITH").alias("edge_type"),
+        F.create_map(F.lit("resolution"), F.lit("manual" if manual else "winner")).alias("properties"), at.alias("created_at"))
+    return settled.select(F.col("to_id").alias("id")).distinct(), edges
+
+
 def conflict_summary(resolved: DataFrame, *keys: str) -> DataFrame:
     auto = (F.col("status") == "auto_resolved").cast("bigint")
     return resolved.groupBy(*keys).agg(

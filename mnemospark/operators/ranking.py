@@ -255,20 +255,20 @@ def apply_clamped(value: Column, shift: Column, floor: Column, ceiling: Column)
 
 
 def nearest_rank_percentiles(df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[float],
-                             buckets: int = 4096) -> DataFrame:
+                             buckets: int = 256) -> DataFrame:
     """Smallest value whose rank reaches ceil(p/100 * n), per key; exact.
 
-    Values are counted first, then bucketed between the key's minimum and
-    maximum; only the bucket that contains the wanted rank is looked into, so no
-    key is sorted as a whole.
+    Values are counted first, then dealt into buckets between approximate quantiles of the key, so
+    that an outlier doesn't gather all others in one bucket. Counts are exact, and only the
+    bucket that contains the wanted rank is looked into: no key is sorted as a whole.
     """
     keys = list(keys)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
-        F.count("*").alias("_c"))
-    span = counted.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    width = F.col("_hi") - F.col("_lo")
-    bucket = F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width * (buckets - 1))).otherwise(F.lit(0))
-    placed = (counted.join(span, keys) if keys else counted.crossJoin(F.broadcast(span))).withColumn("_b", bucket)
+    known = df.filter(F.col(value).isNotNull())
+    counted = known.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    span = known.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), steps, 10 * buckets).alias("_edges"), F.count("*").alias("_n"))
+    bucket = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
+    placed = (counted.join(span, keys) if keys else counted.crossJoin(F.broadcast(span))).withColumn("_b", bucket).drop("_edges")
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*keys, "_b", "_n").agg(F.sum("_c").alias("_t")).withColumn(
         "_before", F.coalesce(F.sum("_t").over(before), F.lit(0)))

@@ -41,12 +41,15 @@ def read(spark: SparkSession, root: str, table: str, version: int | None = None)
 
 
 def write(df: DataFrame, root: str, table: str) -> int:
-    """Write the next version and return its number. The version being read is never touched."""
+    """Write the next version and return its number. The version being read is never touched.
+
+    Fails if another writer has begun the same version, whose rows would be lost otherwise.
+    """
     spark = df.sparkSession
     known = versions(spark, root, table)
     version = known[-1] + 1 if known else 1
     aligned = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[table].fields])
-    writer = aligned.write.mode("overwrite")
+    writer = aligned.write.mode("errorifexists")
     if table in _PARTITIONED:
         writer = writer.partitionBy("project_id")
     writer.parquet(f"{root}/{table}/v{version:08d}")

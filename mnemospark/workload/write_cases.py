@@ -210,6 +210,38 @@ def conflict_summary(v):
     return evolve.conflict_summary(evolve.resolve_by_trust(evolve.rule_conflicts(v.rule())), "project_id")
 
 
+def _applied(v, resolved):
+    """What is left active per project, and the edges that retire the rest."""
+    retired, edges = evolve.resolution_effects(resolved, NOW)
+    rules = snapshots.obsolete(v.rule(), retired, F.lit(NOW))
+    active = rules.groupBy("project_id").agg(F.count_if(F.col("obsoleted_at").isNull()).alias("active"))
+    per = edges.join(v.rule().select(F.col("id").cast("string").alias("to_id"), "project_id"), "to_id").groupBy("project_id").agg(
+        F.count("*").alias("edges"), F.countDistinct("to_id").alias("retired"))
+    return active.join(per, "project_id", "left").fillna(0)
+
+
+_APPLIED = """
+SELECT r.project_id, count(*) FILTER (r.obsoleted_at IS NULL AND r.id NOT IN (SELECT loser FROM settled)) AS active,
+ coalesce(any_value(e.edges), 0) AS edges, coalesce(any_value(e.retired), 0) AS retired
+FROM v_rule r LEFT JOIN (SELECT project_id, count(DISTINCT (winner, loser)) AS edges, count(DISTINCT loser) AS retired FROM settled GROUP BY 1) e USING (project_id) GROUP BY 1"""
+
+
+@case("conflict_apply", O.with_views("rule", *_CONFLICTS, _RESOLVED, ("settled", "SELECT project_id, winner, loser FROM resolved WHERE loser IS NOT NULL")) + _APPLIED)
+def conflict_apply(v):
+    return _applied(v, evolve.resolve_by_trust(evolve.rule_conflicts(v.rule())))
+
+
+@case("conflict_apply_manual", O.with_views("rule", *_CONFLICTS, ("settled", """
+SELECT project_id, CASE WHEN rule_a % 3 = 0 THEN rule_b ELSE rule_a END AS winner, CASE WHEN rule_a % 3 = 0 THEN rule_a ELSE rule_b END AS loser
+FROM conflicts WHERE rule_a % 3 <> 2""")) + _APPLIED)
+def conflict_apply_manual(v):
+    records = evolve.rule_conflicts(v.rule()).select(
+        F.concat_ws("-", "rule_a", "rule_b").alias("id"), F.col("rule_a").alias("rule_a_id"), F.col("rule_b").alias("rule_b_id"), F.lit("pending").alias("status"))
+    a, b = F.col("rule_a_id"), F.col("rule_b_id")
+    decisions = records.select(F.col("id").alias("conflict_id"), F.when(a % 3 == 0, b).when(a % 3 == 1, a).otherwise(-1).alias("winner_id"), F.lit(" ").alias("note"))
+    return _applied(v, evolve.resolve_manually(records, decisions, NOW)[0])
+
+
 def _tracked(v):
     """Known pairs from the order lines, about half of them pending."""
     n = F.col("l_linenumber") % 2

@@ -76,3 +76,38 @@ def test_upsert_leaves_the_base_where_it_is(spark):
     assert len(rows) == 1001 and rows[5] == "b" and rows[2000] == "c" and rows[6] == "old"
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") <= 2 and "LeftAnti" in plan
+
+
+def test_percentiles_stand_an_outlier(spark):
+    from mnemospark.operators import ranking
+
+    values = [*range(5000), 10**12]
+    df = spark.createDataFrame([("k", float(v)) for v in values] + [("same", 7.0)] * 50, "k string, v double")
+    got = {(r["k"], r["p"]): r["percentile"] for r in ranking.nearest_rank_percentiles(df, ["k"], "v", [1, 50, 99.99, 100]).collect()}
+    assert got["k", 50.0] == values[2500] and got["k", 1.0] == values[50] and got["k", 100.0] == 10**12 and got["same", 50.0] == 7.0
+
+
+def test_a_version_has_one_writer(spark, tmp_path):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from mnemospark import schemas
+    from mnemospark.sources import snapshots
+
+    root = str(tmp_path)
+    none = spark.createDataFrame([], snapshots.TABLES["episodic"])
+    assert schemas and snapshots.write(none, root, "episodic") == 1
+    (tmp_path / "episodic" / "v00000002").mkdir()
+    with pytest.raises(PySparkException):
+        snapshots.write(none, root, "episodic")
+
+
+def test_resolution_retires_losers_and_links_winners(spark):
+    from datetime import datetime
+
+    rows = [("a", "b", "auto_resolved", "a", "b"), ("c", "b", "auto_resolved", "c", "b"), ("d", "e", "pending", None, None)]
+    resolved = spark.createDataFrame(rows, "rule_a string, rule_b string, status string, winner string, loser string")
+    retired, edges = evolve.resolution_effects(resolved, datetime(2029, 5, 3))
+    assert [r["id"] for r in retired.collect()] == ["b"]
+    assert sorted((e["from_id"], e["to_id"], e["edge_type"], e["properties"]["resolution"]) for e in edges.collect()) == [
+        ("a", "b", "CONFLICTS_WITH", "winner"), ("c", "b", "CONFLICTS_WITH", "winner")]
