@@ -87,8 +87,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, centroids: int =
     if total < 2:
         return empty
     keep = SAMPLE if total <= SAMPLE else int(SAMPLE * 0.95)
-    near = rows.filter(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, keep / total))).select("v").limit(SAMPLE).toPandas()["v"]
-    points = np.array(near.tolist() or rows.limit(64).toPandas()["v"].tolist(), np.float64)
+    hashed = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, keep / total))
+    near = rows.filter(hashed).limit(SAMPLE).toPandas()
+    near = near if len(near) else rows.limit(64).toPandas()
+    points = np.array(near.sort_values("vec_id")["v"].tolist(), np.float64)
     half = max(1, points.shape[1] // 2)
     books = [kmeans(p, min(centroids, len(p)), seed + i) if p.shape[1] else np.zeros((1, 0)) for i, p in enumerate((points[:, :half], points[:, half:]))]
     wide = len(books[1])

@@ -84,13 +84,14 @@ def shard(docs: DataFrame, shards: int = 8, chunk: int = CHUNK) -> DataFrame:
     Groups of equal texts are summed before anything meets. Each task differences the groups of one hash
     chunk to ``shards`` parts; the chunks' parts are then differenced in the same way, ``FAN_IN`` at a time.
     A group larger than a fair share stays whole in its shard. Slots follow hash order without holding a
-    shard in one task. Null texts have size 1, no crc and are one group; repeated rows are members of their
+    shard in one task. Null texts count as empty: size 1, crc 0, one group with
+    the empty ones; repeated rows are members of their
     group; extra columns are not read; an empty table gives no row.
     """
-    h1, h2 = digest(F.col("text"))
+    text = F.coalesce("text", F.lit(""))
+    h1, h2 = digest(text)
     rows = durable(docs.select(
-        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"), h1.alias("h1"), h2.alias("h2"),
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), h1.alias("h1"), h2.alias("h2"),
     ))
     n = rows.count()
     chunks = max(1, -(-n // chunk))

@@ -216,7 +216,8 @@ def test_shards_balance_bytes_and_keep_groups(make, odd, empty):
     assert len({r["shard"] for r in got if texts[r["doc_id"]] == "copy of one text"}) == 1
     assert all(r["size"] == len(texts[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in got)
     strange = sharding.shard(odd, 8).collect()
-    assert len(strange) == odd.count() and all(r["size"] == 1 for r in strange if r["doc_id"] in (1, 2))
+    assert len(strange) == odd.count() and all((r["size"], r["text_crc32"]) == (1, 0) for r in strange if r["doc_id"] in (1, 2))
+    assert len({r["shard"] for r in strange if r["doc_id"] in (1, 2)}) == 1
     assert sharding.shard(empty, 8).count() == 0
 
 
