@@ -66,7 +66,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 2))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, centroids: int = 256, share: float = 0.27, least: int = 5000, seed: int = 3) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, centroids: int = 256, share: float = 0.33, least: int = 5000, seed: int = 3) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the ``k`` nearest found by Euclidean distance.
 
     The halves of the vectors have codebooks of ``centroids`` each, fitted on a hash sample of at most
