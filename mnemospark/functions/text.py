@@ -71,6 +71,37 @@ def token_jaccard(a: Column, b: Column) -> Column:
     )
 
 
+def bigram_kernel():
+    """(codes, shared) for use inside tasks: the sorted set of the character bigrams of a text, as in :func:`char_bigrams`,
+    and how many of them each set of one list shares with each of another, as matrix products over parts of the bigrams.
+
+    Closures travel to the workers by value.
+    """
+
+    def codes(text: str | None) -> np.ndarray | None:
+        if text is None:
+            return None
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        return np.unique(points[:-1] * 2097152 + points[1:]) if len(points) > 1 else points
+
+    def incidence(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+        owner, flat = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+        hit = part[at] == flat
+        full = np.zeros((len(sets), len(part)), np.float32)
+        full[owner[hit], at[hit]] = 1
+        return full
+
+    def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        known, out = np.intersect1d(np.concatenate(a), np.concatenate(b)), np.zeros((len(a), len(b)), np.float32)
+        for start in range(0, len(known), 4096):
+            part = known[start:start + 4096]
+            out += incidence(a, part) @ incidence(b, part).T
+        return out.astype(np.int64)
+
+    return codes, shared
+
+
 def char_bigrams(c: Column, fold_case: bool = False) -> Column:
     """Set of character bigrams as numbers (first code point * 2**21 + second); a single
     character stands for itself. Case is kept unless ``fold_case``: retrieval folds,
@@ -79,15 +110,10 @@ def char_bigrams(c: Column, fold_case: bool = False) -> Column:
     Done in numpy on Arrow batches: one JVM string per character made this the
     dominant cost of every text comparison.
     """
+    one, _ = bigram_kernel()
 
     @F.pandas_udf("array<bigint>")
     def codes(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> np.ndarray | None:
-            if text is None:
-                return None
-            points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-            return np.unique(points[:-1] * 2097152 + points[1:]) if len(points) > 1 else points
-
         return texts.map(one)
 
     return codes(F.lower(c) if fold_case else c)

@@ -74,8 +74,8 @@ def block_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: s
     return dealt(left, "l", left_id, "l", "r"), dealt(right, "r", right_id, "r", "l")
 
 
-def _rank_block(k: int, earlier_only: bool):
-    """Best k right rows for each left row of one block pair."""
+def _rank_block(k: int, earlier_only: bool, floor: float | None = None):
+    """Best k fitting right rows for each left row of one block pair."""
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"left_id": [], "right_id": [], "similarity": [], "right_weight": []})
@@ -90,6 +90,9 @@ def _rank_block(k: int, earlier_only: bool):
         if earlier_only:
             later = right["position"].to_numpy()[None, :] >= left["position"].to_numpy()[:, None]
             sims[later] = -np.inf
+        sims[left["position"].to_numpy()[:, None] >= right["until"].to_numpy()[None, :]] = -np.inf
+        if floor is not None:
+            sims[sims < floor] = -np.inf
         if sims.shape[1] > k:
             cut = -np.partition(-sims, k - 1, axis=1)[:, k - 1]
             rows, cols = np.nonzero(sims >= cut[:, None])
@@ -117,7 +120,7 @@ def nearest_neighbours(
     left: DataFrame, right: DataFrame, k: int, *, on: Sequence[str] = ("project_id",),
     left_vector: str = "context_vector", right_vector: str = "context_vector",
     left_id: str = "id", right_id: str = "id", weight: str | None = "weight",
-    earlier: tuple[str, str] | None = None, block_rows: int = CHUNK,
+    earlier: tuple[str, str] | None = None, until: str | None = None, floor: float | None = None, block_rows: int = CHUNK,
 ) -> DataFrame:
     """Exact cosine top-k of ``right`` for each row of ``left`` sharing ``on``.
 
@@ -125,7 +128,8 @@ def nearest_neighbours(
     pair of blocks is one matrix product, so a key that holds a third of all
     rows spreads over many tasks and only k rows per (row, block) are shuffled
     onward. ``earlier=(left_col, right_col)`` keeps only right rows whose column
-    is strictly smaller. Ties: weight descending, then id. Rows without a signal
+    is strictly smaller; with it, a right row counts only for left rows before its ``until`` (null: always).
+    Rows below ``floor`` never match. All conditions hold before the k are taken. Ties: weight descending, then id. Rows without a signal
     never match. Columns: left_id, right_id, similarity (9 decimals), rank.
     """
     keys = [f"_k{i}" for i in range(len(on))] + ["_dim"]
@@ -137,6 +141,8 @@ def nearest_neighbours(
             cols.append((F.col(weight) if weight else F.lit(0.0)).cast("double").alias("right_weight"))
         position = F.col(earlier[0 if role == "left" else 1]).cast("double") if earlier else F.lit(0.0)
         cols.append(position.alias("position"))
+        if role == "right":
+            cols.append(F.coalesce(F.col(until).cast("double") if until else F.lit(None), F.lit(float("inf"))).alias("until"))
         return df.filter(F.exists(vector, lambda x: x != 0)).select(*cols)
 
     lefts, rights = side(left, left_id, left_vector, "left"), side(right, right_id, right_vector, "right")
@@ -157,7 +163,7 @@ def nearest_neighbours(
     r_blocks = spread(rights, "right_id", "_br", "_nr", "_bl", "_nl").groupBy(*grouped)
     id_l, id_r = lefts.schema["left_id"].dataType, rights.schema["right_id"].dataType
     found = l_blocks.cogroup(r_blocks).applyInPandas(
-        _rank_block(k, earlier is not None),
+        _rank_block(k, earlier is not None, floor),
         f"left_id {id_l.simpleString()}, right_id {id_r.simpleString()}, similarity double, right_weight double",
     )
     order = [F.desc("similarity"), F.desc("right_weight"), F.asc("right_id")]

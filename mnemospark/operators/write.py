@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemospark import fixed_values as V
 from mnemospark.functions import text as T, vectors as X, weights as W
-from mnemospark.operators.ranking import apply_clamped, clamped_sum, durable, nearest_neighbours, pinned, top_per_key
+from mnemospark.operators.ranking import apply_clamped, clamped_sum, block_pairs, durable, nearest_neighbours, pinned, top_per_key
 
 
 def similar_memories(events: DataFrame, memories: DataFrame, k: int = V.NEIGHBOUR_K) -> DataFrame:
@@ -47,7 +47,100 @@ def merge_targets(judged: DataFrame, covered: DataFrame | None = None) -> DataFr
     return best.select("event_id", "b.*")
 
 
-def batch_joins(rows: DataFrame, covered: DataFrame, threshold: float = V.MERGE_COSINE, k: int = V.NEIGHBOUR_K) -> DataFrame:
+def _judge_block(threshold: float, earlier: bool):
+    """Covered pairs, and the best fitting row of each new row, of one block pair."""
+    bigrams, common = T.bigram_kernel()
+
+    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({c: [] for c in ("new_id", "old_id", "covers", "cosine", "weight", "shared", "total", "new_at", "old_at",
+                                                 "polarity_new", "polarity_old")})
+        right = right.sort_values(["r_weight", "r_id"], ascending=[False, True], ignore_index=True)
+
+        def meet(name: str) -> tuple[np.ndarray, np.ndarray]:
+            return left[f"l_{name}"].to_numpy()[:, None], right[f"r_{name}"].to_numpy()[None, :]
+
+        def codes(name: str) -> tuple[np.ndarray, np.ndarray]:
+            both = pd.factorize(pd.concat([left[f"l_{name}"], right[f"r_{name}"]]))[0]
+            return both[:len(left), None], both[None, len(left):]
+
+        (new_id, old_id), (new_at, old_at) = meet("id"), meet("at")
+        allowed = (new_id != old_id).astype(bool)
+        if earlier:
+            position = meet("position")
+            allowed &= position[1] < position[0]
+        entity, polar, fit, bare = codes("entity"), codes("polarity"), codes("fit"), meet("entity")
+        spoken = [p != "neutral" for p in meet("polarity")]
+        flip = spoken[0] & spoken[1] & (polar[0] != polar[1])
+        sets = [[bigrams(s if s is not None else "") for s in d] for d in (left["l_summary"], right["r_summary"])]
+        sizes = [np.array([len(g) for g in s]) for s in sets]
+        shared, total = common(*sets), sizes[0][:, None] + sizes[1][None, :]
+        # NaN (no time) compares false.
+        covers = (allowed & ((bare[0] == "") | (bare[1] == "") | (entity[0] == entity[1])) & (new_at > old_at)
+                  & (shared > 0) & (8 * shared >= total) & (flip | (20 * shared < 9 * total)))
+        # A text inside another shares all of its bigrams.
+        maybe = covers & ~flip & (shared == np.minimum(sizes[0][:, None], sizes[1][None, :]))
+        said, heard = left["l_summary"].to_numpy(), right["r_summary"].to_numpy()
+        for i, j in zip(*np.nonzero(maybe)):
+            covers[i, j] = not (heard[j] in said[i] or said[i] in heard[j])
+        a, b = (np.stack(d.to_numpy()).astype(np.float64) for d in (left["l_vector"], right["r_vector"]))
+        cosine = np.round((a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T, 9)
+        sims = np.where(allowed & ~covers & (fit[0] == fit[1]) & (cosine >= threshold), cosine, -np.inf)
+        best = np.argmax(sims, axis=1)  # the first of equals: right rows stand by weight and id
+        at = np.flatnonzero(np.isfinite(sims[np.arange(len(left)), best]))
+        i, j = (np.concatenate(x) for x in zip(np.nonzero(covers), (at, best[at])))
+        return pd.DataFrame({
+            "new_id": left["l_id"].to_numpy()[i], "old_id": right["r_id"].to_numpy()[j], "covers": covers[i, j], "cosine": cosine[i, j],
+            "weight": right["r_weight"].to_numpy()[j], "shared": shared[i, j], "total": total[i, j],
+            "new_at": left["l_at"].to_numpy()[i], "old_at": right["r_at"].to_numpy()[j],
+            "polarity_new": left["l_polarity"].to_numpy()[i], "polarity_old": right["r_polarity"].to_numpy()[j]})
+
+    return match
+
+
+def judge(new: DataFrame, old: DataFrame, threshold: float = V.MERGE_COSINE, earlier: str | None = None, block_rows: int = 1024) -> DataFrame:
+    """Every row of ``new`` against every active row of ``old`` of its project: the pairs it covers (``covers``) and, per
+    pair of blocks, the most similar row it may merge into. Split by :func:`covered_found` and :func:`merge_found`.
+
+    Both sides carry a vector of one size, as in :func:`similar_memories`. Entity, time, subject, language and
+    threshold are judged inside the blocks before anything is ranked, so no nearer row that doesn't fit hides one that does.
+    Covered rows are as in :func:`evolve.covered_pairs`. With ``earlier`` only rows before count.
+    """
+
+    def side(df: DataFrame) -> DataFrame:
+        at = F.unix_micros(F.coalesce("occurred_at", "created_at")).cast("double")
+        weight = F.col("weight").cast("double") if "weight" in df.columns else F.lit(0.0)
+        return df.filter(F.exists("context_vector", lambda x: x != 0)).select(
+            "project_id", F.size("context_vector").alias("dim"), "id", F.col("context_vector").alias("vector"), "summary",
+            F.coalesce("entity_group", F.lit("")).alias("entity"), T.polarity(F.coalesce("summary", F.lit(""))).alias("polarity"),
+            F.to_json(F.struct("language", "entity_group")).alias("fit"), at.alias("at"), weight.alias("weight"),
+            (F.col(earlier).cast("double") if earlier else F.lit(0.0)).alias("position"))
+
+    lefts, rights = side(new), side(old.filter(F.col("obsoleted_at").isNull()))
+    l_blocks, r_blocks = block_pairs(lefts, rights, ["project_id", "dim"], "id", "id", block_rows, block_rows)
+    return l_blocks.cogroup(r_blocks).applyInPandas(
+        _judge_block(threshold, earlier is not None),
+        f"new_id {lefts.schema['id'].dataType.simpleString()}, old_id {rights.schema['id'].dataType.simpleString()}, covers boolean, cosine double, "
+        "weight double, shared bigint, total bigint, new_at double, old_at double, polarity_new string, polarity_old string")
+
+
+def covered_found(found: DataFrame) -> DataFrame:
+    """The covered pairs of :func:`judge`, for :func:`evolve.apply_updates`."""
+    at = {f"{side}_occurred_at": F.timestamp_micros(F.col(f"{side}_at").cast("bigint")) for side in ("new", "old")}
+    flip = (F.col("polarity_new") != "neutral") & (F.col("polarity_old") != "neutral") & (F.col("polarity_new") != F.col("polarity_old"))
+    return found.filter("covers").select(
+        "new_id", "old_id", *[c.alias(n) for n, c in at.items()], "polarity_new", "polarity_old", flip.alias("polarity_flip"),
+        F.round(2.0 * F.col("shared") / F.col("total"), 9).alias("similarity"))
+
+
+def merge_found(found: DataFrame) -> DataFrame:
+    """new_id, id, similarity: the row of :func:`judge` that each new row merges into."""
+    order = [F.desc("cosine"), F.desc("weight"), F.asc("old_id")]
+    best = top_per_key(found.filter(~F.col("covers")), ["new_id"], order, 1)
+    return best.select("new_id", F.col("old_id").alias("id"), F.col("cosine").alias("similarity"))
+
+
+def batch_joins(rows: DataFrame, covered: DataFrame, threshold: float = V.MERGE_COSINE) -> DataFrame:
     """memory_id, id, similarity: which earlier new row a new row joins, as if written one after another.
 
     ``rows`` are new memories with ``seq``; ``covered`` (new_id, old_id, new_seq) are supersessions among
@@ -55,16 +148,14 @@ def batch_joins(rows: DataFrame, covered: DataFrame, threshold: float = V.MERGE_
     itself and wasn't superseded before, by this row or an earlier one. Rows without an undecided earlier
     look-alike are settled as standing; whatever looks like a standing row is settled as joining; this
     repeats for the rest. A round settles at least the first row of every key, a group of near copies
-    takes one, and ``k`` look-alikes of a row are considered at a time.
+    takes one. Whether an earlier row fits is decided before the most similar is taken.
     """
     on = ("project_id", "language", "entity_group")
-    gone = covered.groupBy(F.col("old_id").alias("right_id")).agg(F.min("new_seq").alias("_gone"))
-    own = covered.select(F.col("new_id").alias("left_id"), F.col("old_id").alias("right_id"))
+    rows = rows.join(covered.groupBy(F.col("old_id").alias("id")).agg(F.min("new_seq").alias("_gone")), "id", "left")
 
     def alike(left: DataFrame, right: DataFrame) -> DataFrame:
-        found = nearest_neighbours(left, right, k, on=on, earlier=("seq", "seq")).filter(F.col("similarity") >= threshold)
-        timed = found.join(left.select(F.col("id").alias("left_id"), F.col("seq").alias("_seq")), "left_id").join(gone, "right_id", "left")
-        return timed.filter(F.col("_gone").isNull() | (F.col("_gone") > F.col("_seq"))).join(own, ["left_id", "right_id"], "left_anti")
+        # A row that this one supersedes is gone at its own turn, too.
+        return nearest_neighbours(left, right, 1, on=on, earlier=("seq", "seq"), until="_gone", floor=threshold)
 
     def without(df: DataFrame, ids: DataFrame, name: str = "left_id") -> DataFrame:
         return df.join(ids.select(F.col(name).alias("id")).distinct(), "id", "left_anti")
@@ -77,9 +168,8 @@ def batch_joins(rows: DataFrame, covered: DataFrame, threshold: float = V.MERGE_
         waiting = durable(without(rest, alike(rest, settled)))
         if waiting.isEmpty():
             break
-    best = alike(without(rows, standing, "id"), standing).groupBy("left_id").agg(
-        F.min_by(F.struct("right_id", "similarity"), "rank").alias("b"))
-    return best.select(F.col("left_id").alias("memory_id"), F.col("b.right_id").alias("id"), F.col("b.similarity").alias("similarity"))
+    best = alike(without(rows, standing, "id"), standing)
+    return best.select(F.col("left_id").alias("memory_id"), F.col("right_id").alias("id"), "similarity")
 
 
 def merge_append(memories: DataFrame, events: DataFrame, targets: DataFrame, now: datetime | Column) -> DataFrame:

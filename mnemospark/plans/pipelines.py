@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mnemospark import fixed_values as V
 from mnemospark.functions import text as T, vectors as X, weights as W
 from mnemospark.operators import context, distil, evolve, pitfalls as P, retrieve, risk, write
-from mnemospark.operators.ranking import durable, nearest_neighbours
+from mnemospark.operators.ranking import durable
 from mnemospark.sources import snapshots
 
 
@@ -31,20 +31,16 @@ def write_batch(events: DataFrame, memories: DataFrame, pitfalls: DataFrame, now
 
     ``events``: event_id, project_id, seq, language, task_type, entity_group,
     summary, context_vector, is_correction, surprise_score, occurred_at. Order
-    of effects: neighbours, supersession, merge or create, boost, links. The second
+    of effects: judgement of every pair (:func:`write.judge`), supersession, merge or create, boost, links. The second
     pass does the same among the new rows (:func:`write.batch_joins`); a new row that
     joined another isn't superseded by itself.
     """
     at = F.lit(now)
     carriers = events.withColumn("id", F.col("event_id").cast("string")).withColumn("created_at", at)
-    near = durable(write.similar_memories(events.withColumn("event_id", F.col("event_id").cast("string")), memories))
-    pairs = evolve.update_pairs(carriers, memories, near.select(
-        F.col("event_id").alias("new_id"), F.col("id").alias("old_id")))
-    covered = durable(evolve.covered_pairs(pairs))
+    found = durable(write.judge(carriers, memories))
+    covered = write.covered_found(found)
     by_id = carriers.withColumn("event_id", F.col("id"))
-    judged = write.separation(by_id, memories, near)
-    targets = durable(write.merge_targets(judged, covered.select(
-        F.col("new_id").alias("event_id"), F.col("old_id").alias("id"))))
+    targets = durable(write.merge_found(found).withColumnRenamed("new_id", "event_id").join(by_id.select("event_id", "seq"), "event_id"))
     merged = write.merge_append(memories, by_id, targets, at)
     fresh = write.create_new(by_id.join(targets.select("event_id"), "event_id", "left_anti"), at)
     keyed = by_id.select("event_id", "seq", "project_id").withColumn(
@@ -52,9 +48,7 @@ def write_batch(events: DataFrame, memories: DataFrame, pitfalls: DataFrame, now
 
     # Second pass: the new rows among themselves, in the order of writing.
     ordered = durable(fresh.join(keyed.select(F.col("memory_id").alias("id"), "seq", "event_id"), "id").fillna("", ["language", "entity_group"]))
-    around = nearest_neighbours(ordered, ordered, V.NEIGHBOUR_K, earlier=("seq", "seq"))
-    newer = evolve.covered_pairs(evolve.update_pairs(ordered, ordered, around.select(
-        F.col("left_id").alias("new_id"), F.col("right_id").alias("old_id"))))
+    newer = write.covered_found(write.judge(ordered, ordered, earlier="seq"))
     newer = durable(newer.join(ordered.select(F.col("id").alias("new_id"), F.col("seq").alias("new_seq")), "new_id"))
     joins = durable(write.batch_joins(ordered, newer.select("new_id", "old_id", "new_seq")))
     later = newer.join(joins.select(F.col("memory_id").alias("old_id")), "old_id", "left_anti").join(
