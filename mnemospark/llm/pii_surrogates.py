@@ -13,9 +13,21 @@ from .common import digest, durable, let
 _TITLES_F = r"Mrs|Ms|Miss|Madame|Mme|Frau|Señora|Sra"
 _TITLES_M = r"Mr|Monsieur|Herr|Señor|Sr"
 _INTRO = r"[Mm]y name is|[Mm]ein Name ist|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+#: Without the s of a possessive.
+_NAME = r"\p{Lu}[\p{L}'’-]*\p{L}(?<!['’]s)"
+#: A name by itself, where no title stands before it.
+_ALONE = rf"(?<![\p{{L}}\p{{N}}_'’-]){_NAME}(?![\p{{L}}\p{{N}}_])"
 _SECRET = r"(?i:password|passwd|secret|token|api[_-]?key)[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
 
+#: Groups of three and four; (555)123-4567; pairs of digits; Spanish groups; an area with 6 to 8 digits; any international form.
+_PHONE = (
+    r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
+    r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
+    r"(?:\+[0-9]{1,3}[ .-]?(?:\(0\)[ ]?)?|0)[0-9](?:[ .-][0-9]{2}){4}(?![0-9])",
+    r"(?:[6-9][0-9]{2}[ .-]|9[0-9][ .-][0-9])[0-9]{2}(?:[ .-][0-9]{2}){2}(?![0-9])",
+    r"(?:\+[0-9]{1,3}[ .-]?(?:\(0\)[ ]?)?|0)[0-9]{1,4}(?:[ .-]| ?/ ?)[0-9]{6,8}(?:-[0-9]{1,4})?(?![0-9])",
+    r"\+[0-9](?:[ .()/-]{0,2}[0-9]){7,14}(?![0-9])",
+)
 #: What each kind looks like; the first that matches at a place wins. Each begins where no ASCII letter or digit stands before.
 KINDS: dict[str, str] = {
     "secret": _SECRET + r"[A-Za-z0-9/+_=-]{8,}",
@@ -25,7 +37,7 @@ KINDS: dict[str, str] = {
     "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "ssn": r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{8,15}(?![0-9])",
+    "phone": "|".join(_PHONE),
     "woman": rf"(?:{_TITLES_F})\.?[ ]{_NAME}(?: {_NAME})?",
     "man": rf"(?:{_TITLES_M})\.?[ ]{_NAME}(?: {_NAME})?",
     "person": rf"(?:{_INTRO})[ ]{_NAME}(?: {_NAME})?",
@@ -102,7 +114,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
         n = F.length(value)
         is_hex = F.rlike(value, F.lit("^[0-9a-f]+$"))
         fixed = F.when(kind == "email", F.length(F.regexp_extract(value, r"\.[A-Za-z]+$", 0))).otherwise(0)
-        kept = F.when(kind == "access_key", 4).when(kind == "iban", 2).when(kind == "card", 1).when((kind == "phone") & (n > 10), n - 10).otherwise(0)
+        kept = F.when(kind == "access_key", 4).when(kind == "iban", 2).when(kind == "card", 1).when((kind == "phone") & (n > 10), n - 10).when((kind == "phone") & F.startswith(value, F.lit("0")), 1).otherwise(0)
         woman, last = kind == "woman_given", lambda i: i == n - 1
         named = F.startswith(kind, F.lit("name")) | F.endswith(kind, F.lit("_given"))
 
@@ -147,6 +159,17 @@ def poured(kind: Column, mention: Column, new: Column) -> Column:
     return F.when(_by_kind(kind, (*_DIGITS_ONLY, "iban")), spaced).when(_by_kind(kind, ("secret", "access_key", "ip")), new).otherwise(cased)
 
 
+def _again(piece: Column, names: Column) -> Column:
+    """``piece`` with every further mention of the document's ``names`` (lower case to surrogate) replaced."""
+
+    def swap(word: Column) -> Column:
+        return let(F.try_element_at(names, F.lower(word)), lambda new: F.when(new.isNull(), word).otherwise(poured(F.lit("name"), word, new)))
+
+    words = F.transform(F.regexp_extract_all(piece, F.lit(_ALONE), F.lit(0)), swap)
+    gaps = F.split(piece, _ALONE, -1)
+    return let(gaps, lambda g: F.concat(F.array_join(F.zip_with(F.slice(g, 1, F.size(g) - 1), words, lambda gap, word: F.concat(gap, word)), ""), F.element_at(g, -1)))
+
+
 def _entity_kind(kind: Column, size: Column, pos: Column) -> Column:
     """Given names go by gender; surnames are one kind, whoever bears them."""
     given = F.when(kind == "woman", F.lit("woman_given")).when(kind == "man", F.lit("man_given")).otherwise(F.lit("name_given"))
@@ -181,8 +204,9 @@ def replace(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     """Rows of ``docs`` as ``row`` with surrogates in ``text``, beside ``n_entities``.
 
     Only texts with a mention are hashed, joined and rebuilt; all others pass straight through. An entity
-    (canonical value) has the same surrogate in every document. Spans are detected by ``KINDS``; a name counts
-    where a title or an introduction stands before it. A frequent entity is spread by skew splitting. Null and
+    (canonical value) has the same surrogate in every document. Spans are detected by ``KINDS``; a name is found
+    where a title or an introduction stands before it, and then every capitalised whole-word mention of it in that
+    document counts (where it is a given name and a surname, as the first). A frequent entity is spread by skew splitting. Null and
     empty texts stay as they are, repeated rows are replaced alike, extra columns ride along inside ``row``.
     """
     rows = docs.select(F.struct("*").alias("row"))
@@ -207,15 +231,22 @@ def replace(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     known = assign(single.select(F.col("entity").alias("kind"), "value").distinct(), key)
     known = known.select(F.col("kind").alias("e_kind"), F.col("value").alias("e_value"), "new")
     spoken = single.join(known, (F.col("entity") == F.col("e_kind")) & (F.col("value") == F.col("e_value")))
+    first = spoken.filter(_by_kind(F.col("kind"), _NAMES)).groupBy("h1", "h2", "value").agg(F.min_by("new", F.struct("at", "pos")).alias("new"))
+    names = first.groupBy("h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct("value", "new"))).alias("names")).select(F.col("h1").alias("n1"), F.col("h2").alias("n2"), "names")
     spoken = spoken.select("h1", "h2", "at", "pos", "lead", poured(F.col("kind"), F.col("part"), F.col("new")).alias("new"))
     whole = spoken.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("at", "pos", "lead", "new"))).alias("news")).select(F.col("h1").alias("m1"), F.col("h2").alias("m2"), "news")
+    whole = whole.join(names, (F.col("m1") == F.col("n1")) & (F.col("m2") == F.col("n2")), "left").drop("n1", "n2")
 
     r1, r2 = digest(text)
     touched = rows.filter(there).withColumn("h1", r1).withColumn("h2", r2).join(whole, (F.col("h1") == F.col("m1")) & (F.col("h2") == F.col("m2")))
-    pieces = touched.select("row", "news", F.explode(F.array(F.split(text, PATTERN, -1))).alias("pieces"))
+    pieces = touched.select("row", "news", "names", F.explode(F.array(F.split(text, PATTERN, -1))).alias("pieces"))
+    more = F.aggregate("pieces", F.lit(0), lambda n, p: n + F.size(F.filter(F.regexp_extract_all(p, F.lit(_ALONE), F.lit(0)), lambda w: F.map_contains_key("names", F.lower(w)))))
+    more = F.when(F.col("names").isNull(), F.lit(0)).otherwise(more)
+    spared = F.when(F.col("names").isNull(), F.col("pieces")).otherwise(F.transform("pieces", lambda p: _again(p, F.col("names"))))
+    pieces = pieces.select("row", "news", more.alias("more"), F.explode(F.array(spared)).alias("pieces"))
     # A name's second part follows a blank; every other part opens the next mention, behind the piece before it.
     opened = F.transform("news", lambda m: F.when(m["pos"] == 0, F.concat(F.get("pieces", m["at"]), m["lead"], m["new"])).otherwise(F.concat(F.lit(" "), m["new"])))
     rebuilt = F.concat(F.array_join(opened, ""), F.element_at("pieces", -1))
-    n = F.size(F.filter("news", lambda m: m["pos"] == 0)).cast("long")
+    n = (F.size(F.filter("news", lambda m: m["pos"] == 0)) + F.col("more")).cast("long")
     changed = pieces.select(F.col("row").withField("text", rebuilt).alias("row"), n.alias("n_entities"))
     return rows.filter(~there).select("row", F.lit(0).cast("long").alias("n_entities")).unionByName(changed)

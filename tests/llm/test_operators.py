@@ -400,6 +400,29 @@ def test_surrogates_keep_kind_format_and_coreference(make, odd, empty):
     assert pii_surrogates.replace(empty).count() == 0
 
 
+def test_surrogates_cover_phone_forms_of_all_languages(make):
+    numbers = ["+33 1 23 45 67 89", "01 23 45 67 89", "+49 30 1234567", "030 1234567", "(555)123-4567", "+49 (0)30 1234567", "030/12345678", "0170-1234567",
+               "+33123456789", "+44 7911 123456", "01.23.45.67.89", "912 34 56 78", "91 234 56 78", "(030) 1234567", "+1 (415) 555-2671"]
+    docs = make([(i, f"tel {x}, heute", "de") for i, x in enumerate(numbers)])
+    got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in pii_surrogates.replace(docs).select("row.doc_id", "row.text", "n_entities").collect()}
+    for i, x in enumerate(numbers):
+        assert got[i][1] == 1 and x not in got[i][0], x
+        assert re.sub(r"\d", "0", got[i][0]) == re.sub(r"\d", "0", f"tel {x}, heute")
+    plain = "am 05.01.2024 und 05/2024, 2024-05-01 12:30, 0.123456, Seite 12 34"
+    assert pii_surrogates.replace(make([(1, plain, "de")])).select("row.text").first()["text"] == plain
+
+
+def test_surrogates_follow_a_name_through_its_document(make):
+    docs = make([(1, "Mr. John Smith called. Later John Smith and Smith wrote; SMITH's Smithson, smith and Smith2 stay. Mail a@b.de Smith", "en"),
+                 (2, "John Smith has no title here", "en"), (3, "Mr. Smith's car, and Smith", "en")])
+    got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in pii_surrogates.replace(docs).select("row.doc_id", "row.text", "n_entities").collect()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) called\. Later (\w+) (\w+) and (\w+) wrote; (\w+)'s Smithson, smith and Smith2 stay\. Mail \S+@\S+ (\w+)", got[1][0])
+    assert m and m[1] == m[3] != "John" and m[2] == m[4] == m[5] == m[7] != "Smith" and m[6] == m[2].upper() and got[1][1] == 7
+    assert got[2] == ("John Smith has no title here", 0)
+    n = re.fullmatch(r"Mr\. (\w+)'s car, and (\w+)", got[3][0])
+    assert n and n[1] == n[2] == m[2]
+
+
 def test_surrogates_stay_distinct_when_a_format_is_nearly_full(make):
     docs = make([(i, f"ip {i % 250 + 1}.1.1.1 mail {'abcdefghijklmnopqrstuvwxyz'[i % 26]}@b.de", "en") for i in range(250)])
     before = {x for r in docs.collect() for x in r["text"].split() if "." in x}
