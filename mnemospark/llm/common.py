@@ -15,15 +15,16 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Compute once and cut lineage by a reliable checkpoint in the shared folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; only where it names none (tests), one in its warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
 
-    Only where the session names none (tests), a folder in the warehouse is used.
-    """
+
+def durable(df: DataFrame) -> DataFrame:
+    """Compute once and cut lineage by a reliable checkpoint in the shared folder of the session."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

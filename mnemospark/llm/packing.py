@@ -8,55 +8,58 @@ from pyspark.sql import functions as F
 
 from .common import durable, ranked
 
-#: Lengths up to this are told apart exactly; beyond, the first 8 binary digits count, rounded up.
-_EXACT = 256
-
-
 def token_count(text: Column) -> Column:
     """Runs of letters and digits and single other characters, and one end token."""
     return (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]")) + 1).cast("long")
 
 
-def length_class(n: Column) -> Column:
-    """The least length with at most 8 leading binary digits that holds ``n``: few classes at every size."""
-    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))) - 7, F.lit(0)))
-    return (F.ceil(n / step) * step).cast("long")
-
-
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndarray:
     """Upper ends of at most ``buckets`` ranges of the sorted ``lengths`` that minimise the total padding.
 
-    The cost of a range is its largest length times its rows, less the tokens in it; exact dynamic
-    programming over all ends, one vector step for each bucket and end.
+    The cost of a range is its largest length times its rows. With ``rows[i]`` rows before length i, a range that
+    starts at i adds the line ``best[i] - rows[i] * x`` at the end of length x; slopes fall with i and x grows, so
+    the lower envelope is a queue and each bucket takes one pass over the lengths. Whole numbers, so exact.
     """
-    n, k = len(lengths), min(buckets, len(lengths))
-    rows = np.concatenate(([0], np.cumsum(counts, dtype=np.float64)))
-    best = lengths * rows[1:]
-    before = np.zeros((k, n), np.int64)
+    size = [int(x) for x in lengths]
+    rows = [0, *np.cumsum(counts, dtype=object)]
+    n, k = len(size), min(buckets, len(size))
+    best = [x * r for x, r in zip(size, rows[1:])]
+    before = []
     for b in range(1, k):
-        after = np.full(n, np.inf)
+        after, start, queue = list(best), [0] * n, []
+        head = 0
         for j in range(b, n):
-            cost = best[b - 1 : j] + lengths[j] * (rows[j + 1] - rows[b : j + 1])
-            i = int(np.argmin(cost))
-            after[j], before[b, j] = cost[i], b - 1 + i
+            slope, level = -rows[j], best[j - 1]
+            while len(queue) - head > 1:
+                (m1, c1, _), (m2, c2, _) = queue[-2:]
+                if (level - c1) * (m1 - m2) > (c2 - c1) * (m1 - slope):
+                    break
+                queue.pop()
+            queue.append((slope, level, j))
+            x = size[j]
+            while len(queue) - head > 1 and queue[head + 1][0] * x + queue[head + 1][1] < queue[head][0] * x + queue[head][1]:
+                head += 1
+            after[j], start[j] = queue[head][0] * x + queue[head][1] + x * rows[j + 1], queue[head][2]
         best = after
+        before.append(start)
     ends = [n - 1]
-    for b in range(k - 1, 0, -1):
-        ends.append(int(before[b, ends[-1]]))
+    for start in reversed(before):
+        ends.append(start[ends[-1]] - 1)
     return lengths[ends[::-1]]
 
 
 def pack(docs: DataFrame, budget: int = 16384, buckets: int = 16, seed: int = 11) -> DataFrame:
     """(doc_id, n_tokens, bucket, bucket_tokens, batch, slot) of every row of ``docs``.
 
-    The global histogram of length classes (a few thousand rows at most) decides the boundaries by
-    dynamic programming. A bucket's batches hold floor(budget / boundary) rows, at least one, so a batch
+    The global histogram of exact lengths decides the boundaries by dynamic programming; the driver holds a row for
+    each distinct length, at most as many as the longest text has tokens. A bucket's batches hold floor(budget / boundary) rows, at least one, so a batch
     padded to its boundary stays within the budget; a text longer than the budget is a batch by itself.
     Rows take their places in hash order, ranked without holding a bucket in one task. Null and empty
-    texts have the end token only; repeated rows take a place each; extra columns are not read.
+    texts have the end token only; repeated rows take a place each; extra columns are not read. Rows with equal ids and
+    texts stand side by side; an empty table gives an empty result.
     """
     sized = durable(docs.select("doc_id", token_count(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("t")))
-    histogram = sized.groupBy(length_class(F.col("n_tokens")).alias("length")).agg(F.count("*").alias("n")).toPandas().sort_values("length")
+    histogram = sized.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n")).toPandas().sort_values("length")
     if histogram.empty:
         return sized.select("doc_id", "n_tokens", *[F.lit(0).cast(t).alias(c) for c, t in (("bucket", "int"), ("bucket_tokens", "long"), ("batch", "long"), ("slot", "int"))])
     ends = [int(x) for x in optimal_boundaries(histogram["length"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64), buckets)]

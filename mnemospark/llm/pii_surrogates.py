@@ -29,9 +29,10 @@ _PHONE = (
     r"\+[0-9](?:[ .()/-]{0,2}[0-9]){7,14}(?![0-9])",
 )
 #: What each kind looks like; the first that matches at a place wins. Each begins where no ASCII letter or digit stands before.
+#: Unbounded repetition is of single character classes only: the matcher recurses on repeated groups, and a long text would end its stack.
 KINDS: dict[str, str] = {
     "secret": _SECRET + r"[A-Za-z0-9/+_=-]{8,}",
-    "email": r"(?<![._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "access_key": r"AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])",
@@ -108,18 +109,19 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     seed = F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string"))
     stream = F.concat(*[F.sha2(F.concat(seed, F.lit(f"\x1f{i}")), 256) for i in range(8)])
 
-    def make(s: Column) -> Column:
+    # Bound once: inside the loop over characters an outer expression would be evaluated for each of them.
+    fixed = F.when(kind == "email", F.length(F.regexp_extract(value, r"\.[A-Za-z]+$", 0))).otherwise(0)
+    facts = F.struct(stream.alias("s"), F.length(value).alias("n"), fixed.alias("fixed"), F.rlike(value, F.lit("^[0-9a-f]+$")).alias("is_hex"))
+
+    def make(known: Column) -> Column:
+        s, n, fixed, is_hex = (known[c] for c in ("s", "n", "fixed", "is_hex"))
         draw = lambda i: F.conv(F.substr(s, (i % 128) * 4 + 1, F.lit(4)), 16, 10).cast("int")
         pick = lambda letters, n: F.substr(F.lit(letters), F.pmod(n, F.lit(len(letters))) + 1, F.lit(1))
-        n = F.length(value)
-        is_hex = F.rlike(value, F.lit("^[0-9a-f]+$"))
-        fixed = F.when(kind == "email", F.length(F.regexp_extract(value, r"\.[A-Za-z]+$", 0))).otherwise(0)
         kept = F.when(kind == "access_key", 4).when(kind == "iban", 2).when(kind == "card", 1).when((kind == "phone") & (n > 10), n - 10).when((kind == "phone") & F.startswith(value, F.lit("0")), 1).otherwise(0)
         woman, last = kind == "woman_given", lambda i: i == n - 1
         named = F.startswith(kind, F.lit("name")) | F.endswith(kind, F.lit("_given"))
 
-        def at(i: Column) -> Column:
-            c = F.substr(value, i + 1, F.lit(1))
+        def at(c: Column, i: Column) -> Column:
             even = i % 2 == 0
             latin = F.when(named & woman & last(i), F.lit("a")).when(named & (kind == "man_given") & last(i), pick("nrkt", draw(i))).when(
                 named, F.when(even, pick("bdfghklmnprstvz", draw(i))).otherwise(pick("aeiou", draw(i)))
@@ -137,7 +139,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
             )
             return F.when((i < kept) | (i >= n - fixed), c).otherwise(new)
 
-        plain = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), at), "")
+        plain = F.array_join(F.transform(F.split(value, ""), at), "")
         octets = F.concat_ws(".", *[(draw(F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
         valid = F.when((kind == "card") & (_luhn(value) % 10 == 0), let(
             plain, lambda p: let(F.concat(F.substr(p, F.lit(1), n - 1), F.lit("0")), lambda z: F.concat(F.substr(z, F.lit(1), n - 1), ((10 - _luhn(z) % 10) % 10).cast("string")))
@@ -146,7 +148,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
         # A format without room is given up for distinctness.
         return F.when(attempt < _ATTEMPTS, made).otherwise(F.when(_by_kind(kind, _DIGITS_ONLY), F.concat(made, F.conv(F.substr(s, F.lit(1), F.lit(12)), 16, 10))).otherwise(F.concat(made, F.substr(s, F.lit(1), F.lit(12)))))
 
-    return let(stream, make)
+    return let(facts, make)
 
 
 def poured(kind: Column, mention: Column, new: Column) -> Column:
@@ -155,7 +157,7 @@ def poured(kind: Column, mention: Column, new: Column) -> Column:
     count = lambda i: F.length(F.regexp_replace(F.substr(mention, F.lit(1), i), F.lit("[^0-9A-Za-z]"), F.lit("")))
     chars = F.transform(F.sequence(F.lit(1), n), lambda i: let(F.substr(mention, i, F.lit(1)), lambda c: F.when(F.rlike(c, F.lit("[0-9A-Za-z]")), F.substr(new, count(i), F.lit(1))).otherwise(c)))
     spaced = F.concat(F.array_join(chars, ""), F.substr(new, F.length(F.regexp_replace(mention, "[^0-9A-Za-z]", "")) + 1))
-    cased = F.array_join(F.transform(F.sequence(F.lit(1), F.length(new)), lambda i: F.when(F.rlike(F.substr(mention, i, F.lit(1)), F.lit(r"\p{Lu}")), F.upper(F.substr(new, i, F.lit(1)))).otherwise(F.substr(new, i, F.lit(1)))), "")
+    cased = F.array_join(F.zip_with(F.split(new, ""), F.split(mention, ""), lambda c, m: F.when(F.rlike(m, F.lit(r"\p{Lu}")), F.upper(c)).otherwise(c)), "")
     return F.when(_by_kind(kind, (*_DIGITS_ONLY, "iban")), spaced).when(_by_kind(kind, ("secret", "access_key", "ip")), new).otherwise(cased)
 
 
@@ -207,7 +209,9 @@ def replace(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     (canonical value) has the same surrogate in every document. Spans are detected by ``KINDS``; a name is found
     where a title or an introduction stands before it, and then every capitalised whole-word mention of it in that
     document counts (where it is a given name and a surname, as the first). A frequent entity is spread by skew splitting. Null and
-    empty texts stay as they are, repeated rows are replaced alike, extra columns ride along inside ``row``.
+    empty texts stay as they are, repeated rows are replaced alike, extra columns ride along inside ``row``. An empty
+    table gives an empty one. Of alternatives at one place the first kind wins, and of equal draws the smaller value
+    keeps its own. Work is linear in the length of a text, however long a run of letters, dots or digits it has.
     """
     rows = docs.select(F.struct("*").alias("row"))
     text = F.col("row.text")
@@ -239,14 +243,21 @@ def replace(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
 
     r1, r2 = digest(text)
     touched = rows.filter(there).withColumn("h1", r1).withColumn("h2", r2).join(whole, (F.col("h1") == F.col("m1")) & (F.col("h2") == F.col("m2")))
-    pieces = touched.select("row", "news", "names", F.explode(F.array(F.split(text, PATTERN, -1))).alias("pieces"))
-    more = F.aggregate("pieces", F.lit(0), lambda n, p: n + F.size(F.filter(F.regexp_extract_all(p, F.lit(_ALONE), F.lit(0)), lambda w: F.map_contains_key("names", F.lower(w)))))
-    more = F.when(F.col("names").isNull(), F.lit(0)).otherwise(more)
-    spared = F.when(F.col("names").isNull(), F.col("pieces")).otherwise(F.transform("pieces", lambda p: _again(p, F.col("names"))))
-    pieces = pieces.select("row", "news", more.alias("more"), F.explode(F.array(spared)).alias("pieces"))
-    # A name's second part follows a blank; every other part opens the next mention, behind the piece before it.
-    opened = F.transform("news", lambda m: F.when(m["pos"] == 0, F.concat(F.get("pieces", m["at"]), m["lead"], m["new"])).otherwise(F.concat(F.lit(" "), m["new"])))
-    rebuilt = F.concat(F.array_join(opened, ""), F.element_at("pieces", -1))
-    n = (F.size(F.filter("news", lambda m: m["pos"] == 0)) + F.col("more")).cast("long")
-    changed = pieces.select(F.col("row").withField("text", rebuilt).alias("row"), n.alias("n_entities"))
+    names = F.col("names")
+
+    def rebuild(pieces: Column) -> Column:
+        more = F.aggregate(pieces, F.lit(0), lambda n, p: n + F.size(F.filter(F.regexp_extract_all(p, F.lit(_ALONE), F.lit(0)), lambda w: F.map_contains_key(names, F.lower(w)))))
+        spared = F.when(names.isNull(), pieces).otherwise(F.transform(pieces, lambda p: _again(p, names)))
+        n = F.size(F.filter("news", lambda m: m["pos"] == 0)) + F.when(names.isNull(), F.lit(0)).otherwise(more)
+
+        def joined(kept: Column) -> Column:
+            # A name's second part follows a blank; every other part opens the next mention, behind the piece before it.
+            opened = F.transform("news", lambda m: F.when(m["pos"] == 0, F.concat(F.get(kept, m["at"]), m["lead"], m["new"])).otherwise(F.concat(F.lit(" "), m["new"])))
+            return F.struct(F.concat(F.array_join(opened, ""), F.element_at(kept, -1)).alias("text"), n.cast("long").alias("n"))
+
+        return let(spared, joined)
+
+    # Bound inside one expression: the struct that rides along must not pass a generator (its fields are pruned there).
+    done = touched.select("row", let(F.split(text, PATTERN, -1), rebuild).alias("done"))
+    changed = done.select(F.col("row").withField("text", F.col("done.text")).alias("row"), F.col("done.n").alias("n_entities"))
     return rows.filter(~there).select("row", F.lit(0).cast("long").alias("n_entities")).unionByName(changed)

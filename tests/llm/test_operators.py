@@ -175,6 +175,18 @@ def test_boundaries_are_optimal():
     assert list(packing.optimal_boundaries(np.array([5]), np.array([2]), 16)) == [5]
 
 
+def test_pack_uses_exact_lengths(make):
+    rng = random.Random(3)
+    size = sorted(rng.randint(1, 4000) for _ in range(60)) + [4000] * 3
+    docs = make([(i, " ".join("w" for _ in range(n)), "en") for i, n in enumerate(size)])
+    got = packing.pack(docs, budget=8192, buckets=4).collect()
+    lengths = sorted({r["n_tokens"] for r in got})
+    assert [r["n_tokens"] - 1 for r in sorted(got, key=lambda r: r["doc_id"])] == size
+    pad = lambda ends: sum(min(e for e in ends if e >= r["n_tokens"]) - r["n_tokens"] for r in got)
+    ends = {r["bucket_tokens"] for r in got}
+    assert ends <= set(lengths) and pad(ends) == min(pad((*mid, lengths[-1])) for mid in itertools.combinations(lengths[:-1], 3))
+
+
 def test_batches_hold_every_row_within_budget(make, odd, empty):
     rng = random.Random(7)
     docs = make([(i, prose(rng, rng.randint(0, 300)), "en") for i in range(200)])
@@ -277,7 +289,7 @@ def test_search_recall_and_order(spark):
     x = rng.normal(size=(3000, 16)) + rng.normal(size=(10, 16))[rng.integers(0, 10, 3000)] * 2
     x[100:140] = x[0]
     df = vectors(spark, x)
-    got = inverted_multi_index.search(df, df.filter("vec_id % 100 = 0"), 10, centroids=16, share=0.3, least=200).collect()
+    got = inverted_multi_index.search(df, df.filter("vec_id % 100 = 0"), 10).collect()
     hits = 0
     for q in range(0, 3000, 100):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
@@ -296,6 +308,11 @@ def test_search_leaves_unusable_vectors_out(spark):
     df = vectors(spark, np.arange(1, 9).reshape(4, 2), odd)
     got = inverted_multi_index.search(df, df, 10).collect()
     assert {r["query_id"] for r in got} == {0, 1, 2, 3} == {r["vec_id"] for r in got} and len(got) == 12
+    # Most queries have a length that the index hasn't.
+    asked = vectors(spark, np.ones((1, 2)), [(700 + i, [1.0, 2.0, 3.0]) for i in range(5)])
+    assert {r["query_id"] for r in inverted_multi_index.search(df, asked, 2).collect()} == {0}
+    named = df.withColumns({c: F.lit("x") for c in ("cell", "v", "shelf", "piece", "turn", "q", "score", "rank")})
+    assert inverted_multi_index.search(named, named, 10).count() == 12
     none = vectors(spark, np.zeros((0, 2)))
     assert inverted_multi_index.search(none, none, 10).count() == 0
 
@@ -435,3 +452,13 @@ def test_full_formats_get_longer_surrogates(spark):
     entities = spark.createDataFrame([("secret", f"{i}") for i in range(10)], "kind string, value string")
     got = pii_surrogates.assign(entities, "k").collect()
     assert len(got) == 10 and len({r["new"] for r in got}) == 10 and not {r["new"] for r in got} & {str(i) for i in range(10)}
+
+
+@pytest.mark.parametrize("text, n", [
+    ("x@" + "a." * 500_000 + "1", 0), ("A'a" * 300_000, 0), ("1 " * 500_000, 400_000), ("token=" + "Ab1" * 300_000, 1), ("mail " + "x" * 1_000_000 + "@a.example", 1),
+    ("Mr. J" + "o" * 1_000_000, 1), ("Mr. John " * 110_000, 110_000),
+])
+def test_surrogates_take_texts_of_a_million_characters(make, text, n):
+    row = pii_surrogates.replace(make([(1, text, "en")])).select("row.text", "n_entities").first()
+    assert len(row["text"]) == len(text) and (row["text"] == text) == (n == 0)
+    assert row["n_entities"] == n or text.startswith("1 ") and row["n_entities"] > 0
