@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm import line_dedup, packing, pii_surrogates, quality_rules, weighted_minhash
-from mnemospark.llm.common import durable, table
+from mnemospark.llm.common import shared_folder, table
 
 
 def _row(done: DataFrame, docs: DataFrame) -> DataFrame:
@@ -49,8 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``; what a stage keeps is stored before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+    """All stages in turn over ``documents``; what a stage keeps is written as Parquet in the shared folder and
+    reread by the next, so that lost executors repeat one stage at most and each stage's rows can be looked at."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.schema(docs.schema).parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
