@@ -39,14 +39,14 @@ def static_reason(cycles: Column | int, min_cycles: int = 2, min_refs: int = 2)
     )
 
 
-def signal_columns(events: DataFrame) -> DataFrame:
+def signal_columns(events: DataFrame, *extra: Column) -> DataFrame:
     """What the fold needs of each event: its static verdict, tokens and unit vector."""
     vector = F.col("context_vector") if "context_vector" in events.columns else F.lit(None).cast("array<float>")
     reset = F.col("reset") if "reset" in events.columns else F.lit(False)
     return events.select(
         "project_id", "seq", "event_id", static_reason(0).alias("alone"),
         T.tokens(F.col("summary")).alias("tokens"), vector.cast("array<double>").alias("vector"),
-        F.coalesce(reset, F.lit(False)).alias("reset"),
+        F.coalesce(reset, F.lit(False)).alias("reset"), *extra,
     )
 
 

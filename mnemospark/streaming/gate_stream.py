@@ -1,8 +1,8 @@
-"""The significance gate as a stateful stream, and the sinks behind it."""
+"""The significance gate as a stateful stream, deduplicated ingest and rolling counts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from mnemospark import fixed_values as V
 from mnemospark.operators.gate import Ring, signal_columns
 
-_DECISION = "project_id string, event_id string, seq bigint, gate_reason string"
+_DECISION = "project_id string, event_id string, seq bigint, gate_reason string, payload string"
 _STATE = "tokens array<string>, vector array<double>"
 
 
@@ -39,39 +39,39 @@ class GateProcessor(StatefulProcessor):
         else:  # a list state cannot hold an empty list
             self._ring.clear()
         yield pd.DataFrame({"project_id": key[0], "event_id": batch["event_id"], "seq": batch["seq"],
-                            "gate_reason": reasons})
+                            "gate_reason": reasons, "payload": batch["payload"]})
 
     def close(self) -> None:
         pass
 
 
 def gate_stream(events: DataFrame, min_cycles: int = 2, cosine: float = V.SAME_INFORMATION_COSINE) -> DataFrame:
-    """Streaming decisions; a row with reset = true clears its project's ring first.
+    """Streaming decisions; a row with reset = true clears its project's ring first, a column payload is handed on.
 
     Needs the RocksDB state store provider.
     """
-    rows = signal_columns(events).withColumns({
+    payload = F.col("payload") if "payload" in events.columns else F.lit(None).cast("string")
+    rows = signal_columns(events, payload.alias("payload")).withColumns({
         "event_id": F.col("event_id").cast("string"), "seq": F.col("seq").cast("bigint")})
     return rows.groupBy("project_id").transformWithStateInPandas(
         GateProcessor(min_cycles, cosine), outputStructType=_DECISION, outputMode="Append", timeMode="None")
 
 
-def write_stream(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str,
-                 available_now: bool = True, interval: str = "300 seconds"):
-    """Hand each micro-batch of gate-passed events to ``apply(batch, batch_id)``, which
-    merges it into the next snapshot. Re-delivery is harmless: ids are deterministic."""
-    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
-    return writer.start()
+def passed_events(events: DataFrame, **options) -> DataFrame:
+    """All columns of the events that pass the gate, and gate_reason; a stream for :func:`sinks.write_stream`."""
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    judged = gate_stream(events.withColumn("payload", F.to_json(F.struct(*events.columns), exact)), **options)
+    return judged.filter(F.col("gate_reason") != "below_threshold").select(
+        F.from_json("payload", events.schema, exact).alias("e"), "gate_reason").select("e.*", "gate_reason")
 
 
-def ingest_stream(raw: DataFrame, bounded_by: str | None = None) -> DataFrame:
-    """Drop records whose (source_uri, content_hash) was seen; with a watermark delay on
-    modified_at the remembered set stays bounded."""
-    keys = ["source_uri", "content_hash"]
-    if bounded_by is None:
-        return raw.dropDuplicates(keys)
-    return raw.withWatermark("modified_at", bounded_by).dropDuplicatesWithinWatermark(keys)
+def ingest_stream(raw: DataFrame, remembered: str = "24 hours") -> DataFrame:
+    """Drop records whose (source_uri, content_hash) was seen within ``remembered`` of their modified_at.
+
+    Keys are state that expires by event time, so the remembered set stays level however long the stream runs; a record
+    that comes back later is new to the stream and met by the batch dedup (``files.unseen``) instead.
+    """
+    return raw.withWatermark("modified_at", remembered).dropDuplicatesWithinWatermark(["source_uri", "content_hash"])
 
 
 def live_counts(memories: DataFrame, window: str = "24 hours", slide: str | None = None, late: str = "1 hour"
