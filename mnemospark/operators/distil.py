@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemospark import fixed_values as V
 from mnemospark.functions import text as T, vectors as X
+from mnemospark.operators import linkage
 from mnemospark.operators.ranking import pinned, top_per_key
 
 
@@ -170,9 +171,9 @@ def _cluster_group(cosine_floor: float, dice_floor: float):
                 look(k)
             look(i)
         members = [m for m, kept in zip(members, alive) if kept]
-        label = {m: (c, p) for c, ms in enumerate(members) for p, m in enumerate(ms)}
+        label = {m: (ms[0], p) for ms in members for p, m in enumerate(ms)}
         out = group[["project_id", "entity_group", "id"]].copy()
-        out["cluster"] = [label[m][0] for m in range(n)]
+        out["cluster"] = [group["position"].iloc[label[m][0]] for m in range(n)]
         out["member"] = [label[m][1] for m in range(n)]
         return out
 
@@ -180,38 +181,41 @@ def _cluster_group(cosine_floor: float, dice_floor: float):
 
 
 def cluster_entities(groups: DataFrame, vector: str | None = "context_vector",
-                     cosine_floor: float = V.PITFALL_MERGE_COSINE, dice_floor: float = V.PITFALL_MERGE_DICE
-                     ) -> DataFrame:
-    """Cluster number and member position of each episode of :func:`entity_groups`.
+                     cosine_floor: float = V.PITFALL_MERGE_COSINE, dice_floor: float = V.PITFALL_MERGE_DICE,
+                     task_rows: int = linkage.TASK_ROWS) -> DataFrame:
+    """Cluster of each episode of :func:`entity_groups`, named by the position of its first member, and the member's place in it.
 
-    Cosine decides; bigram overlap where no vector of an entity carries a signal.
+    Cosine decides; bigram overlap where no vector of an entity carries a signal. Entities of up to ``task_rows`` episodes are
+    clustered by one task each, larger ones in rounds over blocks (:func:`linkage.cluster_rounds`), with the same result.
     """
     v = F.col(vector).cast("array<double>") if vector else F.lit(None).cast("array<double>")
-    slim = groups.select("project_id", "entity_group", F.col("id").cast("string").alias("id"), "position", "summary",
-                         v.alias("vector"))
-    return slim.groupBy("project_id", "entity_group").applyInPandas(
-        _cluster_group(cosine_floor, dice_floor),
-        "project_id string, entity_group string, id string, cluster int, member int")
+    keys = ["project_id", "entity_group"]
+    slim = groups.select(*keys, F.col("id").cast("string").alias("id"), "position", "summary", v.alias("vector"))
+    sizes = slim.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    sized = slim.join(sizes, keys)
+    small = sized.filter(F.col("_rows") <= task_rows).drop("_rows").groupBy(*keys).applyInPandas(
+        _cluster_group(cosine_floor, dice_floor), "project_id string, entity_group string, id string, cluster long, member long")
+    large = sized.filter(F.col("_rows") > task_rows).drop("_rows")
+    if large.isEmpty():
+        return small
+    rounds = linkage.cluster_rounds(large, cosine_floor, dice_floor)
+    return small.unionByName(rounds.select(*keys, "id", F.col("root").alias("cluster"), "member"))
 
 
 def representatives(clusters: DataFrame, keys: tuple[str, ...] = ("project_id", "entity_group", "cluster")) -> DataFrame:
     """Most representative member of each cluster: highest mean overlap with the rest.
 
-    ``clusters`` has keys, id, member, summary; its members meet inside the join, never in one row.
+    ``clusters`` has keys, id, member, summary; ids are unique. Members meet in blocks, and each block sends one sum for
+    each of its rows.
     """
-    rows = pinned(clusters.select(*keys, "id", "member", "summary"), _g=T.char_bigrams(F.col("summary")))
-    other = rows.select(*keys, F.col("id").alias("_oid"), F.col("_g").alias("_og"))
-    # In whole millionths, so equal means stay equal whatever the summation order.
-    pair = F.when(F.col("id") == F.col("_oid"), F.lit(None)).otherwise(
-        F.round(T.dice(F.col("_g"), F.col("_og")) * 1000000).cast("bigint"))
-    scored = rows.join(other, list(keys)).groupBy(*keys, "id", "member", "summary").agg(
-        F.sum(pair).alias("_total"), F.count("*").alias("size"))
+    rows = pinned(clusters.select(*keys, "id", "member", "summary"), grams=T.char_bigrams(F.col("summary")))
+    sums = linkage.overlap_sums(rows.select(*keys, "id", "grams"), list(keys)).withColumnRenamed("id", "_id")
+    scored = rows.drop("grams").join(sums, F.col("id") == F.col("_id"))
     best = scored.groupBy(*keys).agg(
-        F.max_by(F.struct("id", "summary", "_total", "size"),
-                 F.struct(F.coalesce("_total", F.lit(0)), -F.col("member"))).alias("b"))
-    mean = F.col("b._total") / (F.greatest(F.col("b.size") - 1, F.lit(1)) * 1000000.0)
+        F.max_by(F.struct("id", "summary", "total", "others"), F.struct("total", -F.col("member"))).alias("b"))
+    mean = F.col("b.total") / (F.greatest(F.col("b.others"), F.lit(1)) * 1000000.0)
     return best.select(*keys, F.col("b.id").alias("id"), F.col("b.summary").alias("summary"),
-                       F.col("b.size").alias("size"), F.coalesce(mean, F.lit(0.0)).alias("mean_overlap"))
+                       (F.col("b.others") + 1).alias("size"), mean.alias("mean_overlap"))
 
 
 def heuristic_pitfalls(clusters: DataFrame, now: Column, min_size: int = 2) -> DataFrame:
@@ -238,33 +242,6 @@ def heuristic_pitfalls(clusters: DataFrame, now: Column, min_size: int = 2) -> D
         F.col("cluster").alias("position"))
 
 
-def _dedup_group(floor: float):
-    """Greedy leaders in position order over one entity's pitfalls of one run."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["position", "id"], ignore_index=True)
-        leaders: list[tuple[str, str, np.ndarray | None]] = []
-        chosen = []
-        for row in group.itertuples(index=False):
-            v = None if row.vector is None else np.asarray(row.vector, dtype=np.float64)
-            lead = row.id
-            for known, signature, w in leaders:
-                if v is not None and w is not None:
-                    norm = np.linalg.norm(v) * np.linalg.norm(w) if len(v) == len(w) else 0.0
-                    same = norm > 0 and round(float(v @ w) / norm, 9) >= floor
-                else:
-                    same = row.signature == signature
-                if same:
-                    lead = known
-                    break
-            if lead == row.id:
-                leaders.append((row.id, row.signature, v))
-            chosen.append(lead)
-        return pd.DataFrame({"id": group["id"], "leader_id": chosen})
-
-    return run
-
-
 def dedup_pitfalls(pitfalls: DataFrame, floor: float = V.PITFALL_DEDUP_COSINE) -> DataFrame:
     """leader_id of each pitfall of one run: cosine of signatures, or equal
     signatures where a vector is missing; never across entities.
@@ -273,7 +250,7 @@ def dedup_pitfalls(pitfalls: DataFrame, floor: float = V.PITFALL_DEDUP_COSINE) -
     """
     slim = pitfalls.select("project_id", "entity_id", F.col("id").cast("string").alias("id"), "position", "signature",
                            F.col("signature_embedding").cast("array<double>").alias("vector"))
-    return slim.groupBy("project_id", "entity_id").applyInPandas(_dedup_group(floor), "id string, leader_id string")
+    return linkage.leaders(slim, ["project_id", "entity_id"], floor)
 
 
 def merge_pitfalls(pitfalls: DataFrame, leaders: DataFrame) -> DataFrame:

@@ -16,15 +16,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 CHUNK = 4096
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the session names, else in its warehouse.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; only where it names none (tests), one in its warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
 
-    Executors and driver share both; a folder of one machine is never used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import text as T
 from mnemospark.operators import distil, retrieve as R
 from mnemospark.plans import pipelines
+from mnemospark.streaming import sinks
 from mnemospark.workload import oracle_views as O
 from mnemospark.workload.registry import big, case, r6
 from mnemospark.workload.views import NOW
@@ -189,6 +190,41 @@ def rule_scores(v):
     return v.table("events").select("event_id", r6(distil.parse_rule_score(answer)).alias("score"))
 
 
+@case("window_sums", O.with_views("epi") + """
+SELECT time_bucket(INTERVAL 1 DAY, created_at)::DATE::VARCHAR AS day, project_id, task_type, entity_group, count(*) AS members, epoch_us(min(created_at)) AS first_us, round(sum(weight), 6) AS weight
+FROM v_epi GROUP BY ALL""")
+def window_sums(v):
+    """The additive state of rolling consolidation, over the whole table at once."""
+    return sinks.window_sums(v.epi()).select(
+        F.to_date("window_start").cast("string").alias("day"), "project_id", "task_type", "entity_group", "members", F.unix_micros("first_at").alias("first_us"), r6("weight").alias("weight"))
+
+
+@case("windows_due", O.with_views("epi", ("s", "SELECT created_at::DATE::VARCHAR AS day, project_id, task_type, entity_group, count(*) AS n FROM v_epi GROUP BY ALL")) + """
+SELECT day, project_id FROM s GROUP BY day, project_id, task_type HAVING sum(n) >= 3
+UNION SELECT day, project_id FROM s WHERE task_type = 'debug' AND entity_group <> '' AND n >= 2""")
+def windows_due(v):
+    return sinks.worth_consolidating(sinks.window_sums(v.epi())).select(F.to_date("window_start").cast("string").alias("day"), "project_id")
+
+
+def _vector_pitfalls(v):
+    """All pitfalls of the event log, in the order of their numbers; some have a vector, the rest compare by signature."""
+    return v.pit().select(F.col("id").cast("string").alias("id"), F.lit("e").alias("entity_id"), F.concat(F.lit("p"), F.col("id") % 3).alias("project_id"), F.col("id").alias("position"),
+                          F.concat(F.lit("module "), F.col("id") % 5).alias("signature"), F.slice("signature_embedding", 1, 3).alias("signature_embedding"))
+
+
+@case("pitfall_leaders", O.with_views("pit", ("r", "SELECT id AS k, 'p' || (id % 3) AS project_id, 'module ' || (id % 5) AS s, signature_embedding[1:3] AS e, row_number() OVER (PARTITION BY id % 3 ORDER BY id) AS n FROM v_pit"),
+    ("m", """SELECT b.project_id, b.n, list(a.k ORDER BY a.n) AS alike FROM r a JOIN r b ON a.project_id = b.project_id AND a.n < b.n
+ AND CASE WHEN a.e IS NOT NULL AND b.e IS NOT NULL THEN round(list_cosine_similarity(a.e, b.e), 9) >= 0.9 ELSE a.s = b.s END GROUP BY ALL"""),
+    ("fold", """SELECT project_id, 0::BIGINT AS n, NULL::BIGINT AS k, NULL::BIGINT AS lead, []::BIGINT[] AS leaders FROM (SELECT DISTINCT project_id FROM r)
+UNION ALL SELECT project_id, n, k, coalesce(lead, k), CASE WHEN lead IS NULL THEN list_append(leaders, k) ELSE leaders END FROM (
+ SELECT r.project_id, r.n, r.k, f.leaders, list_filter(coalesce(m.alike, []), lambda x: list_contains(f.leaders, x))[1] AS lead
+ FROM fold f JOIN r ON r.project_id = f.project_id AND r.n = f.n + 1 LEFT JOIN m ON m.project_id = r.project_id AND m.n = r.n)""")).replace("fold AS MATERIALIZED", "fold AS") + """
+SELECT k::VARCHAR AS id, lead::VARCHAR AS leader_id FROM fold WHERE k IS NOT NULL""")
+def pitfall_leaders(v):
+    """Deduplication by vectors where there are any, over every pitfall."""
+    return distil.dedup_pitfalls(_vector_pitfalls(v), 0.9)
+
+
 @case("consolidation_run")
 def consolidation_run(v):
     """Rules and pitfalls of the whole month in one run."""
