@@ -4,36 +4,58 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemospark import fixed_values as V
 from mnemospark.functions import text as T, weights as W
-from mnemospark.operators.ranking import ordinal, pinned, spread_ids, top_per_key
+from mnemospark.operators.ranking import block_pairs, ordinal, pinned, spread_ids, top_per_key
 
 
-def rule_conflicts(rules: DataFrame, per_type: int | None = None, group: tuple[str, ...] = ("project_id",)
-                   ) -> DataFrame:
-    """Pairs of active rules of one type with opposite directives about one subject.
+def _opposed(percent: int):
+    """Pairs of one block pair whose bigram sets reach a Dice of ``percent`` hundredths, in whole numbers."""
+    _, common = T.bigram_kernel()
 
-    Every prohibitive rule meets every affirmative one of its (group, type), as
-    bigram sets of numbers computed once per rule; only conflicts leave the join.
+    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"p_id": [], "q_id": []})
+        sets = [[np.asarray(g, np.int64) for g in f] for f in (left["l_grams"], right["r_grams"])]
+        sizes = [np.array([len(g) for g in s]) for s in sets]
+        total = sizes[0][:, None] + sizes[1][None, :]
+        i, j = np.nonzero((sizes[0] > 0)[:, None] & (sizes[1] > 0)[None, :] & (200 * common(*sets) >= percent * total))
+        return pd.DataFrame({"p_id": left["l_id"].to_numpy()[i], "q_id": right["r_id"].to_numpy()[j]})
+
+    return match
+
+
+def rule_conflicts(rules: DataFrame, per_type: int | None = None, group: tuple[str, ...] = ("project_id",), block_rows: int = 1024) -> DataFrame:
+    """Pairs of active rules of one type with opposite directives about one subject; ids of rules are unique.
+
+    Prohibitive rules meet affirmative ones of their (group, type) block by block as products of bigram sets, so a key with a third of all rules is
+    many tasks; blocks send on the ids of conflicts only, and texts are joined to those.
     ``per_type`` restricts this to the heaviest rules where that is wanted.
     """
     keys = [*group, "type"]
     active = rules.filter(F.col("obsoleted_at").isNull())
     if per_type is not None:
         active = top_per_key(active, keys, [F.desc("weight"), F.asc("id")], per_type, "_r")
-    sided = pinned(active.select(*keys, "id", "weight", "trust_level", "content", "entity_group"),
-                   polarity=T.polarity(F.col("content")))
-    directive = pinned(sided.filter(F.col("polarity") != "neutral"), _g=T.char_bigrams(F.col("content")))
+    directive = pinned(active.select(*keys, "id", "weight", "trust_level", "content", "entity_group"),
+                       polarity=T.polarity(F.col("content"))).filter(F.col("polarity") != "neutral")
+    grams = pinned(directive.select(*keys, "id", "polarity", "content"), grams=T.char_bigrams(F.col("content"))).drop("content")
+
+    def stand(polarity: str) -> DataFrame:
+        return grams.filter(F.col("polarity") == polarity).drop("polarity")
+
+    l_blocks, r_blocks = block_pairs(stand("prohibitive"), stand("affirmative"), keys, "id", "id", block_rows, block_rows)
+    kind = rules.schema["id"].dataType.simpleString()
+    found = l_blocks.cogroup(r_blocks).applyInPandas(_opposed(int(V.SUBJECT_DICE * 100)), f"p_id {kind}, q_id {kind}")
 
-    def side(polarity: str, tag: str) -> DataFrame:
+    def side(tag: str) -> DataFrame:
         rest = [c for c in directive.columns if c not in keys]
-        return directive.filter(F.col("polarity") == polarity).select(
-            *keys, *[F.col(c).alias(f"{tag}{c}") for c in rest])
+        return directive.select(*(keys if tag == "p_" else []), *[F.col(c).alias(f"{tag}{c}") for c in rest])
 
-    pairs = side("prohibitive", "p_").join(side("affirmative", "q_"), keys)
-    same_subject = pairs.filter(T.dice_at_least(F.col("p__g"), F.col("q__g"), int(V.SUBJECT_DICE * 100)))
+    same_subject = found.join(side("p_"), "p_id").join(side("q_"), "q_id")
     first = (F.col("p_weight") > F.col("q_weight")) | ((F.col("p_weight") == F.col("q_weight")) & (F.col("p_id") < F.col("q_id")))
 
     def pick(name: str, tag: str) -> list[Column]:

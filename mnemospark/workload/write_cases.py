@@ -19,33 +19,40 @@ _JUDGED = ("judged", """
 SELECT near.event_id, n.seq, near.id, sem, rank, CASE WHEN sem < 0.85 THEN 'below_similarity_threshold' WHEN n.language <> m.language THEN 'different_language'
  WHEN n.entity_group <> m.entity_group THEN 'different_entity' ELSE 'same_entity_same_context' END AS reason
 FROM near JOIN v_new n USING (event_id) JOIN v_vec m ON m.id = near.id""")
-_COVERED = ("covered", f"""
+# Every active row of the project with a vector is judged, so no nearer row hides one that fits.
+_PAIRS = ("pairs", f"""
+SELECT * FROM (SELECT event_id, seq, m.id, m.weight, {O.cosine('n.context_vector', 'm.context_vector')} AS sem,
+  n.language IS NOT DISTINCT FROM m.language AND n.entity_group IS NOT DISTINCT FROM m.entity_group AS fits,
+  (n.entity_group = '' OR m.entity_group = '' OR n.entity_group = m.entity_group) AND n.occurred_at > m.occurred_at AS later
+ FROM v_new n JOIN v_vec m ON n.project_id = m.project_id WHERE m.obsoleted_at IS NULL) WHERE sem IS NOT NULL""")
+_COVERED = tuple((f"{side}_text", f"SELECT {key}, summary AS s, {O.bigrams('summary')} AS g, {O.polarity('summary')} AS p FROM v_{side}") for side, key in (("new", "event_id"), ("vec", "id"))) + (("covered", """
 SELECT new_id, old_id, flip, sim, po, pn FROM (SELECT *, len(list_intersect(ng, og)) AS shared, len(ng) + len(og) AS total,
   round(2.0::DOUBLE * len(list_intersect(ng, og)) / (len(ng) + len(og)), 9) AS sim,
   pn <> 'neutral' AND po <> 'neutral' AND pn <> po AS flip FROM (
- SELECT near.event_id AS new_id, near.id AS old_id, n.summary AS ns, m.summary AS os, {O.bigrams('n.summary')} AS ng, {O.bigrams('m.summary')} AS og,
-  {O.polarity('n.summary')} AS pn, {O.polarity('m.summary')} AS po
- FROM near JOIN v_new n USING (event_id) JOIN v_vec m ON m.id = near.id
- WHERE (n.entity_group = '' OR m.entity_group = '' OR n.entity_group = m.entity_group) AND n.occurred_at > m.occurred_at AND m.obsoleted_at IS NULL))
-WHERE 8 * shared >= total AND (NOT (20 * shared >= 9 * total OR contains(ns, os) OR contains(os, ns)) OR flip)""")
+ SELECT pairs.event_id AS new_id, pairs.id AS old_id, n.s AS ns, m.s AS os, n.g AS ng, m.g AS og, n.p AS pn, m.p AS po
+ FROM pairs JOIN new_text n USING (event_id) JOIN vec_text m USING (id) WHERE later))
+WHERE shared > 0 AND 8 * shared >= total AND (NOT (20 * shared >= 9 * total OR contains(ns, os) OR contains(os, ns)) OR flip)"""),)
 _TARGETS = ("targets", """
-SELECT event_id, arg_min(seq, rank) AS seq, arg_min(id, rank) AS id, arg_min(sem, rank) AS sem FROM judged
-WHERE reason = 'same_entity_same_context' AND NOT EXISTS (SELECT 1 FROM covered WHERE new_id = event_id AND old_id = judged.id) GROUP BY 1""")
+SELECT event_id, seq, id, sem FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY sem DESC, weight DESC, id) AS r FROM pairs
+ WHERE fits AND sem >= 0.85 AND NOT EXISTS (SELECT 1 FROM covered WHERE new_id = event_id AND old_id = pairs.id)) WHERE r = 1""")
 
 
 def _near(v):
     return write.similar_memories(v.new(), v.vec())
 
 
-def _covered(v):
+def _judged(v):
     new = v.new().withColumn("id", F.col("event_id")).withColumn("created_at", F.lit(NOW))
-    near = _near(v).select(F.col("event_id").alias("new_id"), F.col("id").alias("old_id"))
-    return evolve.covered_pairs(evolve.update_pairs(new, v.vec(), near))
+    return write.judge(new, v.vec())
+
+
+def _covered(v):
+    return write.covered_found(_judged(v))
 
 
 def _targets(v):
-    covered = _covered(v).select(F.col("new_id").alias("event_id"), F.col("old_id").alias("id"))
-    return write.merge_targets(write.separation(v.new(), v.vec(), _near(v)), covered)
+    found = write.merge_found(_judged(v)).withColumnRenamed("new_id", "event_id")
+    return found.join(v.new().select("event_id", "seq"), "event_id")
 
 
 @case("similar_memories", O.with_views("new vec", _NEAR) + "SELECT event_id, id, round(sem, 6) AS similarity, rank FROM near")
@@ -58,14 +65,14 @@ def separation(v):
     return write.separation(v.new(), v.vec(), _near(v)).select("event_id", "id", "reason")
 
 
-@case("supersession", O.with_views("new vec", _NEAR, _COVERED) + """
+@case("supersession", O.with_views("new vec", _PAIRS, *_COVERED) + """
 SELECT new_id, old_id, CAST(flip AS INTEGER) AS flip, round(sim, 6) AS similarity, po AS polarity_old, pn AS polarity_new FROM covered""")
 def supersession(v):
     return _covered(v).select("new_id", "old_id", F.col("polarity_flip").cast("int").alias("flip"), r6("similarity").alias("similarity"),
                               "polarity_old", "polarity_new")
 
 
-@case("merge_append", O.with_views("new vec", _NEAR, _JUDGED, _COVERED, _TARGETS) + """
+@case("merge_append", O.with_views("new vec", _PAIRS, *_COVERED, _TARGETS) + """
 SELECT m.id, md5(m.summary || chr(10) || string_agg(n.summary, chr(10) ORDER BY t.seq)) AS digest, round(least(1.0::DOUBLE, arg_max(t.sem, t.seq) + 0.1::DOUBLE), 6) AS weight,
  epoch_us(least(m.occurred_at, min(n.occurred_at))) AS occurred_us, CAST(bool_or(n.is_correction) AS INTEGER) AS correction,
  round(greatest(m.surprise_score, max(n.surprise_score)), 6) AS surprise
@@ -76,7 +83,7 @@ def merge_append(v):
         F.col("is_correction").cast("int").alias("correction"), r6("surprise_score").alias("surprise"))
 
 
-@case("create_new", O.with_views("new vec", _NEAR, _JUDGED, _COVERED, _TARGETS) + """
+@case("create_new", O.with_views("new vec", _PAIRS, *_COVERED, _TARGETS) + """
 SELECT sha256('episodic' || chr(1) || project_id || chr(1) || event_id) AS id, project_id, language, md5(summary) AS digest, 3::BIGINT AS trust, epoch_us(occurred_at) AS occurred_us
 FROM v_new WHERE event_id NOT IN (SELECT event_id FROM targets)""")
 def create_new(v):
@@ -85,7 +92,7 @@ def create_new(v):
         "id", "project_id", "language", F.md5("summary").alias("digest"), big("trust_level").alias("trust"), micros("occurred_at").alias("occurred_us"))
 
 
-@case("update_apply", O.with_views("new vec", _NEAR, _COVERED) + """
+@case("update_apply", O.with_views("new vec", _PAIRS, *_COVERED) + """
 SELECT n.event_id AS id, 'boosted' AS change, round(least(1.0::DOUBLE, 0.5::DOUBLE * 1.5), 6) AS weight, count(*) AS edges FROM covered JOIN v_new n ON n.event_id = new_id GROUP BY 1
 UNION ALL SELECT old_id, 'retired', 0.0::DOUBLE, count(*) FROM covered GROUP BY 1""")
 def update_apply(v):
