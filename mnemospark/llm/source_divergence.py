@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import stored
 
 #: Runs of ASCII letters and of anything beyond ASCII; none of it is white space, so no term crosses a chunk.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -21,90 +21,160 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A share is 1 + floor(WHOLE * (count + SMOOTH) / (N + SMOOTH * V)).
 WHOLE, SMOOTH = 1_000_000_000, 5
 #: Bytes of text whose chunks are counted at once; a longer text is by itself.
-FLUSH = 16 << 20
+FLUSH = 32 << 20
+#: An entry of a posting is a group, a document inside its block and a count, of so many bits; larger counts are split.
+_DOC, _COUNT = 20, 20
+_GROUP = 62 - _DOC - _COUNT
+#: Rows up to which groups and candidate chunks are sent to every task; more are joined by their keys.
+SENT = 1_000_000
+#: Partitions whose blocks meet in one place per term: few enough for one task to hold the most frequent term of them.
+_TOGETHER = 64
 
 
-def chunk_postings(docs: DataFrame) -> DataFrame:
-    """(lang, source, block, chunk, docs, n): in which documents of a block a chunk occurs, and how often in all of them.
+def _sent(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= SENT else rows
 
-    A block is some documents of one group in one partition, numbered inside it; every row of ``docs`` is a document of its own.
+
+def numbered_groups(docs: DataFrame) -> DataFrame:
+    """(lang, source, gid) of every group, numbered from 0; one task passes a slim row for each of the groups, whose pairs are the result."""
+    found = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
+    return stored(stored(found).coalesce(1).withColumn("gid", F.monotonically_increasing_id()))
+
+
+def chunk_postings(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(block, chunk, entries): in which documents of a block a chunk occurs, and how often, with the group of each.
+
+    A block is some documents of one partition, numbered inside it; every row of ``docs`` is a document of its own.
     """
     texts = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")])
+    known = groups.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "gid")
+    texts = texts.join(_sent(known), (F.col("lang") == F.col("g_lang")) & (F.col("source") == F.col("g_source"))).select("text", "gid")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, turn = TaskContext.get().partitionId() << 32, 0
-        held, size = [], 0
+        held, size, rows = [], 0, 0
         for batch in batches:
             at = 0
             while at < len(batch):
                 lengths = pc.binary_length(batch["text"].slice(at)).to_numpy(zero_copy_only=False).cumsum()
-                to = at + max(1, int(np.searchsorted(lengths, FLUSH - size, "right")))
+                to = min(at + max(1, int(np.searchsorted(lengths, FLUSH - size, "right"))), at + (1 << _DOC) - rows)
                 held.append(batch.slice(at, to - at))
-                size += int(lengths[min(to - at, len(lengths)) - 1])
+                size, rows = size + int(lengths[to - at - 1]), rows + to - at
                 at = to
-                if size >= FLUSH or at < len(batch):
+                if at < len(batch):
                     yield from _postings(held, place + turn)
-                    held, size, turn = [], 0, turn + 1
+                    held, size, rows, turn = [], 0, 0, turn + 1
         if held:
             yield from _postings(held, place + turn)
 
-    return texts.mapInArrow(count, "lang string, source string, block long, chunk string, docs array<int>, n long")
+    return texts.mapInArrow(count, "block long, chunk string, entries array<long>")
 
 
 def _postings(held: list[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(held)
-    group = pd.MultiIndex.from_arrays([table["lang"].to_pylist(), table["source"].to_pylist()]).factorize()
+    group = table["gid"].to_numpy()
+    if group.max(initial=0) >> _GROUP:
+        raise ValueError("too many groups for the entries of a posting")
     words = pc.ascii_split_whitespace(pc.cast(table["text"], pa.large_string())).combine_chunks()
-    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
     doc = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
     coded = pc.dictionary_encode(pc.list_flatten(words))
     names, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    del words
     blank = pc.index(names, pa.scalar("", names.type)).as_py()
     if blank >= 0:
         doc, code = doc[code != blank], code[code != blank]
     if not len(code):
         return
-    wide, rows = len(names), len(group[0])
-    own = group[0].astype(np.int64)[doc]
-    key, n = np.unique((own * wide + code) * rows + doc, return_counts=True)
-    cell, doc = key // rows, key % rows
-    first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-    cells, total = cell[first], np.add.reduceat(n, first)
-    for at in range(0, len(cells), 65536):
-        part = cells[at : at + 65536]
-        low, high = first[at], first[at + len(part)] if at + len(part) < len(first) else len(key)
-        ends = pa.array(np.append(first[at : at + len(part)], high) - low, pa.int32())
-        langs, sources = (pa.array(group[1].get_level_values(i)).cast(pa.string()) for i in (0, 1))
-        of = pa.array(part // wide)
+    key, n = np.unique(code * len(group) + doc, return_counts=True)
+    most = (1 << _COUNT) - 1
+    parts = -(-n // most)
+    if parts.max() > 1:  # the last part has the rest
+        last = np.cumsum(parts) - 1
+        key, n = np.repeat(key, parts), np.where(np.isin(np.arange(parts.sum()), last), np.repeat(n - (parts - 1) * most, parts), most)
+    code, doc = key // len(group), key % len(group)
+    entries = (group[doc] << (_DOC + _COUNT)) | (doc << _COUNT) | n
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    ends = np.append(first, len(code))
+    for at in range(0, len(first), 65536):
+        to = min(at + 65536, len(first))
+        low, high = ends[at], ends[to]
         yield pa.RecordBatch.from_arrays([
-            langs.take(of), sources.take(of), pa.array(np.full(len(part), block)), names.take(pa.array(part % wide)).cast(pa.string()),
-            pa.ListArray.from_arrays(ends, pa.array(doc[low:high], pa.int32())), pa.array(total[at : at + len(part)]),
-        ], ["lang", "source", "block", "chunk", "docs", "n"])
+            pa.array(np.full(to - at, block)), names.take(pa.array(code[first[at:to]])).cast(pa.string()),
+            pa.ListArray.from_arrays(pa.array(ends[at : to + 1] - low, pa.int32()), pa.array(entries[low:high])),
+        ], ["block", "chunk", "entries"])
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (term, place): documents of all chunks of a term are united, counts added up, per group of documents."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        if not table.num_rows:
+            continue
+        run = _runs(table)
+        cut = int(np.searchsorted(run, run[-1]))
+        if cut:
+            yield _sums(table.slice(0, cut), run[:cut])
+        rest = table.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield _sums(rest, _runs(rest))
+
+
+def _runs(table: pa.Table) -> np.ndarray:
+    term = pc.dictionary_encode(table["term"].combine_chunks()).indices.to_numpy(zero_copy_only=False)
+    place = table["place"].to_numpy()
+    return np.concatenate(([0], np.cumsum((term[1:] != term[:-1]) | (place[1:] != place[:-1]))))
+
+
+def _sums(table: pa.Table, run: np.ndarray) -> pa.RecordBatch:
+    lists = table["entries"].combine_chunks()
+    entries = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    own, block = np.repeat(run, lengths), np.repeat(table["block"].to_numpy(), lengths)
+    n = (entries & ((1 << _COUNT) - 1)) * np.repeat(table["times"].to_numpy(), lengths)
+    order = np.lexsort((block, entries >> _COUNT, own))
+    own, doc, block, n = own[order], (entries >> _COUNT)[order], block[order], n[order]
+    new = np.concatenate(([True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])))
+    gid = doc >> _DOC
+    cell = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (gid[1:] != gid[:-1]))))
+    head = np.concatenate(([0], np.flatnonzero(run[1:] != run[:-1]) + 1))
+    return pa.RecordBatch.from_arrays([
+        table["term"].combine_chunks().take(pa.array(head[own[cell] - run[0]])), pa.array(gid[cell]), pa.array(np.add.reduceat(new.astype(np.int64), cell)),
+        pa.array(np.add.reduceat(n, cell)),
+    ], ["term", "gid", "docs", "n"])
 
 
 def terms_of(chunk: Column) -> Column:
     return F.transform(F.regexp_extract_all(chunk, F.lit(TERM), F.lit(0)), lambda t: F.translate(t, _UPPER, _LOWER))
 
 
-def group_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, docs, occurrences) of every term that occurs.
+def candidates(postings: DataFrame, min_docs: int) -> DataFrame:
+    """(c, term, times) of every chunk with a term that ``min_docs`` documents may have.
+
+    Each distinct chunk is tokenized once. The documents of all chunks of a term, documents with several of them counted again, are at least
+    those of the term, so what stays below can't be kept in any lang: an exact cut that spares the rare chunks their way.
+    """
+    tallied = postings.groupBy("chunk").agg(F.sum(F.size("entries").cast("long")).alias("m"))
+    single = tallied.select("chunk", "m", F.explode(F.array(terms_of(F.col("chunk")))).alias("terms")).select("chunk", "m", F.explode("terms").alias("term"))
+    counted = single.groupBy(F.col("chunk").alias("c"), "term").agg(F.count("*").alias("times"), F.max("m").alias("m"))
+    return counted.withColumn("most", F.sum("m").over(W.partitionBy("term"))).filter(F.col("most") >= min_docs).select("c", "term", "times")
+
+
+def group_counts(docs: DataFrame, groups: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, source, term, docs, occurrences) of every term that ``min_docs`` documents may have.
 
-    Each distinct chunk is tokenized once and its terms are joined back to its postings. Chunks that share a term meet by
-    (term, block), where their documents are united; blocks then only add up. A hot chunk or term has one
-    row for each block and group.
+    The terms of distinct chunks are joined back to the postings. Chunks that share a term meet by term and place, the blocks of
+    ``_TOGETHER`` partitions, where their documents are united; places then only add up. A hot chunk or term has one
+    row for each block of about ``FLUSH`` bytes.
     """
-    postings = chunk_postings(docs)
-    chunks = postings.select("chunk").distinct().select("chunk", F.explode(F.array(terms_of(F.col("chunk")))).alias("terms")).filter(F.size("terms") > 0)
-    times = F.map_entries(F.aggregate(
-        "terms", F.create_map().cast("map<string,int>"),
-        lambda m, t: F.map_concat(F.map_filter(m, lambda k, _: k != t), F.create_map(t, F.coalesce(F.try_element_at(m, t), F.lit(0)) + 1))))
-    single = F.array(F.struct(F.get("terms", F.lit(0)).alias("key"), F.lit(1).alias("value")))
-    counted = chunks.select(F.col("chunk").alias("c"), F.when(F.size("terms") == 1, single).otherwise(times).alias("terms"))
-    met = postings.join(counted, F.col("chunk") == F.col("c")).select("lang", "source", "block", F.explode("terms").alias("t"), "docs", "n")
-    united = met.groupBy("lang", "source", "block", F.col("t.key").alias("term")).agg(
-        F.collect_list("docs").alias("docs"), F.sum(F.col("t.value") * F.col("n")).alias("n"))
-    united = united.select("lang", "source", "term", F.when(F.size("docs") == 1, F.size(F.get("docs", F.lit(0)))).otherwise(F.size(F.array_distinct(F.flatten("docs")))).alias("d"), "n")
-    return united.groupBy("lang", "source", "term").agg(F.sum("d").alias("docs"), F.sum("n").alias("occurrences"))
+    postings = chunk_postings(docs, groups)
+    wanted = _sent(stored(candidates(postings, min_docs)))
+    met = postings.join(wanted, F.col("chunk") == F.col("c")).select(
+        "term", F.expr(f"cast(block div {_TOGETHER << 32} as int)").alias("place"), "block", "times", "entries")
+    united = met.repartition("term", "place").sortWithinPartitions("term", "place").mapInArrow(_united, "term string, gid long, docs long, n long")
+    summed = united.groupBy("term", "gid").agg(F.sum("docs").alias("docs"), F.sum("n").alias("occurrences"))
+    return summed.join(groups, "gid").select("lang", "source", "term", "docs", "occurrences")
 
 
 def _share(count: Column, total: Column, kept: Column) -> Column:
@@ -125,16 +195,16 @@ def audit(docs: DataFrame, min_docs: int = 30, top: int = 50) -> DataFrame:
     without terms takes part in pairs, a lang without kept terms has values 0, a lang with one source no pairs, an
     empty table no rows. Texts of any length are read whole; extra columns are not read.
     """
-    groups = durable(docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct())
-    counts = durable(group_counts(docs))
+    groups = numbered_groups(docs)
+    counts = stored(group_counts(docs, groups, min_docs))
     of_lang = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("in_lang")).filter(F.col("docs") >= min_docs)
-    kept = durable(of_lang.select(F.col("lang").alias("k_lang"), F.col("term").alias("k_term"), "in_lang"))
+    kept = stored(of_lang.select(F.col("lang").alias("k_lang"), F.col("term").alias("k_term"), "in_lang"))
     held = counts.join(kept, (F.col("lang") == F.col("k_lang")) & (F.col("term") == F.col("k_term"))).select("lang", "source", "term", "occurrences", "in_lang")
-    held = durable(held)
+    held = stored(held)
     sizes = kept.groupBy("k_lang").agg(F.count("*").alias("v"), F.sum("in_lang").alias("lang_n"))
     totals = held.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(F.sum("occurrences").alias("n"))
-    known = groups.join(totals, (F.col("lang") == F.col("t_lang")) & (F.col("source") == F.col("t_source")), "left").join(sizes, F.col("lang") == F.col("k_lang"), "left")
-    known = durable(known.select("lang", "source", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n", "v", "lang_n")]))
+    known = groups.drop("gid").join(totals, (F.col("lang") == F.col("t_lang")) & (F.col("source") == F.col("t_source")), "left").join(sizes, F.col("lang") == F.col("k_lang"), "left")
+    known = stored(known.select("lang", "source", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n", "v", "lang_n")]))
 
     facts = known.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), "n", "v", "lang_n")
     shared = held.join(facts, (F.col("lang") == F.col("f_lang")) & (F.col("source") == F.col("f_source")))

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,9 +194,10 @@ def audited(spark, rows, min_docs, top, parts=5):
     return sorted((r["lang"], r["source"], r["part"], r["item"], r["value"], r["rank"]) for r in got)
 
 
-@pytest.mark.parametrize("flush", [200, 1 << 24])
-def test_audit_equals_brute_force(spark, monkeypatch, flush):
-    monkeypatch.setattr(source_divergence, "FLUSH", flush)
+@pytest.mark.parametrize("flush, sent, together", [(200, 0, 1), (1 << 24, 1_000_000, 64)])
+def test_audit_equals_brute_force(spark, monkeypatch, flush, sent, together):
+    for name, value in (("FLUSH", flush), ("SENT", sent), ("_TOGETHER", together)):
+        monkeypatch.setattr(source_divergence, name, value)
     rng = random.Random(9)
     pool = ["The", "the", "THE,", "the.", "cat-cat", "dog's", "x1y", "straße", "ÉTÉ", "été", "中文", "a b", "123", "!!", "go\x00go", "(one)", "two/Two/TWO", " wide"]
     rows = [(" ".join(rng.choice(pool) for _ in range(rng.randint(0, 30))).replace("one) ", "one)\n\t"), rng.choice(["en", "de", None]), rng.choice(["s1", "s2", "é", None])) for _ in range(120)]
@@ -203,6 +205,13 @@ def test_audit_equals_brute_force(spark, monkeypatch, flush):
     assert audited(spark, rows, 5, 4) == brute_audit(rows, 5, 4)
 
 
+def test_postings_split_large_counts(monkeypatch):
+    monkeypatch.setattr(source_divergence, "_COUNT", 3)
+    rows = pa.RecordBatch.from_pydict({"text": ["a " * 20 + "b", "", "a a\tc"], "gid": [4, 4, 9]})
+    got = {r["chunk"]: [(e >> 23, e >> 3 & 0xFFFFF, e & 7) for e in r["entries"]] for b in source_divergence._postings([rows], 6) for r in b.to_pylist()}
+    assert got == {"a": [(4, 0, 7), (4, 0, 7), (4, 0, 6), (9, 2, 2)], "b": [(4, 0, 1)], "c": [(9, 2, 1)]}
+
+
 def test_audit_edge_cases(spark):
     assert audited(spark, [("a", "en", "s")], 1, 50) == []  # one term, one source: nothing lies over the lang
     assert audited(spark, [("a b", "en", "s1"), ("", "en", "s2")], 9, 50) == [("en", "s1", "pair", "s2", 0, 1), ("en", "s2", "pair", "s1", 0, 1)]
