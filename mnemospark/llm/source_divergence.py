@@ -22,59 +22,61 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHOLE, SMOOTH = 1_000_000_000, 5
 #: Bytes of text whose chunks are counted at once; a longer text is by itself.
 FLUSH = 32 << 20
-#: An entry of a posting is a group, a document inside its block and a count, of so many bits; larger counts are split.
-_DOC, _COUNT = 20, 20
-_GROUP = 62 - _DOC - _COUNT
-#: Rows up to which groups and candidate chunks are sent to every task; more are joined by their keys.
-SENT = 1_000_000
+#: An entry of a posting is a group, a document inside its block and a count, of so many bits; larger counts are split. Entries take 32 bits
+#: where the groups of the corpus fit in, else 64.
+_NARROW, _WIDE = (12, 16, 4), (22, 20, 20)
+#: Groups up to which they are sent to every task; more are joined by their keys.
+SENT = 100_000
 #: Partitions whose blocks meet in one place per term: few enough for one task to hold the most frequent term of them.
 _TOGETHER = 64
 
 
-def _sent(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= SENT else rows
-
-
 def numbered_groups(docs: DataFrame) -> DataFrame:
     """(lang, source, gid) of every group, numbered from 0; one task passes a slim row for each of the groups, whose pairs are the result."""
     found = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
     return stored(stored(found).coalesce(1).withColumn("gid", F.monotonically_increasing_id()))
 
 
-def chunk_postings(docs: DataFrame, groups: DataFrame) -> DataFrame:
+def layout(count: int) -> tuple[int, int, int]:
+    """Bits of group, document and count in an entry for so many groups."""
+    if count > 1 << _WIDE[0]:
+        raise ValueError("too many groups for the entries of a posting")
+    return _NARROW if count <= 1 << _NARROW[0] else _WIDE
+
+
+def chunk_postings(docs: DataFrame, groups: DataFrame, count: int) -> DataFrame:
     """(block, chunk, entries): in which documents of a block a chunk occurs, and how often, with the group of each.
 
     A block is some documents of one partition, numbered inside it; every row of ``docs`` is a document of its own.
     """
     texts = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")])
     known = groups.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "gid")
-    texts = texts.join(_sent(known), (F.col("lang") == F.col("g_lang")) & (F.col("source") == F.col("g_source"))).select("text", "gid")
+    bits, known = layout(count), F.broadcast(known) if count <= SENT else known
+    texts = texts.join(known, (F.col("lang") == F.col("g_lang")) & (F.col("source") == F.col("g_source"))).select("text", "gid")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, turn = TaskContext.get().partitionId() << 32, 0
         held, size, rows = [], 0, 0
         for batch in batches:
             at = 0
             while at < len(batch):
                 lengths = pc.binary_length(batch["text"].slice(at)).to_numpy(zero_copy_only=False).cumsum()
-                to = min(at + max(1, int(np.searchsorted(lengths, FLUSH - size, "right"))), at + (1 << _DOC) - rows)
+                to = min(at + max(1, int(np.searchsorted(lengths, FLUSH - size, "right"))), at + (1 << bits[1]) - rows)
                 held.append(batch.slice(at, to - at))
                 size, rows = size + int(lengths[to - at - 1]), rows + to - at
                 at = to
                 if at < len(batch):
-                    yield from _postings(held, place + turn)
+                    yield from _postings(held, place + turn, bits)
                     held, size, rows, turn = [], 0, 0, turn + 1
         if held:
-            yield from _postings(held, place + turn)
+            yield from _postings(held, place + turn, bits)
 
-    return texts.mapInArrow(count, "block long, chunk string, entries array<long>")
+    return texts.mapInArrow(read, f"block long, chunk string, entries array<{'int' if bits == _NARROW else 'long'}>")
 
 
-def _postings(held: list[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+def _postings(held: list[pa.RecordBatch], block: int, bits: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(held)
     group = table["gid"].to_numpy()
-    if group.max(initial=0) >> _GROUP:
-        raise ValueError("too many groups for the entries of a posting")
     words = pc.ascii_split_whitespace(pc.cast(table["text"], pa.large_string())).combine_chunks()
     doc = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
     coded = pc.dictionary_encode(pc.list_flatten(words))
@@ -86,13 +88,14 @@ def _postings(held: list[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch
     if not len(code):
         return
     key, n = np.unique(code * len(group) + doc, return_counts=True)
-    most = (1 << _COUNT) - 1
+    most = (1 << bits[2]) - 1
     parts = -(-n // most)
     if parts.max() > 1:  # the last part has the rest
         last = np.cumsum(parts) - 1
         key, n = np.repeat(key, parts), np.where(np.isin(np.arange(parts.sum()), last), np.repeat(n - (parts - 1) * most, parts), most)
     code, doc = key // len(group), key % len(group)
-    entries = (group[doc] << (_DOC + _COUNT)) | (doc << _COUNT) | n
+    entries = (group[doc] << (bits[1] + bits[2])) | (doc << bits[2]) | n
+    entries = entries.astype(np.uint32).view(np.int32) if bits == _NARROW else entries
     first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
     ends = np.append(first, len(code))
     for at in range(0, len(first), 65536):
@@ -104,21 +107,25 @@ def _postings(held: list[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch
         ], ["block", "chunk", "entries"])
 
 
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _united(bits: tuple[int, int, int]):
     """Rows sorted by (term, place): documents of all chunks of a term are united, counts added up, per group of documents."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table])
-        if not table.num_rows:
-            continue
-        run = _runs(table)
-        cut = int(np.searchsorted(run, run[-1]))
-        if cut:
-            yield _sums(table.slice(0, cut), run[:cut])
-        rest = table.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield _sums(rest, _runs(rest))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            if not table.num_rows:
+                continue
+            runs = _runs(table)
+            cut = int(np.searchsorted(runs, runs[-1]))
+            if cut:
+                yield _sums(table.slice(0, cut), runs[:cut], bits)
+            rest = table.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield _sums(rest, _runs(rest), bits)
+
+    return run
 
 
 def _runs(table: pa.Table) -> np.ndarray:
@@ -127,16 +134,17 @@ def _runs(table: pa.Table) -> np.ndarray:
     return np.concatenate(([0], np.cumsum((term[1:] != term[:-1]) | (place[1:] != place[:-1]))))
 
 
-def _sums(table: pa.Table, run: np.ndarray) -> pa.RecordBatch:
+def _sums(table: pa.Table, run: np.ndarray, bits: tuple[int, int, int]) -> pa.RecordBatch:
     lists = table["entries"].combine_chunks()
     entries = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+    entries = entries.view(np.uint32).astype(np.int64) if bits == _NARROW else entries
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     own, block = np.repeat(run, lengths), np.repeat(table["block"].to_numpy(), lengths)
-    n = (entries & ((1 << _COUNT) - 1)) * np.repeat(table["times"].to_numpy(), lengths)
-    order = np.lexsort((block, entries >> _COUNT, own))
-    own, doc, block, n = own[order], (entries >> _COUNT)[order], block[order], n[order]
+    n = (entries & ((1 << bits[2]) - 1)) * np.repeat(table["times"].to_numpy(), lengths)
+    order = np.lexsort((block, entries >> bits[2], own))
+    own, doc, block, n = own[order], (entries >> bits[2])[order], block[order], n[order]
     new = np.concatenate(([True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])))
-    gid = doc >> _DOC
+    gid = doc >> bits[1]
     cell = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (gid[1:] != gid[:-1]))))
     head = np.concatenate(([0], np.flatnonzero(run[1:] != run[:-1]) + 1))
     return pa.RecordBatch.from_arrays([
@@ -168,11 +176,12 @@ def group_counts(docs: DataFrame, groups: DataFrame, min_docs: int) -> DataFrame
     ``_TOGETHER`` partitions, where their documents are united; places then only add up. A hot chunk or term has one
     row for each block of about ``FLUSH`` bytes.
     """
-    postings = chunk_postings(docs, groups)
-    wanted = _sent(stored(candidates(postings, min_docs)))
+    count = groups.count()
+    postings = chunk_postings(docs, groups, count)
+    wanted = stored(candidates(postings, min_docs))
     met = postings.join(wanted, F.col("chunk") == F.col("c")).select(
         "term", F.expr(f"cast(block div {_TOGETHER << 32} as int)").alias("place"), "block", "times", "entries")
-    united = met.repartition("term", "place").sortWithinPartitions("term", "place").mapInArrow(_united, "term string, gid long, docs long, n long")
+    united = met.repartition("term", "place").sortWithinPartitions("term", "place").mapInArrow(_united(layout(count)), "term string, gid long, docs long, n long")
     summed = united.groupBy("term", "gid").agg(F.sum("docs").alias("docs"), F.sum("n").alias("occurrences"))
     return summed.join(groups, "gid").select("lang", "source", "term", "docs", "occurrences")
 

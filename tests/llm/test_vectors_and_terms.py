@@ -194,9 +194,9 @@ def audited(spark, rows, min_docs, top, parts=5):
     return sorted((r["lang"], r["source"], r["part"], r["item"], r["value"], r["rank"]) for r in got)
 
 
-@pytest.mark.parametrize("flush, sent, together", [(200, 0, 1), (1 << 24, 1_000_000, 64)])
-def test_audit_equals_brute_force(spark, monkeypatch, flush, sent, together):
-    for name, value in (("FLUSH", flush), ("SENT", sent), ("_TOGETHER", together)):
+@pytest.mark.parametrize("flush, sent, together, narrow", [(200, 0, 1, 12), (1 << 24, 1_000_000, 64, 12), (1 << 24, 1_000_000, 64, 1)])
+def test_audit_equals_brute_force(spark, monkeypatch, flush, sent, together, narrow):
+    for name, value in (("FLUSH", flush), ("SENT", sent), ("_TOGETHER", together), ("_NARROW", (narrow, 16, 4))):
         monkeypatch.setattr(source_divergence, name, value)
     rng = random.Random(9)
     pool = ["The", "the", "THE,", "the.", "cat-cat", "dog's", "x1y", "straße", "ÉTÉ", "été", "中文", "a b", "123", "!!", "go\x00go", "(one)", "two/Two/TWO", " wide"]
@@ -205,11 +205,10 @@ def test_audit_equals_brute_force(spark, monkeypatch, flush, sent, together):
     assert audited(spark, rows, 5, 4) == brute_audit(rows, 5, 4)
 
 
-def test_postings_split_large_counts(monkeypatch):
-    monkeypatch.setattr(source_divergence, "_COUNT", 3)
-    rows = pa.RecordBatch.from_pydict({"text": ["a " * 20 + "b", "", "a a\tc"], "gid": [4, 4, 9]})
-    got = {r["chunk"]: [(e >> 23, e >> 3 & 0xFFFFF, e & 7) for e in r["entries"]] for b in source_divergence._postings([rows], 6) for r in b.to_pylist()}
-    assert got == {"a": [(4, 0, 7), (4, 0, 7), (4, 0, 6), (9, 2, 2)], "b": [(4, 0, 1)], "c": [(9, 2, 1)]}
+def test_postings_split_large_counts():
+    rows = pa.RecordBatch.from_pydict({"text": ["a " * 40 + "b", "", "a a\tc"], "gid": [4, 4, 9]})
+    got = {r["chunk"]: [(e >> 20, e >> 4 & 0xFFFF, e & 15) for e in r["entries"]] for b in source_divergence._postings([rows], 6, source_divergence.layout(9)) for r in b.to_pylist()}
+    assert got == {"a": [(4, 0, 15), (4, 0, 15), (4, 0, 10), (9, 2, 2)], "b": [(4, 0, 1)], "c": [(9, 2, 1)]}
 
 
 def test_audit_edge_cases(spark):
