@@ -291,7 +291,7 @@ def reconsolidate(reached: DataFrame, episodic: DataFrame, boost: float = V.CORR
 
 def reconsolidation_result(reached: DataFrame, episodic: DataFrame, boost: float = V.CORRECTION_BOOST) -> DataFrame:
     """updated, skipped and summed weight change per correction, applied in seq order
-    (a unique integer)."""
+    (unique, however sparse)."""
     sized = ordinal(reached, ["id"], "seq", "_nth").join(episodic.select("id", "weight"), "id", "left")
     # The n-th correction of an episode starts from the weight the earlier ones left.
     step = F.col("weight") * F.pow(F.lit(boost), F.col("_nth") - 1) * (boost - 1)

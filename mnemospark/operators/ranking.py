@@ -171,19 +171,31 @@ def nearest_neighbours(
     return top_per_key(found, ["left_id"], order, k).drop("right_weight")
 
 
+def in_order(df: DataFrame, keys: Sequence[str], seq: str, chunk: int = CHUNK) -> DataFrame:
+    """Rows with ``_at``, their place in the order of (keys, seq), and ``_chunk``, which holds at most ``chunk`` neighbours.
+
+    Places come from a range sort, so it doesn't matter how far apart the values of ``seq`` lie, and a key that holds a third of all rows
+    spreads over partitions. The bits of ``_at`` above the 33rd are the partition. The rows are stored, since a range sort
+    that is run again may draw other borders.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartitionByRange(parts, *keys, seq).sortWithinPartitions(*keys, seq)
+    return durable(spread.withColumn("_at", F.monotonically_increasing_id()).withColumn("_chunk", F.expr(f"_at div {chunk}")))
+
+
 def carry_forward(df: DataFrame, keys: Sequence[str], seq: str, value: Column, name: str,
                   chunk: int = CHUNK) -> DataFrame:
     """Last non-null ``value`` strictly before each row of its key, in ``seq`` order.
 
-    ``seq`` is a unique integer. Rows meet in chunks of the sequence; only one
+    ``seq`` is unique within its key and may be sparse. Rows meet in chunks of the order; only one
     summary row per (key, chunk) takes part in the second, per-key window.
     """
-    cut = df.withColumn("_v", value).withColumn("_chunk", F.floor(F.col(seq) / chunk))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    cut = in_order(df.withColumn("_v", value), keys, seq, chunk)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         cut.groupBy(*keys, "_chunk")
-        .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(seq))).alias("_last"))
+        .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_at"))).alias("_last"))
         .withColumn("_carry", F.last("_last", ignorenulls=True).over(across))
         .select(*keys, "_chunk", "_carry")
     )
@@ -191,23 +203,25 @@ def carry_forward(df: DataFrame, keys: Sequence[str], seq: str, value: Column, n
         cut.withColumn("_here", F.last("_v", ignorenulls=True).over(inside))
         .join(carried, [*keys, "_chunk"])
         .withColumn(name, F.coalesce("_here", "_carry"))
-        .drop("_v", "_chunk", "_here", "_carry")
+        .drop("_v", "_at", "_chunk", "_here", "_carry")
     )
 
 
-def ordinal(df: DataFrame, keys: Sequence[str], seq: str, name: str, chunk: int = CHUNK) -> DataFrame:
-    """1-based position of each row within its key by unique integer ``seq``.
+def ordinal(df: DataFrame, keys: Sequence[str], seq: str, name: str, chunk: int = CHUNK, first: str | None = None) -> DataFrame:
+    """1-based position of each row within its key by ``seq``, which is unique within its key and may be sparse.
 
-    Rows are numbered inside chunks of the sequence; a key's chunks then only
-    add up their counts.
+    Rows are numbered inside chunks of the order; a key's chunks then only
+    add up their counts. ``first`` names a column for the least ``seq`` of the key.
     """
-    cut = df.withColumn("_chunk", F.floor(F.col(seq) / chunk))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut.groupBy(*keys, "_chunk").agg(F.count("*").alias("_c")).select(
-        *keys, "_chunk", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(seq)
+    cut = in_order(df, keys, seq, chunk)
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    least = [F.min("_least").over(whole).alias(first)] if first else []
+    offsets = cut.groupBy(*keys, "_chunk").agg(F.count("*").alias("_c"), F.min(seq).alias("_least")).select(
+        *keys, "_chunk", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_offset"), *least)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("_at")
     return cut.withColumn("_here", F.row_number().over(inside)).join(offsets, [*keys, "_chunk"]).withColumn(
-        name, F.col("_offset") + F.col("_here")).drop("_chunk", "_here", "_offset")
+        name, F.col("_offset") + F.col("_here")).drop("_at", "_chunk", "_here", "_offset")
 
 
 def clamped_sum(events: DataFrame, key: str, seq: str, delta: str, low: float = 0.0, high: float = 1.0,
@@ -215,9 +229,9 @@ def clamped_sum(events: DataFrame, key: str, seq: str, delta: str, low: float =
     """Compose ``x -> clamp(x + delta)`` over each key's events in ``seq`` order.
 
     Clamped steps do not commute, but their composition is again a shift and two
-    bounds, so it can be built per chunk of the (unique integer) sequence and
-    then over chunks. Returns key, shift, floor, ceiling, events; apply with
-    :func:`apply_clamped`.
+    bounds, so it is built per chunk of neighbours, then per partition of the order, then
+    per key; ``seq`` may be sparse, and no row holds more than a chunk, the chunks of a partition or the
+    partitions. Returns key, shift, floor, ceiling, events; apply with :func:`apply_clamped`.
     """
 
     def compose(rows: Column) -> Column:
@@ -238,21 +252,13 @@ def clamped_sum(events: DataFrame, key: str, seq: str, delta: str, low: float =
 
         return F.aggregate(rows, start, step)
 
-    part = events.select(
-        key, F.col(seq).cast("bigint").alias("_pos"), F.col(delta).alias("shift"),
-        F.lit(low).alias("floor"), F.lit(high).alias("ceiling"), F.lit(1).cast("bigint").alias("events"),
-    )
-    for final in (False, False, True):
-        if not final:
-            part = part.withColumn("_pos", F.struct(F.floor(F.col("_pos") / chunk).alias("c"), F.col("_pos").alias("p")))
-            grouped = part.groupBy(key, F.col("_pos.c").alias("_c"))
-            position = F.col("_pos.p")
-        else:
-            grouped, position = part.groupBy(key), F.col("_pos")
-        rows = F.array_sort(F.collect_list(F.struct(position.alias("p"), "shift", "floor", "ceiling", "events")))
-        part = grouped.agg(compose(rows).alias("f"))
-        part = part.select(key, *([] if final else [F.col("_c").alias("_pos")]), "f.*")
-    return part
+    slim = events.select(key, F.col(seq).alias("_seq"), F.col(delta).alias("shift"))
+    part = in_order(slim, [key], "_seq", chunk).select(
+        key, "_at", "_chunk", "shift", F.lit(low).alias("floor"), F.lit(high).alias("ceiling"), F.lit(1).cast("bigint").alias("events"))
+    for group in ([F.col("_chunk")], [F.shiftright("_at", 33).alias("_part")], []):
+        rows = F.array_sort(F.collect_list(F.struct("_at", "shift", "floor", "ceiling", "events")))
+        part = part.groupBy(key, *group).agg(F.min("_at").alias("_at"), compose(rows).alias("f")).select(key, "_at", "f.*")
+    return part.drop("_at")
 
 
 def apply_clamped(value: Column, shift: Column, floor: Column, ceiling: Column) -> Column:

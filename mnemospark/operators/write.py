@@ -328,7 +328,7 @@ def typed_lookup(ids: DataFrame, episodic: DataFrame, semantic: DataFrame, pitfa
 def apply_feedback(targets: DataFrame, feedback: DataFrame) -> DataFrame:
     """New weight and frequency of each target (id, kind, weight, frequency).
 
-    ``feedback`` has memory_id, seq (unique integer), action. Events of one
+    ``feedback`` has memory_id, seq (unique, however sparse), action. Events of one
     memory apply in seq order with the weight clamped to [0, 1] after each;
     unknown actions are dropped.
     """

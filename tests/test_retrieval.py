@@ -133,6 +133,36 @@ def test_ordinal_and_carry_forward(spark):
     assert {r.seq: (r.n, r.prev) for r in out.collect()} == want
 
 
+def test_folds_over_sparse_microseconds(spark):
+    """Sequence numbers far apart, one key with nine tenths of the rows: as one pass, and no chunk beyond its size."""
+    rng = random.Random(5)
+    seqs = rng.sample(range(1_700_000_000_000_000, 1_700_090_000_000_000), 3000)
+    rows = [("cold" if i % 10 == 0 else "hot", s, rng.choice([0.5, -0.7, 0.2]), f"v{i}" if rng.random() < 0.05 else None) for i, s in enumerate(seqs)]
+    df = spark.createDataFrame(rows, "k string, seq long, d double, v string").repartition(6)
+    weight, last, count, first, want = {"hot": 0.4, "cold": 1.7}, {}, {}, {}, {}
+    for k, s, d, v in sorted(rows, key=lambda r: r[1]):
+        weight[k] = min(1.0, max(0.0, weight[k] + d))
+        count[k] = count.get(k, 0) + 1
+        want[s] = (count[k], last.get(k), first.setdefault(k, s))
+        last[k] = v or last.get(k)
+    out = ranking.ordinal(ranking.carry_forward(df, ["k"], "seq", F.col("v"), "prev", chunk=64), ["k"], "seq", "n", chunk=50, first="start")
+    assert {r.seq: (r.n, r.prev, r.start) for r in out.collect()} == want
+    start = {"hot": 0.4, "cold": 1.7}
+    for r in ranking.clamped_sum(df, "k", "seq", "d", chunk=16).collect():
+        assert max(r.floor, min(r.ceiling, start[r.k] + r["shift"])) == pytest.approx(weight[r.k]) and r.events == count[r.k]
+    placed = ranking.in_order(df, ["k"], "seq", 16)
+    assert placed.groupBy("_chunk").count().agg(F.max("count")).first()[0] <= 16
+    # The hot key lies in several partitions, and the order of places is that of the sequence.
+    assert placed.filter("k = 'hot'").select(F.shiftright("_at", 33)).distinct().count() > 1
+    assert [r.seq for r in placed.orderBy("_at").collect()] == [r[1] for r in sorted(rows, key=lambda r: (r[0], r[1]))]
+
+
+def test_folds_of_nothing(spark):
+    df = spark.createDataFrame([], "k string, seq long, d double, v string")
+    assert ranking.clamped_sum(df, "k", "seq", "d").count() == 0
+    assert ranking.ordinal(ranking.carry_forward(df, ["k"], "seq", F.col("v"), "prev"), ["k"], "seq", "n").count() == 0
+
+
 def test_percentiles(spark):
     rng = random.Random(2)
     data = {"a": [rng.random() for _ in range(333)], "b": [7.0] * 50, "c": [1.0]}
