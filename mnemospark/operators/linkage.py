@@ -35,7 +35,7 @@ def durable(df: DataFrame) -> DataFrame:
 # --- average linkage in rounds ----------------------------------------------------
 
 def _singletons():
-    """A cluster of one: the sum of unit vectors per dimension and, per size of bigram set, how often each bigram occurs.
+    """The copies of one row as a cluster: the sum of unit vectors per dimension and, per size of bigram set, how often each bigram occurs.
 
     Both are additive, and the linkage of two clusters follows from them: the sum of all cosines is the product of the
     vector sums, the sum of all overlaps is that of the bigram counts weighted by 2 / (size + size).
@@ -47,15 +47,24 @@ def _singletons():
             out = []
             for row in batch.itertuples(index=False):
                 v = None if row.vector is None or not np.any(row.vector) else np.asarray(row.vector, np.float64)
-                dims, counts, sums = ([], [], []) if v is None else ([len(v)], [1], [(v / np.linalg.norm(v)).tolist()])
+                dims, counts, sums = ([], [], []) if v is None else ([len(v)], [row.n], [(v / np.linalg.norm(v) * row.n).tolist()])
                 g = codes(row.summary) if v is None or row.mixed else np.zeros(0, np.int64)
-                sizes, grams, times = ([len(g)], [g.tolist()], [[1] * len(g)]) if len(g) else ([], [], [])
-                out.append((row.project_id, row.entity_group, row.position, 1, dims, counts, sums, sizes, grams, times))
+                sizes, grams, times = ([len(g)], [g.tolist()], [[row.n] * len(g)]) if len(g) else ([], [], [])
+                out.append((row.project_id, row.entity_group, row.root, row.n, dims, counts, sums, sizes, grams, times))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _STATE.split(", ")])
 
     return run
 
 
+def _with_looks(rows: DataFrame) -> DataFrame:
+    """``looks``: equal for rows whose similarity to every row is the same; a row that is like no other has its own."""
+    compared = F.when(F.col("vector").isNull() | F.col("mixed"), F.col("_grams"))
+    looks = F.when(F.col("vector").isNull() & (F.coalesce(F.size("_grams"), F.lit(0)) <= 0), F.col("position").cast("string")).otherwise(
+        F.sha2(F.concat(F.coalesce(F.to_json("vector"), F.lit("")), F.lit("|"), F.coalesce(F.to_json(compared), F.lit(""))), 256))
+    grams = F.array_sort(T.char_bigrams(F.col("summary")))
+    return ranking.pinned(ranking.pinned(rows, _grams=grams), looks=looks).drop("_grams")
+
+
 def _by_size(frame: pd.DataFrame, side: str) -> tuple[np.ndarray, np.ndarray, list, list]:
     """Rows of (cluster, size of set) with their bigrams and counts."""
     owner = np.repeat(np.arange(len(frame)), frame[f"{side}_sizes"].str.len())
@@ -152,15 +161,20 @@ def cluster_rounds(rows: DataFrame, cosine_floor: float, dice_floor: float, bloc
     the nearer of its parts), so this gives the tree of merging one best pair after another. Clusters whose best similarity is
     under the floor are done; only mergers, and clusters whose partner merged, look again. Where a group mixes rows that
     compare by vector with rows that don't, a merger may come nearer; there only the best pair of the group merges in a round.
+    Copies (equal vectors, or equal sets of bigrams where those are compared) have similarity 1 to each other and the same one to every other
+    row, so they are one cluster before the first round, in the order of their positions, however many they are.
     ``root`` is the position of the first member of a cluster, ``member`` the place in the order of merging.
     """
     keys = ["project_id", "entity_group"]
     signal = F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
     kinds = rows.groupBy(*keys).agg(F.bool_or(signal).alias("any"), F.bool_and(signal).alias("every"))
     kinds = durable(kinds.select(*keys, (F.col("any") & ~F.col("every")).alias("mixed"), F.when(F.col("any"), cosine_floor).otherwise(dice_floor).alias("floor")))
-    ready = rows.join(kinds.select(*keys, "mixed"), keys).select(*keys, F.col("position").cast("long").alias("position"), "summary", "vector", "mixed")
-    active = durable(ready.mapInPandas(_singletons(), _STATE))
-    places = rows.select(*keys, "id", F.col("position").cast("long").alias("root"), F.lit(0).cast("long").alias("member"))
+    ready = rows.join(kinds.select(*keys, "mixed"), keys).select(
+        *keys, "id", F.col("position").cast("long").alias("position"), "summary", "mixed", F.when(signal, F.col("vector")).alias("vector"))
+    placed = ranking.ordinal(_with_looks(ready), [*keys, "looks"], "position", "member", first="root")
+    copies = placed.groupBy(*keys, "looks").agg(F.count("*").alias("n"), F.min_by(F.struct("root", "summary", "vector", "mixed"), "position").alias("b"))
+    active = durable(copies.select(*keys, "n", "b.*").mapInPandas(_singletons(), _STATE))
+    places = durable(placed.select(*keys, "id", "root", (F.col("member") - 1).alias("member")))
     look, best = active, None
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
     while not look.isEmpty():
