@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemospark import fixed_values as V
 from mnemospark.functions import text as T, weights as W
-from mnemospark.operators.ranking import apply_clamped, clamped_sum, nearest_neighbours, pinned, top_per_key
+from mnemospark.operators.ranking import apply_clamped, clamped_sum, nearest_neighbours, overlap_topk, pinned, top_per_key
 from mnemospark.operators.retrieve import pitfall_priority
 
 
@@ -56,14 +56,10 @@ def recall(questions: DataFrame, pitfalls: DataFrame, k: int = V.PITFALL_TOP, po
     active = pitfalls.filter(F.col("obsoleted_at").isNull() & (F.col("weight") >= 0.5))
     heavy = active if pool is None else top_per_key(active, ["project_id"], [F.desc("weight"), F.asc("id")], pool, "_pool")
     usable = heavy.filter(W.injectable(F.col("status"), F.col("occurrence_count"), F.col("weight")))
-    usable = pinned(usable, _pb=T.char_bigrams(F.col("signature"), True)).select("id", "project_id", "entity_id", "_pb")
-    q = pinned(questions, _qb=T.char_bigrams(F.col("query"), True), _refs=T.entity_references(F.col("query"))).select(
-        "question_id", "project_id", "_qb", "_refs")
-    named = F.size(F.filter("_refs", lambda r: F.contains(F.lower(F.col("entity_id")), r)))
-    scored = pinned(q.join(usable, "project_id"),
-                    score=F.round(T.dice(F.col("_qb"), F.col("_pb")) + 0.3 * named, 9)).filter("score > 0")
-    best = top_per_key(scored, ["question_id"], [F.desc("score"), F.asc("id")], k)
-    return best.select("question_id", "id", "score", "rank")
+    usable = pinned(usable, grams=T.char_bigrams(F.col("signature"), True)).withColumn("name", F.col("entity_id"))
+    q = pinned(questions, grams=T.char_bigrams(F.col("query"), True), refs=T.entity_references(F.col("query")))
+    best = overlap_topk(q.withColumn("id", F.col("question_id")), usable, k, per_name=0.3)
+    return best.select(F.col("left_id").alias("question_id"), F.col("right_id").alias("id"), "score", "rank")
 
 
 def workbench(pitfalls: DataFrame, k: int = 20, status: str | None = None, **conditions) -> DataFrame:

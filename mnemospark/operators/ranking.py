@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from mnemospark.functions import text as T
+
 CHUNK = 4096
 
 
@@ -171,6 +173,71 @@ def nearest_neighbours(
     return top_per_key(found, ["left_id"], order, k).drop("right_weight")
 
 
+def _overlap_block(k: int, per_name: float):
+    """Best k right rows by bigram overlap for each left row of one block pair."""
+    shared = T.bigram_kernel()[1]
+
+    def named(refs: list[list[str]], names: pd.Series) -> np.ndarray:
+        """How many references of a left row occur in the name of a right row."""
+        owner = np.repeat(np.arange(len(refs)), [len(r) for r in refs])
+        at, words = pd.factorize(np.array([w for r in refs for w in r], dtype=object))
+        of, known = pd.factorize(names.fillna("").str.lower())
+        asked = np.zeros((len(refs), len(words)))
+        np.add.at(asked, (owner, at), 1)
+        inside = np.array([[w in name for name in known] for w in words], dtype=float).reshape(len(words), len(known))
+        return (asked @ inside)[:, of]
+
+    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"left_id": [], "right_id": [], "score": [], "at": []})
+        right = right.sort_values("r_id", ignore_index=True)
+        a, b = ([np.asarray(g, np.int64) for g in f] for f in (left["l_grams"], right["r_grams"]))
+        total = np.array([len(g) for g in a])[:, None] + np.array([len(g) for g in b])[None, :]
+        score = 2.0 * shared(a, b) / np.maximum(total, 1)
+        if per_name:
+            score = score + per_name * named([list(r) for r in left["l_refs"]], right["r_name"])
+        # Half up, as SQL rounds.
+        score = np.floor(score * 1e9 + 0.5) / 1e9
+        when, after, before = (f.to_numpy(np.float64) for f in (right["r_at"], left["l_after"], left["l_before"]))
+        fits = (score > 0) & (np.isnan(after)[:, None] | (when[None, :] >= after[:, None])) & (np.isnan(before)[:, None] | (when[None, :] <= before[:, None]))
+        score[~fits] = -np.inf
+        if score.shape[1] > k:
+            fits &= score >= -np.partition(-score, k - 1, axis=1)[:, k - 1][:, None]
+        rows, cols = np.nonzero(fits)
+        order = np.lexsort((cols, -score[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        best = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+        rows, cols = rows[best], cols[best]
+        return pd.DataFrame({"left_id": left["l_id"].to_numpy()[rows], "right_id": right["r_id"].to_numpy()[cols], "score": score[rows, cols], "at": when[cols]})
+
+    return match
+
+
+def overlap_topk(left: DataFrame, right: DataFrame, k: int, on: Sequence[str] = ("project_id",), per_name: float = 0.0,
+                 block_rows: int = CHUNK) -> DataFrame:
+    """left_id, right_id, score, rank, at: best k of ``right`` by Dice overlap of bigram sets, block by block.
+
+    Both sides have id, ``on`` and grams (a null one takes no part). ``left`` may have refs, each of which adds ``per_name`` where it occurs in
+    the right row's name, and after and before, inclusive bounds of the right row's at (timestamps; null: open). All conditions
+    hold before the k are taken. A block sends on k rows for each left row, so a key that holds a third of all rows costs its
+    products, spread over tasks, and no pair is stored. Scores are positive, with 9 decimals; ties go to the lesser id.
+    """
+
+    def side(df: DataFrame, times: Sequence[str], texts: dict[str, str]) -> DataFrame:
+        def given(name: str, kind: str) -> Column:
+            return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+        cols = [F.unix_micros(given(t, "timestamp")).cast("double").alias(t) for t in times]
+        return df.filter(F.col("grams").isNotNull()).select("id", *on, "grams", *cols, *[given(t, kind).alias(t) for t, kind in texts.items()])
+
+    lefts = side(left, ["after", "before"], {"refs": "array<string>"}).withColumn("refs", F.coalesce("refs", F.array().cast("array<string>")))
+    l_blocks, r_blocks = block_pairs(lefts, side(right, ["at"], {"name": "string"}), on, "id", "id", block_rows, block_rows)
+    l_type, r_type = (df.schema["id"].dataType.simpleString() for df in (left, right))
+    found = l_blocks.cogroup(r_blocks).applyInPandas(_overlap_block(k, per_name), f"left_id {l_type}, right_id {r_type}, score double, at double")
+    best = top_per_key(found, ["left_id"], [F.desc("score"), F.asc("right_id")], k)
+    return best.withColumn("at", F.when(~F.isnan("at"), F.timestamp_micros(F.col("at").cast("bigint"))))
+
+
 def in_order(df: DataFrame, keys: Sequence[str], seq: str, chunk: int = CHUNK) -> DataFrame:
     """Rows with ``_at``, their place in the order of (keys, seq), and ``_chunk``, which holds at most ``chunk`` neighbours.
 

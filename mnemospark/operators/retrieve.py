@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mnemospark import fixed_values as V
 from mnemospark.functions import text as T, vectors as X, weights as W
-from mnemospark.operators.ranking import block_pairs, durable, nearest_neighbours, pinned, top_per_key
+from mnemospark.operators.ranking import block_pairs, durable, nearest_neighbours, overlap_topk, pinned, top_per_key
 
 
 def structured_filter(
@@ -95,12 +95,31 @@ def gated_pairs(contexts: DataFrame, memories: DataFrame, cooling: float = V.COO
     return ctx.join(mem, "project_id").withColumn("boosted", F.col("weight") * boost)
 
 
-def gate_and_rank(contexts: DataFrame, memories: DataFrame, cap: int | None = None, **options) -> DataFrame:
-    """All gated pairs, or the best ``cap`` of each context with their rank."""
+def gate_and_rank(contexts: DataFrame, memories: DataFrame, cap: int | None = None, cooling: float = V.COOLING_THRESHOLD) -> DataFrame:
+    """All gated pairs, or the best ``cap`` of each context with their rank.
+
+    With a cap no pair beyond twice the cap is made: the boost depends on whether the task is known and the languages agree, so rows are
+    ranked once per (project, task known) and once per (project, task known, language). Who is ahead of a row there is ahead of it in
+    every context that gives it that boost, since agreeing languages only raise a row; so the two heads hold the best ``cap``.
+    """
     if cap is None:
-        return gated_pairs(contexts, memories, **options)
-    order = [F.desc("boosted"), F.asc("id")]
-    return top_per_key(gated_pairs(contexts, memories, **options), ["question_id"], order, cap)
+        return gated_pairs(contexts, memories, cooling)
+    alive = memories.filter(F.col("obsoleted_at").isNull() & (F.col("weight") >= cooling)).select("id", "project_id", "language", "weight")
+    alive = alive.withColumn("_known", F.explode(F.array(F.lit(False), F.lit(True))))
+    ctx = contexts.select("question_id", "project_id", F.col("language").alias("context_language"), F.col("task_type").alias("context_task"),
+                          F.coalesce(F.col("task_type").isin(V.TASK_TYPES), F.lit(False)).alias("_known"))
+    task = F.when(F.col("_known"), F.lit(V.TASK_TYPES[0]))
+
+    def heads(keys: list[str], spoken: Column) -> DataFrame:
+        boosted = F.col("weight") * W.gating_boost(task, spoken, F.col("language"))
+        return top_per_key(alive.withColumn("_boosted", boosted), keys, [F.desc("_boosted"), F.asc("id")], cap).drop("_boosted", "rank")
+
+    anyone = ctx.join(heads(["project_id", "_known"], F.lit("")), ["project_id", "_known"])
+    agreeing = heads(["project_id", "_known", "language"], F.col("language")).withColumn("context_language", F.col("language"))
+    agreed = ctx.filter("context_language <> ''").join(agreeing, ["project_id", "_known", "context_language"])
+    pairs = anyone.unionByName(agreed).drop("_known").dropDuplicates(["question_id", "id"])
+    boost = W.gating_boost(F.col("context_task"), F.col("context_language"), F.col("language"))
+    return top_per_key(pairs.withColumn("boosted", F.col("weight") * boost), ["question_id"], [F.desc("boosted"), F.asc("id")], cap)
 
 
 def two_stage(questions: DataFrame, memories: DataFrame, k: int, cap: int | None = None) -> DataFrame:
@@ -351,16 +370,11 @@ def lexical_topk(questions: DataFrame, memories: DataFrame, k: int = V.EPISODE_T
     active = memories.filter(F.col("obsoleted_at").isNull())
     if pool is not None:
         active = top_per_key(active, ["project_id"], [F.desc("created_at"), F.asc("id")], pool, "_recent")
-    m = pinned(active, _mb=T.char_bigrams(F.col("summary"), True)).select("id", "project_id", "occurred_at", "_mb")
-    windows = [c for c in ("occurred_after", "occurred_before") if c in questions.columns]
-    q = pinned(questions, _qb=T.char_bigrams(F.col("query"), True)).select("question_id", "project_id", "_qb", *windows)
-    pairs = q.join(m, "project_id")
-    if windows:
-        pairs = pairs.filter((F.col("occurred_after").isNull() | (F.col("occurred_at") >= F.col("occurred_after")))
-                             & (F.col("occurred_before").isNull() | (F.col("occurred_at") <= F.col("occurred_before"))))
-    scored = pinned(pairs, score=F.round(T.dice(F.col("_qb"), F.col("_mb")), 9)).filter("score > 0")
-    best = top_per_key(scored, ["question_id"], [F.desc("score"), F.asc("id")], k)
-    return best.select("question_id", "id", "score", "rank", "occurred_at")
+    m = pinned(active, grams=T.char_bigrams(F.col("summary"), True)).withColumn("at", F.col("occurred_at"))
+    q = pinned(questions, grams=T.char_bigrams(F.col("query"), True)).withColumn("id", F.col("question_id"))
+    q = q.withColumns({n: F.col(f"occurred_{n}") for n in ("after", "before") if f"occurred_{n}" in questions.columns})
+    best = overlap_topk(q, m, k)
+    return best.select(F.col("left_id").alias("question_id"), F.col("right_id").alias("id"), "score", "rank", F.col("at").alias("occurred_at"))
 
 
 def token_matches(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
@@ -378,6 +392,23 @@ def token_matches(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ()) -
     return shared.filter(T.enough_tokens(F.col("_m"), F.col("_ls"), F.col("_rs"))).select("left_id", "right_id")
 
 
+def heaviest(questions: DataFrame, memories: DataFrame, k: int, hard_language: bool = False) -> DataFrame:
+    """question_id, id, weight: the k heaviest rows that pass each question's hard gate; with ``hard_language`` of its language, if it names one.
+
+    What passes depends on the project and the language alone, so rows are ranked once for each of these and only k meet a question.
+    """
+    alive = memories.filter(F.col("obsoleted_at").isNull() & (F.col("weight") >= V.COOLING_THRESHOLD)).select("id", "project_id", "language", "weight")
+    asked = questions.select("question_id", "project_id", "language")
+
+    def heads(rows: DataFrame, keys: list[str]) -> DataFrame:
+        first = top_per_key(alive, keys, [F.desc("weight"), F.asc("id")], k).select(*keys, "id", "weight")
+        return rows.join(first, keys).select("question_id", "id", "weight")
+
+    if not hard_language:
+        return heads(asked, ["project_id"])
+    return heads(asked.filter("language = ''"), ["project_id"]).unionByName(heads(asked.filter("language <> ''"), ["project_id", "language"]))
+
+
 def mixed_search(questions: DataFrame, memories: DataFrame, rules: DataFrame, pitfalls: DataFrame, k: int,
                  hard_language: bool = False) -> DataFrame:
     """Gated episodes (relevance = weight), overlapping rules (0.5), entity pitfalls (0.6).
@@ -389,10 +420,7 @@ def mixed_search(questions: DataFrame, memories: DataFrame, rules: DataFrame, pi
         order = [F.desc("relevance"), F.asc("kind"), F.asc("id")]
         return top_per_key(df, ["question_id"], order, k)
 
-    gated = gate_and_rank(questions, memories)
-    if hard_language:
-        gated = gated.filter((F.col("context_language") == "") | (F.col("context_language") == F.col("language")))
-    episodes = gated.select(
+    episodes = heaviest(questions, memories, k, hard_language).select(
         "question_id", F.lit("episodic").alias("kind"), "id", F.col("weight").alias("relevance"))
     semantic = token_matches(
         questions.select(F.col("question_id").alias("id"), "project_id", F.col("query").alias("text")),

@@ -127,6 +127,13 @@ def hard_soft_gating(v):
     return R.gate_and_rank(v.q(), v.vec()).select("question_id", "id", r6("boosted").alias("boosted"))
 
 
+@case("gate_capped", O.with_views("q vec", _GATED) + """
+SELECT question_id, id, round(boosted, 6) AS boosted, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY boosted DESC, id) AS rank
+ FROM gated) WHERE rank <= 20""")
+def gate_capped(v):
+    return R.gate_and_rank(v.q(), v.vec(), 20).select("question_id", "id", r6("boosted").alias("boosted"), big("rank").alias("rank"))
+
+
 @case("gate_stats", O.with_views("q vec") + """
 SELECT question_id, count(m.id) AS total_candidates, CAST(coalesce(sum(CASE WHEN m.obsoleted_at IS NULL AND m.weight >= 0.01 THEN 1 ELSE 0 END), 0) AS BIGINT) AS after_filter
 FROM v_q q LEFT JOIN v_vec m ON q.project_id = m.project_id GROUP BY 1""")

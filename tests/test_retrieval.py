@@ -5,8 +5,9 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from mnemospark.functions import text as T
 from mnemospark.operators import ranking, retrieve
 
 MEMORY = ("id string, project_id string, summary string, context_vector array<float>, weight double, surprise_score double, "
@@ -163,6 +164,61 @@ def test_folds_of_nothing(spark):
     assert ranking.ordinal(ranking.carry_forward(df, ["k"], "seq", F.col("v"), "prev"), ["k"], "seq", "n").count() == 0
 
 
+def bigrams(s):
+    return {s[i:i + 2] for i in range(len(s) - 1)} or ({s} if s else set())
+
+
+def test_overlap_topk_equals_all_pairs(spark):
+    """Nine tenths of the rows in one project, small blocks, windows, names, ties, null and empty texts."""
+    rng = random.Random(4)
+    words = ["pool", "cache", "socket", "retry", "lease", "shard"]
+    text = lambda: " ".join(rng.choices(words, k=rng.randrange(1, 4)))
+    right = [(f"m{i:03d}", "hot" if i % 10 else "cold", None if i == 3 else "" if i == 4 else text(), rng.choice([None, "Pool", "lease-1", "x"]),
+              None if i % 11 == 0 else T0 + timedelta(days=i % 7)) for i in range(150)]
+    left = [(f"q{i}", "hot" if i % 3 else "cold", None if i == 5 else "" if i == 6 else text(), rng.choice([None, [], ["pool"], ["pool", "pool", "lease"]]),
+             T0 + timedelta(days=2) if i % 2 else None, T0 + timedelta(days=4) if i % 4 == 0 else None) for i in range(20)]
+    m = spark.createDataFrame(right, "id string, project_id string, s string, name string, at timestamp").withColumn("grams", T.char_bigrams(F.col("s")))
+    q = spark.createDataFrame(left, "id string, project_id string, s string, refs array<string>, after timestamp, before timestamp").withColumn(
+        "grams", T.char_bigrams(F.col("s")))
+    for per_name in (0.0, 0.3):
+        want = {}
+        for ql, p, s, refs, after, before in left:
+            scored = []
+            for mr, rp, t, name, at in right:
+                if p != rp or s is None or t is None or (after and not (at and at >= after)) or (before and not (at and at <= before)):
+                    continue
+                a, b = bigrams(s), bigrams(t)
+                score = (2 * len(a & b) / (len(a) + len(b)) if a and b else 0.0) + per_name * sum(r in (name or "").lower() for r in refs or [])
+                if score > 0:
+                    scored.append((-round(score, 9), mr, at))
+            want |= {(ql, n): (mr, -x, at) for n, (x, mr, at) in enumerate(sorted(scored, key=lambda r: r[:2])[:6], 1)}
+        got = {(r.left_id, r["rank"]): (r.right_id, r.score, r["at"]) for r in ranking.overlap_topk(q, m, 6, per_name=per_name, block_rows=8).collect()}
+        assert got.keys() == want.keys() and len(got) > 80
+        assert all(got[key][0] == want[key][0] and got[key][1] == pytest.approx(want[key][1], abs=2e-9) and got[key][2] == want[key][2] for key in want)
+    assert ranking.overlap_topk(q, m.limit(0), 6).count() == ranking.overlap_topk(q.limit(0), m, 6).count() == 0
+
+
+def test_capped_gate_and_heads_equal_all_pairs(spark):
+    """The best of each question out of all gated pairs, and out of the ranked heads; weights tie often."""
+    rng = random.Random(9)
+    rows = [memory(f"m{i:03d}", "x", None, rng.choice([0.005, 0.3, 0.33, 0.36, 0.5, 0.55, 0.6])) for i in range(120)]
+    m = spark.createDataFrame(rows, MEMORY).withColumn("language", F.element_at(F.array(*[F.lit(x) for x in ("go", "py", "", None)]), F.abs(F.xxhash64("id") % 4).cast("int") + 1))
+    asked = [(f"q{t}{l}", "p", l, t) for t in ("debug", "other", None) for l in ("go", "py", "", None, "zz")]
+    q = spark.createDataFrame(asked, "question_id string, project_id string, language string, task_type string")
+    order = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("boosted"), "id"))
+    full = retrieve.gated_pairs(q, m)
+    for cap in (1, 7, 500):
+        want = full.withColumn("rank", order).filter(F.col("rank") <= cap)
+        cols = ["question_id", "id", "boosted", "rank"]
+        assert sorted(retrieve.gate_and_rank(q, m, cap).select(cols).collect()) == sorted(want.select(cols).collect())
+    heavy = Window.partitionBy("question_id").orderBy(F.desc("weight"), "id")
+    fits = (F.col("context_language") == "") | (F.col("context_language") == F.col("language"))
+    for hard in (False, True):
+        pairs = full.filter(fits) if hard else full
+        want = pairs.withColumn("r", F.row_number().over(heavy)).filter("r <= 9").select("question_id", "id", "weight")
+        assert sorted(retrieve.heaviest(q, m, 9, hard).collect()) == sorted(want.collect()) and want.count() > 50
+
+
 def test_percentiles(spark):
     rng = random.Random(2)
     data = {"a": [rng.random() for _ in range(333)], "b": [7.0] * 50, "c": [1.0]}
