@@ -291,6 +291,22 @@ def ordinal(df: DataFrame, keys: Sequence[str], seq: str, name: str, chunk: int
         name, F.col("_offset") + F.col("_here")).drop("_at", "_chunk", "_here", "_offset")
 
 
+def ordered_parts(rows: DataFrame, keys: Sequence[str], order: str, text: str, sep: str = "\n", items: int = CHUNK) -> DataFrame:
+    """keys, part (from 0), items, content, offset: texts of each key joined by ``sep`` in ``order``, in parts of at most ``items`` texts.
+
+    ``order`` is unique within its key. ``sep`` between the parts gives the whole text, in which a part starts at character ``offset``; a null text counts as
+    empty. No row holds more than a part, however long the text of a key is.
+    """
+    slim = rows.select(*keys, F.col(order).alias("_order"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    placed = ordinal(slim, keys, "_order", "_n").withColumn("part", F.expr(f"(_n - 1) div {items}"))
+    texts = F.array_sort(F.collect_list(F.struct("_n", "_text")))
+    parts = placed.groupBy(*keys, "part").agg(F.count("*").alias("items"), F.array_join(F.transform(texts, lambda x: x["_text"]), sep).alias("content"))
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.select(*keys, "part", (F.length("content") + len(sep)).alias("_size")).withColumn(
+        "offset", F.coalesce(F.sum("_size").over(before), F.lit(0)).cast("bigint")).drop("_size")
+    return parts.join(sizes, [*keys, "part"])
+
+
 def clamped_sum(events: DataFrame, key: str, seq: str, delta: str, low: float = 0.0, high: float = 1.0,
                 chunk: int = CHUNK) -> DataFrame:
     """Compose ``x -> clamp(x + delta)`` over each key's events in ``seq`` order.

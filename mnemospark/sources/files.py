@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mnemospark import fixed_values as V
 from mnemospark.functions import text as T
+from mnemospark.operators.ranking import CHUNK, ordered_parts
 
 _BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -35,6 +36,20 @@ def stream_files(spark: SparkSession, path: str, glob: str | None = None) -> Dat
     return _as_text(reader.load(path))
 
 
+def read_lines(spark: SparkSession, *paths: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
+    """path, modified_at, at, line: the lines of files of any size, read by as many tasks as a file has splits.
+
+    ``at`` (start of the split, number in the task) orders the lines of a file.
+    """
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("lineSep", "\n")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    at = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("number"))
+    return reader.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified_at"), at.alias("at"),
+        F.regexp_replace("value", "\\r$", "").alias("line"))
+
+
 def file_sizes(spark: SparkSession, *paths: str) -> DataFrame:
     """path, size_bytes; contents are not read."""
     return spark.read.format("binaryFile").load(list(paths)).select("path", F.col("length").alias("size_bytes"))
@@ -111,6 +126,32 @@ def markdown_memories(files: DataFrame, provider: str, project: Column, skip: tu
 _BLOCKS = "array<struct<type:string,text:string>>"
 
 
+def _said(line: Column, nested: bool) -> Column:
+    """struct(role, text) of a transcript line."""
+    role = F.get_json_object(line, "$.role")
+    content = F.get_json_object(line, "$.message.content" if nested else "$.content")
+    blocks = F.from_json(content, _BLOCKS)
+    wanted = (lambda b: (b["text"] != "") & (b["type"] == "text")) if nested else (lambda b: b["text"] != "")
+    joined = F.array_join(F.transform(F.filter(blocks, wanted), lambda b: b["text"]), "\n")
+    text = F.when(content.startswith("["), joined)
+    return F.struct(role.alias("role"), (text if nested else F.coalesce(text, content)).alias("text"))
+
+
+def transcript_parts(lines: DataFrame, nested: bool = False, items: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(parts, transcripts) of transcripts of any length, from :func:`read_lines`.
+
+    Parts: path, part, items, content, offset; joined by line breaks they are the content that :func:`transcripts` gives.
+    Transcripts: path, modified_at, user_msg_count, asst_msg_count. A file may be longer than a task can hold: lines are
+    parsed where they are read and numbered over the splits. Files without a text have no row.
+    """
+    parsed = lines.filter(F.trim("line").startswith("{")).withColumn("_s", _said(F.col("line"), nested))
+    said = parsed.filter(F.col("_s.role").isin("user", "assistant") & (F.col("_s.text") != "")).select(
+        "path", "modified_at", F.struct((F.col("_s.role") == "assistant").alias("later"), "at").alias("place"), F.col("_s.text").alias("text"))
+    later = F.col("place.later").cast("bigint")
+    counts = said.groupBy("path").agg(F.max("modified_at").alias("modified_at"), F.sum(1 - later).alias("user_msg_count"), F.sum(later).alias("asst_msg_count"))
+    return ordered_parts(said, ["path"], "place", "text", items=items), counts
+
+
 def transcripts(files: DataFrame, provider: str, project: Column, nested: bool = False,
                 raw_project: Column | None = None) -> DataFrame:
     """One record per JSONL transcript: user texts, then assistant texts, in line order.
@@ -120,13 +161,7 @@ def transcripts(files: DataFrame, provider: str, project: Column, nested: bool =
     Malformed lines are skipped.
     """
     def parse(line: Column) -> Column:
-        role = F.get_json_object(line, "$.role")
-        content = F.get_json_object(line, "$.message.content" if nested else "$.content")
-        blocks = F.from_json(content, _BLOCKS)
-        wanted = (lambda b: (b["text"] != "") & (b["type"] == "text")) if nested else (lambda b: b["text"] != "")
-        joined = F.array_join(F.transform(F.filter(blocks, wanted), lambda b: b["text"]), "\n")
-        text = F.when(content.startswith("["), joined)
-        return F.struct(role.alias("role"), (text if nested else F.coalesce(text, content)).alias("text"))
+        return _said(line, nested)
 
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x).startswith("{"))
     parsed = files.filter(F.lower("path").endswith(".jsonl")).withColumn("_l", F.transform(lines, parse))

@@ -150,6 +150,30 @@ def pitfall_merge(v):
                          F.col("was_user_corrected").cast("int").alias("corrected"))
 
 
+_PARTS = """SELECT project_id, task_type, part, items, md5(content) AS digest,
+ CAST(coalesce(sum(length(content) + 1) OVER (PARTITION BY project_id, task_type ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+FROM (SELECT project_id, task_type, (place - 1) // 50 AS part, count(*) AS items, string_agg(line, chr(10) ORDER BY place) AS content
+ FROM (SELECT *, row_number() OVER (PARTITION BY project_id, task_type ORDER BY section, n) AS place FROM lines) GROUP BY 1, 2, 3)"""
+_NUMBERED = ("numbered", """
+SELECT * FROM (SELECT project_id, task_type, summary, row_number() OVER (PARTITION BY project_id, task_type ORDER BY scan_rank, id) - 1 AS n,
+ count(*) OVER (PARTITION BY project_id, task_type) AS c FROM scan) WHERE c >= 3""")
+_RULE_LINES = """SELECT project_id, task_type, 0 AS section, n, '{lead}Pattern in ' || project_id || '/' || task_type || ':' AS line FROM numbered WHERE n = 0
+UNION ALL SELECT project_id, task_type, 1, n, '- ' || summary FROM numbered"""
+
+
+@case("rule_parts", O.with_views("epi", _SCAN, _NUMBERED, ("lines", _RULE_LINES.format(lead=""))) + _PARTS)
+def rule_parts(v):
+    return distil.rule_parts(_scan(v), items=50).select("project_id", "task_type", "part", "items", "offset", F.md5("content").alias("digest"))
+
+
+@case("validation_parts", O.with_views("epi", _SCAN, _NUMBERED, ("lines", _RULE_LINES.format(lead="Candidate rule: ") + """
+UNION ALL SELECT project_id, task_type, 2, n, chr(10) || 'Notes it should describe:' FROM numbered WHERE n = 0
+UNION ALL SELECT project_id, task_type, 3, n, '[' || n || '] ' || summary FROM numbered
+UNION ALL SELECT project_id, task_type, 4, n, chr(10) || 'Answer with one number from 0 (not at all) to 1 (fully).' FROM numbered WHERE n = 0""")) + _PARTS)
+def validation_parts(v):
+    return distil.validation_parts(_scan(v), items=50).select("project_id", "task_type", "part", "items", "offset", F.md5("content").alias("digest"))
+
+
 @case("rule_prompts", O.with_views("epi", _SCAN) + """
 SELECT project_id, task_type, md5('Notes of project ' || project_id || ', task ' || task_type || ':' || chr(10) || string_agg('[' || n || '] ' || summary || chr(10), '' ORDER BY n)) AS digest
 FROM (SELECT *, row_number() OVER (PARTITION BY project_id, task_type ORDER BY scan_rank) - 1 AS n FROM scan) GROUP BY 1, 2 HAVING count(*) >= 3""")

@@ -1,10 +1,12 @@
 """Sources: messages, files, mirrored writes, ingest."""
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from mnemospark.operators import gate
+from mnemospark.operators.ranking import shared_folder
 from mnemospark.sources import files as S, messages
 from mnemospark.workload import oracle_views as O
 from mnemospark.workload.registry import big, case
@@ -62,6 +64,23 @@ def nested_transcript_source(v):
     return raw.select("source_uri", "project_id", "content_hash", F.col("metadata")["user_msg_count"].alias("users"), F.col("metadata")["asst_msg_count"].alias("assistants"))
 
 
+@case("transcript_parts", """
+SELECT session, part, items, md5(content) AS digest,
+ CAST(coalesce(sum(length(content) + 1) OVER (PARTITION BY session ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+FROM (SELECT session, (n - 1) // 40 AS part, count(*) AS items, string_agg(text, chr(10) ORDER BY n) AS content
+ FROM (SELECT conv_id % 8 AS session, text, row_number() OVER (PARTITION BY conv_id % 8 ORDER BY role <> 'user', conv_id, turn) AS n
+  FROM conversations WHERE role IN ('user', 'assistant') AND text <> '') GROUP BY 1, 2)""")
+def transcript_parts(v):
+    """All conversations as eight transcripts, written as JSON lines in the shared folder and read split by split."""
+    spark = v.table("conversations").sparkSession
+    folder = f"{shared_folder(spark)}/transcripts-{uuid.uuid4().hex}"
+    rows = v.table("conversations").withColumn("session", F.col("conv_id") % 8).repartition("session").sortWithinPartitions("session", "conv_id", "turn")
+    rows.select("session", F.to_json(F.struct("role", F.col("text").alias("content"))).alias("value")).write.partitionBy("session").text(folder)
+    parts, _ = S.transcript_parts(S.read_lines(spark, folder), items=40)
+    session = F.regexp_extract("path", "session=([0-9]+)", 1).cast("bigint")
+    return parts.select(session.alias("session"), "part", "items", "offset", F.md5("content").alias("digest"))
+
+
 @case("entry_source", f"""
 SELECT 'entries://notes#' || substr(sha256(t), 1, 8) AS source_uri, 'c' || conv_id AS project_id, CAST(n AS VARCHAR) AS entry_index FROM (
  SELECT conv_id, {O.trim_space('text')} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations) WHERE t <> ''""")

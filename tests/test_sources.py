@@ -67,3 +67,28 @@ def test_chat_time(spark):
     got = spark.createDataFrame([("2024-01-02T03:04:05Z",), ("2024-01-02 03:04:05",), ("soon",), ("",), ("2024-99-99 00:00:00",)], "t string").select(
         messages.date_prefixed(F.lit("x"), F.col("t")).alias("r")).collect()
     assert [r.r for r in got] == ["[2024-01-02] x", "[2024-01-02] x", "x", "x", "x"]
+
+
+def test_transcripts_beyond_one_split(spark, tmp_path):
+    """Splits of 700 bytes: several tasks read one file, and its parts make the content of the whole-file way."""
+    lines = [json.dumps({"role": ("user", "assistant", "system")[i % 3], "content": f"say {i} \u00e9 " + "x" * (i % 40) if i % 7 else [{"type": "text", "text": f"block {i}"}]},
+                        ensure_ascii=False) for i in range(200)]
+    root = lay_out(tmp_path, {"p/a.jsonl": "{broken\n\n" + "\r\n".join(lines), "p/b.jsonl": lines[1], "p/empty.jsonl": ""})
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        read = S.read_lines(spark, root, glob="*.jsonl")
+        assert read.filter("path like '%a.jsonl'").select("at.split").distinct().count() > 10
+        parts, counts = S.transcript_parts(read, items=16)
+        got = {}
+        for r in sorted(parts.collect(), key=lambda r: (r.path, r.part)):
+            text = got.get(r.path)
+            assert r["items"] <= 16 and r.offset == (0 if text is None else len(text) + 1)
+            got[r.path] = r.content if text is None else text + "\n" + r.content
+        totals = {r.path: (str(r.user_msg_count), str(r.asst_msg_count)) for r in counts.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    whole = S.transcripts(S.read_files(spark, root), "flat", F.lit("p")).collect()
+    tail = lambda path: path.rsplit("/", 1)[1]
+    assert {tail(k): t for k, t in got.items()} == {tail(r.source_uri): r.content for r in whole} and len(whole) == 2
+    assert {tail(k): t for k, t in totals.items()} == {tail(r.source_uri): (r.metadata["user_msg_count"], r.metadata["asst_msg_count"]) for r in whole}
