@@ -4,23 +4,31 @@ The cross-cycle condition looks at the last 20 summaries that passed in the
 same project, so each decision depends on earlier ones. The fold keeps only that
 ring as state. Events are range-partitioned by (project, seq), which splits a
 hot project over many chunks; each chunk is first folded from an empty ring and
-then again whenever the ring handed over by the chunk before it turns out to
-differ. Once no hand-over changes, the result equals one sequential pass.
+tells what it passed itself. One sweep over these lists, 20 summaries a chunk at
+most, gives the ring every chunk starts from, however few pass in the chunks before
+it; chunks whose ring turns out to differ are folded again. Once no ring changes, the
+result equals one sequential pass: the first chunk is right from the start, and a
+chunk is right as soon as all before it are. A round is repeated only for what a ring
+made pass or fail that then changes later rings.
 """
 
 from __future__ import annotations
 
+import itertools
+import logging
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemospark import fixed_values as V
 from mnemospark.functions import text as T
 from mnemospark.operators.ranking import durable
 
+LOG = logging.getLogger(__name__)
+
 EVENT_COLUMNS = [
     "event_id", "project_id", "seq", "summary", "user_confirmed", "is_correction",
     "caused_behavior_change", "subsequent_reference_count",
@@ -89,36 +97,60 @@ class Ring:
         return [t for t, _ in self.items], [[] if v is None else v.tolist() for _, v in self.items]
 
 
-_FOLDED = (
-    "project_id string, chunk int, event_id string, reason string, "
-    "ring_tokens array<array<string>>, ring_vectors array<array<double>>"
-)
+_PASSED = "tokens array<array<string>>, vectors array<array<double>>"
+_FOLDED = f"project_id string, chunk int, event_id string, reason string, {_PASSED}, cut boolean"
+_RINGS = f"project_id string, chunk int, {_PASSED}"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def _fold(min_cycles: int, cosine: float):
+    """Reason of each event and, per chunk, what it passed since its last reset (``cut``: it had one)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, ring = None, Ring()
+        current, ring, own, cut = None, Ring(), Ring(), False
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
                 if (row.project_id, row.chunk) != current:
                     if current is not None:
-                        out.append((*current, None, None, *ring.rows()))
-                    current, ring = (row.project_id, row.chunk), Ring()
+                        out.append((*current, None, None, *own.rows(), cut))
+                    current, ring, own, cut = (row.project_id, row.chunk), Ring(), Ring(), False
                 if row.kind == 0:
-                    ring = Ring(Ring.item(t, v) for t, v in zip(row.ring_tokens, row.ring_vectors))
+                    # Vectors in a ring have unit length already.
+                    ring = Ring((list(t), np.asarray(v, np.float64) if len(v) else None) for t, v in zip(row.ring_tokens, row.ring_vectors))
                     continue
                 if row.reset:
-                    ring = Ring()
+                    ring, own, cut = Ring(), Ring(), True
                 item = Ring.item(row.tokens, row.vector)
-                out.append((*current, row.event_id, ring.decide(row.alone, item, min_cycles, cosine), None, None))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _FOLDED.split(", ")])
+                reason = ring.decide(row.alone, item, min_cycles, cosine)
+                if reason != "below_threshold":
+                    own.items.append(item)
+                out.append((*current, row.event_id, reason, None, None, None))
+            yield pd.DataFrame(out, columns=_names(_FOLDED))
         if current is not None:
-            yield pd.DataFrame([(*current, None, None, *ring.rows())], columns=[c.split()[0] for c in _FOLDED.split(", ")])
+            yield pd.DataFrame([(*current, None, None, *own.rows(), cut)], columns=_names(_FOLDED))
 
     return run
 
 
+def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ring that each chunk of a project starts from; rows in order of (project, chunk)."""
+    current, ring = None, deque(maxlen=V.WORKING_MEMORY_SIZE)
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            if row.project_id != current:
+                current, ring = row.project_id, deque(maxlen=V.WORKING_MEMORY_SIZE)
+            out.append((row.project_id, row.chunk, [t for t, _ in ring], [v for _, v in ring]))
+            if row.cut:
+                ring.clear()
+            ring.extend(zip(([*t] for t in row.tokens), ([*v] for v in row.vectors)))
+        yield pd.DataFrame(out, columns=_names(_RINGS))
+
+
 def gate_decisions(events: DataFrame, min_cycles: int = 2, cosine: float = V.SAME_INFORMATION_COSINE,
                    chunks: int | None = None) -> DataFrame:
     """event_id, gate_reason for every event; equals the per-project sequential fold.
@@ -136,45 +168,33 @@ def gate_decisions(events: DataFrame, min_cycles: int = 2, cosine: float = V.SAM
     )
     nothing = {"ring_tokens": "array<array<string>>", "ring_vectors": "array<array<double>>"}
     rows = placed.withColumn("kind", F.lit(1)).withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()})
-    order = Window.partitionBy("project_id").orderBy("chunk")
-
-    def fold(subset: DataFrame) -> DataFrame:
-        grouped = subset.repartition("project_id", "chunk").sortWithinPartitions("project_id", "chunk", "kind", "seq")
-        return durable(grouped.mapInPandas(_fold(min_cycles, cosine), _FOLDED))
-
-    def hand_over(states: DataFrame) -> DataFrame:
-        """Ring each chunk receives from the chunk before it."""
-        return states.select(
-            "project_id", "chunk",
-            F.lag("ring_tokens").over(order).alias("ring_tokens"),
-            F.lag("ring_vectors").over(order).alias("ring_vectors"),
-        ).filter("ring_tokens is not null")
-
-    folded = fold(rows)
-    decisions = folded.filter("event_id is not null").select("project_id", "chunk", "event_id", "reason")
-    states = folded.filter("event_id is null").select("project_id", "chunk", "ring_tokens", "ring_vectors")
-    used = states.select("project_id", "chunk", F.array().cast("array<array<string>>").alias("old_tokens"),
-                         F.array().cast("array<array<double>>").alias("old_vectors"))
-    while True:
-        given = hand_over(states)
-        changed = durable(
-            given.join(used, ["project_id", "chunk"])
-            .filter((F.col("ring_tokens") != F.col("old_tokens")) | (F.col("ring_vectors") != F.col("old_vectors")))
-            .select("project_id", "chunk", "ring_tokens", "ring_vectors")
-        )
-        if changed.isEmpty():
+    keys = ["project_id", "chunk"]
+
+    def fold(subset: DataFrame) -> tuple[DataFrame, DataFrame]:
+        grouped = subset.repartition(*keys).sortWithinPartitions(*keys, "kind", "seq")
+        folded = durable(grouped.mapInPandas(_fold(min_cycles, cosine), _FOLDED))
+        return folded.filter("event_id is not null").select(*keys, "event_id", "reason"), folded.filter("event_id is null").select(*keys, "tokens", "vectors", "cut")
+
+    def replaced(old: DataFrame, new: DataFrame, at: DataFrame) -> DataFrame:
+        return durable(old.join(at, keys, "left_anti").unionByName(new))
+
+    decisions, passed = fold(rows)
+    used = passed.select(*keys, *[F.array().cast(t).alias(c) for c, t in nothing.items()])
+    for turn in itertools.count(1):
+        given = passed.repartition("project_id").sortWithinPartitions(*keys).mapInPandas(_sweep, _RINGS)
+        given = given.withColumnsRenamed({"tokens": "new_tokens", "vectors": "new_vectors"})
+        changed = durable(given.join(used, keys).filter(
+            (F.col("new_tokens") != F.col("ring_tokens")) | (F.col("new_vectors") != F.col("ring_vectors"))
+        ).select(*keys, F.col("new_tokens").alias("ring_tokens"), F.col("new_vectors").alias("ring_vectors")))
+        count = changed.count()
+        LOG.info("gate round %d: %d chunks start from another ring", turn, count)
+        if not count:
             break
-        keys = ["project_id", "chunk"]
-        entry = changed.select(
-            *keys, F.lit(-1).cast("bigint").alias("seq"), F.lit(0).alias("kind"), "ring_tokens", "ring_vectors")
-        again = rows.join(changed.select(*keys), keys, "left_semi")
-        folded = fold(again.unionByName(entry, allowMissingColumns=True))
-        decisions = decisions.join(changed.select(*keys), keys, "left_anti").unionByName(
-            folded.filter("event_id is not null").select(*keys, "event_id", "reason"))
-        states = durable(states.join(changed.select(*keys), keys, "left_anti").unionByName(
-            folded.filter("event_id is null").select(*keys, "ring_tokens", "ring_vectors")))
-        used = durable(used.join(changed.select(*keys), keys, "left_anti").unionByName(
-            changed.withColumnsRenamed({"ring_tokens": "old_tokens", "ring_vectors": "old_vectors"})))
+        entry = changed.withColumns({"seq": F.lit(-1).cast("bigint"), "kind": F.lit(0)})
+        at = changed.select(*keys)
+        again = rows.join(at, keys, "left_semi")
+        newly, now_passed = fold(again.unionByName(entry, allowMissingColumns=True))
+        decisions, passed, used = replaced(decisions, newly, at), replaced(passed, now_passed, at), replaced(used, changed, at)
     return decisions.select(F.col("event_id").cast(id_type).alias("event_id"), F.col("reason").alias("gate_reason"))
 
 

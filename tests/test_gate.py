@@ -55,6 +55,20 @@ def test_chunked_fold_equals_sequential(spark):
     assert got == want and len(set(want.values())) == 5
 
 
+def test_few_rounds_where_hardly_anything_passes(spark, caplog):
+    """One project, every 40th event passes by itself, so a ring reaches over many chunks; resets lie between."""
+    rng = random.Random(6)
+    words = ["alpha", "bravo", "charlie", "delta", "echoes", "foxtrot"]
+    rows = [(f"e{i}", "hot", 10**15 + 977 * i, " ".join(rng.choices(words, k=3) + [f"unique{i}", f"other{i}", f"third{i}", f"fourth{i}", f"fifth{i}", f"sixth{i}"]),
+             i % 40 == 0, False, False, 0, i in (500, 501)) for i in range(1200)]
+    with caplog.at_level("INFO", logger="mnemospark.operators.gate"):
+        got = {r.event_id: r.gate_reason for r in gate.gate_decisions(spark.createDataFrame(rows, SCHEMA), min_cycles=4, chunks=30).collect()}
+    want = sequential(rows, 4)
+    assert got == want and 30 < sum(v != "below_threshold" for v in want.values()) < 400
+    rounds = sum("gate round" in r.message for r in caplog.records)
+    assert 2 <= rounds <= 7  # log2 of 30 chunks, and two
+
+
 def test_literal_decisions(spark):
     def row(i, text, confirmed=False, refs=0):
         return (f"e{i}", "p", i, text, confirmed, False, False, refs, False)
