@@ -53,26 +53,26 @@ RRF_K = 60
 # --- bounds that are part of the operators' meaning -------------------------
 WORKING_MEMORY_SIZE = 20
 NEIGHBOUR_K = 5
-LINK_CANDIDATES = 20
-RULES_PER_TYPE = 50
-EPISODES_PER_ENTITY = 50
-UPDATE_PEERS = 500
-GATED_CANDIDATES = 500
-LEXICAL_POOL = 500
-RECENT_SCAN = 1000
-PITFALL_POOL = 50
 PITFALL_TOP = 3
 EPISODE_TOP = 5
-SUMMARY_CHARS = 500
-INSIGHT_CHARS = 300
-SIGNATURE_CHARS = 200
-CORRECTION_CHARS = 200
 CONTEXT_TOKENS = 2048
 PATTERN_MIN_SIZE = 3
 BACKTEST_MIN = 0.7
 BACKTEST_NO_SIGNAL = 0.5
 INJECTION_OVERHEAD = 0.03
 
+# --- wording of stored reasons, rules and blocks (fixed values) --------------
+CONFLICT_REASON = "trust {} > {} — lower-trust rule retired"
+CONFLICT_SIDE = '"{}" ({}, trust {})'
+CONFLICT_PAIR = "{} vs {}"
+UPDATE_REASON = "newer memory (occurred {}) covers older memory (occurred {}): same-subject bigram similarity {}"
+UPDATE_FLIP = "; directive polarity flip {} -> {}"
+RULE_HEADING = "Pattern in {}/{}:"
+PITFALL_HEADING = "Entity: {}\nProject: {} | Language: {}\nSessions: {}"
+EPISODE_LANGUAGE = " (lang: {})"
+PITFALL_LINES = "- {}: {}\n  root cause: {} · 曾于 {} 发生 · confidence: {}"
+PITFALL_FIX = "  Fix: {}"
+
 # --- text patterns (syntax shared by Java and RE2) --------------------------
 PROHIBITIVE = [
     "不要", "禁止", "别用", "不要用", "别再用", "避免", "不应", "不能", "不可", "不该",

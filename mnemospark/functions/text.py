@@ -59,6 +59,15 @@ def token_overlap(a: Column, b: Column) -> Column:
     )
 
 
+def filled(template: str, *values: Column) -> Column:
+    """A fixed text with a column in place of each pair of braces; null where one is."""
+    pieces = template.split("{}")
+    out = [F.lit(pieces[0])]
+    for value, piece in zip(values, pieces[1:], strict=True):
+        out += [value, F.lit(piece)]
+    return F.concat(*out)
+
+
 def enough_tokens(matches: Column, size_a: Column, size_b: Column) -> Column:
     return (matches >= 3) | (matches * 10 > F.least(size_a, size_b) * 3)
 

@@ -34,8 +34,8 @@ def suppress(items: Column, percent: int = int(V.RESTATEMENT_DICE * 100), same_e
 
 def _episode_items(episodes: DataFrame) -> DataFrame:
     line = T.one_line(F.col("summary"))
-    text = F.concat(F.lit("- "), line, F.when(F.coalesce("language", F.lit("")) != "", F.concat(
-        F.lit(" (lang: "), F.col("language"), F.lit(")"))).otherwise(""))
+    text = F.concat(F.lit("- "), line, F.when(F.coalesce("language", F.lit("")) != "", T.filled(
+        V.EPISODE_LANGUAGE, F.col("language"))).otherwise(""))
     item = F.struct("rank", F.col("id").cast("string").alias("id"), line.alias("text"), text.alias("line"),
                     T.char_bigrams(line, True).alias("grams"))
     return episodes.select("question_id", item.alias("item")).groupBy("question_id").agg(
@@ -46,11 +46,9 @@ def _pitfall_items(pitfalls: DataFrame, title: str) -> DataFrame:
     line = T.one_line(F.col("signature"))
     when = F.coalesce(F.date_format("last_occurred_at", "yyyy-MM-dd"), F.lit("—"))
     fix = F.when(F.coalesce("fix_strategy", F.lit("")) != "",
-                 F.concat(F.lit("  Fix: "), T.one_line(F.col("fix_strategy")), F.lit("\n"))).otherwise("")
-    text = F.concat(
-        F.lit(f"\n\n[{title}]\n- "), F.col("entity_id"), F.lit(": "), line, F.lit("\n  root cause: "),
-        F.col("root_cause_category"), F.lit(" · 曾于 "), when, F.lit(" 发生 · confidence: "),
-        F.col("trust_level").cast("string"), F.lit("\n"), fix)
+                 T.filled(V.PITFALL_FIX + "\n", T.one_line(F.col("fix_strategy")))).otherwise("")
+    known = T.filled(V.PITFALL_LINES + "\n", F.col("entity_id"), line, F.col("root_cause_category"), when, F.col("trust_level").cast("string"))
+    text = F.concat(F.lit(f"\n\n[{title}]\n"), known, fix)
     item = F.struct("rank", F.col("id").cast("string").alias("id"), "entity_id", line.alias("text"),
                     text.alias("line"), T.char_bigrams(line, True).alias("grams"))
     return pitfalls.select("question_id", item.alias("item")).groupBy("question_id").agg(

@@ -31,7 +31,7 @@ def rule_text(scan: DataFrame, min_size: int = V.PATTERN_MIN_SIZE) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("scan_rank", "id", "summary")))
     clusters = scan.groupBy("project_id", "task_type").agg(ordered.alias("_m")).filter(F.size("_m") >= min_size)
     bullets = F.array_join(F.transform("_m", lambda m: F.concat(F.lit("- "), m["summary"])), "\n")
-    head = F.concat(F.lit("Pattern in "), F.col("project_id"), F.lit("/"), F.col("task_type"), F.lit(":\n"))
+    head = T.filled(V.RULE_HEADING + "\n", F.col("project_id"), F.col("task_type"))
     return clusters.select("project_id", "task_type", F.size("_m").alias("members"),
                            F.concat(head, bullets).alias("content"),
                            F.transform("_m", lambda m: m["id"].cast("string")).alias("source_episodic_ids"))
@@ -56,7 +56,7 @@ def _in_parts(sections: list[DataFrame], items: int) -> DataFrame:
 
 
 def _rule_sections(members: DataFrame, lead: str = "") -> list[DataFrame]:
-    head = F.concat(F.lit(lead + "Pattern in "), F.col("project_id"), F.lit("/"), F.col("task_type"), F.lit(":"))
+    head = T.filled(lead + V.RULE_HEADING, F.col("project_id"), F.col("task_type"))
     return [members.filter("_n = 0").withColumn("line", head), members.withColumn("line", F.concat(F.lit("- "), F.coalesce("summary", F.lit(""))))]
 
 
@@ -347,8 +347,7 @@ def pitfall_prompts(groups: DataFrame) -> DataFrame:
         F.lit("["), i.cast("string"), F.lit("] "), m["summary"], F.lit("\n")))
     n = F.size("_m").cast("string")
     prompt = F.concat(
-        F.lit("Entity: "), F.col("entity_group"), F.lit("\nProject: "), F.col("project_id"),
-        F.lit(" | Language: "), F.coalesce("language", F.lit("")), F.lit("\nSessions: "), n,
+        T.filled(V.PITFALL_HEADING, F.col("entity_group"), F.col("project_id"), F.coalesce("language", F.lit("")), n),
         F.lit("\n\n"), F.array_join(lines, ""), F.lit("\nName what went wrong repeatedly, why, and how to avoid it.\n"))
     return groups.groupBy("project_id", "entity_group").agg(
         ordered.alias("_m"), F.min_by("language", "position").alias("language")).select(

@@ -85,9 +85,8 @@ def resolve_by_trust(conflicts: DataFrame) -> DataFrame:
         "status": F.when(tie, F.lit("pending")).otherwise(F.lit("auto_resolved")),
         "winner": F.when(tie, F.lit(None)).when(a > b, F.col("rule_a")).otherwise(F.col("rule_b")),
         "loser": F.when(tie, F.lit(None)).when(a > b, F.col("rule_b")).otherwise(F.col("rule_a")),
-        "resolution_reason": F.when(~tie, F.concat(
-            F.lit("trust "), F.greatest(a, b).cast("string"), F.lit(" > "), F.least(a, b).cast("string"),
-            F.lit(" — lower-trust rule retired"))),
+        "resolution_reason": F.when(
+            ~tie, T.filled(V.CONFLICT_REASON, F.greatest(a, b).cast("string"), F.least(a, b).cast("string"))),
     })
 
 
@@ -96,10 +95,10 @@ def conflict_records(resolved: DataFrame, now: datetime | Column) -> DataFrame:
     at = now if isinstance(now, Column) else F.lit(now)
 
     def described(side: str) -> Column:
-        return F.concat(F.lit('"'), T.one_line(F.col(f"content_{side}")), F.lit('" ('), F.col(f"polarity_{side}"),
-                        F.lit(", trust "), F.col(f"trust_{side}").cast("string"), F.lit(")"))
+        return T.filled(V.CONFLICT_SIDE, T.one_line(F.col(f"content_{side}")), F.col(f"polarity_{side}"),
+                        F.col(f"trust_{side}").cast("string"))
 
-    found = F.concat(described("a"), F.lit(" vs "), described("b"))
+    found = T.filled(V.CONFLICT_PAIR, described("a"), described("b"))
     settled = F.col("status") == "auto_resolved"
     return resolved.select(
         T.stable_id("conflict", F.least("rule_a", "rule_b"), F.greatest("rule_a", "rule_b")).alias("id"),
@@ -214,12 +213,9 @@ def update_reason(pairs: DataFrame) -> Column:
     def stamp(c: str) -> Column:
         return F.date_format(F.col(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
-    text = F.concat(
-        F.lit("newer memory (occurred "), stamp("new_occurred_at"), F.lit(") covers older memory (occurred "),
-        stamp("old_occurred_at"), F.lit("): same-subject bigram similarity "), F.format_number("similarity", 2))
-    return F.when(F.col("polarity_flip"), F.concat(
-        text, F.lit("; directive polarity flip "), F.col("polarity_old"), F.lit(" -> "), F.col("polarity_new"))
-    ).otherwise(text)
+    text = T.filled(V.UPDATE_REASON, stamp("new_occurred_at"), stamp("old_occurred_at"), F.format_number("similarity", 2))
+    flip = F.concat(text, T.filled(V.UPDATE_FLIP, F.col("polarity_old"), F.col("polarity_new")))
+    return F.when(F.col("polarity_flip"), flip).otherwise(text)
 
 
 def apply_updates(pairs: DataFrame, carriers: DataFrame, now: datetime | Column, boost: float = V.CORRECTION_BOOST
