@@ -275,6 +275,14 @@ def pitfall_touch(v):
     return P.touch_pitfalls(v.pit(), touches).select("id", big("occurrence_count").alias("occurrence_count"), micros("last_occurred_at").alias("last_us"))
 
 
+@case("pitfall_fields", O.with_views("pit") + """
+SELECT p.id, round(p_size / 50.0::DOUBLE, 6) AS weight, CASE WHEN p_size > 25 THEN 'suppressed' ELSE 'injectable' END AS status, p.entity_id FROM v_pit p JOIN part ON p_partkey = p.id""")
+def pitfall_fields(v):
+    """Weight and status set from a table of changes; other columns stay."""
+    delta = v.table("part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 50).alias("weight"), F.when(F.col("p_size") > 25, "suppressed").otherwise("injectable").alias("status"))
+    return P.set_fields(v.pit(), delta, "weight", "status").select("id", r6("weight").alias("weight"), "status", "entity_id")
+
+
 @case("pitfall_relink", O.with_views("pit") + """
 SELECT p.id, 'api:' || p_name AS entity_id, CASE WHEN p_size > 25 THEN 'API' ELSE entity_type END AS entity_type FROM v_pit p JOIN part ON p_partkey = p.id""")
 def pitfall_relink(v):

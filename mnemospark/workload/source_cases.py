@@ -195,13 +195,52 @@ def delegations(v):
 _ACTIONS = "CASE event_type WHEN 'error' THEN 'remove' WHEN 'click' THEN 'replace' WHEN 'view' THEN 'replace' ELSE 'add' END"
 
 
+_VERSIONS = f"""
+WITH w AS (SELECT event_id AS seq, 'p' || (user_id % 10) AS project_id, 't' || (user_id % 7) AS target, {_ACTIONS} AS action, props FROM events),
+l AS (SELECT *, max(CASE WHEN action <> 'remove' THEN seq END) OVER (PARTITION BY project_id, target ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM w),
+n AS (SELECT *, sha256('mirror' || chr(1) || project_id || chr(1) || target || chr(1) || seq) AS new_id, sha256('mirror' || chr(1) || project_id || chr(1) || target || chr(1) || p) AS old_id FROM l)"""
+
+
 @case("cdc_replace", f"""
 WITH w AS (SELECT event_id AS seq, 'p' || (user_id % 10) AS project_id, 't' || (user_id % 7) AS target, {_ACTIONS} AS action FROM events),
 l AS (SELECT *, max(CASE WHEN action <> 'remove' THEN seq END) OVER (PARTITION BY project_id, target ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM w)
 SELECT seq, action, sha256('mirror' || chr(1) || project_id || chr(1) || target || chr(1) || p) AS previous_id, CAST(action <> 'add' AND p IS NOT NULL AS INTEGER) AS retires FROM l""")
 def cdc_replace(v):
+    return messages.mirror_versions(_mirrored(v)).select("seq", "action", "previous_id", F.col("retires").cast("int").alias("retires"))
+
+
+def _mirrored(v):
     kind = F.col("event_type")
-    writes = v.table("events").select(
+    return v.table("events").select(
         F.concat(F.lit("p"), F.col("user_id") % 10).alias("project_id"), F.concat(F.lit("t"), F.col("user_id") % 7).alias("target"), F.col("event_id").alias("seq"),
         F.when(kind == "error", "remove").when(kind.isin("click", "view"), "replace").otherwise("add").alias("action"), F.col("props").alias("content"))
-    return messages.mirror_versions(writes).select("seq", "action", "previous_id", F.col("retires").cast("int").alias("retires"))
+
+
+@case("mirror_changes", _VERSIONS + """
+SELECT 'episode' AS kind, new_id AS id, 'memory-write://' || target || '#' || substr(sha256(props), 1, 8) || '?action=' || action || '&source=user_explicit' AS other FROM n WHERE action <> 'remove'
+UNION ALL SELECT DISTINCT 'retired', old_id, NULL FROM n WHERE action <> 'add' AND p IS NOT NULL
+UNION ALL SELECT 'edge', old_id, new_id FROM n WHERE action = 'replace' AND p IS NOT NULL""")
+def mirror_changes(v):
+    """What a feed of mirrored writes changes: new episodes with their address, retired ids, edges from old to new."""
+    episodes, retired, edges = messages.mirror_changes(messages.mirror_versions(_mirrored(v)), NOW)
+    return episodes.select(F.lit("episode").alias("kind"), "id", F.col("full_snapshot_uri").alias("other")).unionByName(
+        retired.select(F.lit("retired").alias("kind"), "id", F.lit(None).cast("string").alias("other"))).unionByName(
+        edges.select(F.lit("edge").alias("kind"), F.col("from_id").alias("id"), F.col("to_id").alias("other")))
+
+
+@case("configured_json_source", """
+SELECT '/j/' || conv_id || '.jsonl' AS source_uri, 'talks' AS project_id, sha256(string_agg(text, chr(10) ORDER BY turn)) AS content_hash FROM conversations
+GROUP BY conv_id HAVING string_agg(text, chr(10) ORDER BY turn) <> ''""")
+def configured_json_source(v):
+    lines = F.array_sort(F.collect_list(F.struct("turn", F.to_json(F.struct("text")).alias("line"))))
+    rows = v.table("conversations").groupBy("conv_id").agg(lines.alias("l"))
+    text = F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\nno line"))
+    files = _files(rows, F.concat(F.lit("/j/"), "conv_id", F.lit(".jsonl")), text)
+    return S.configured(files, {"name": "talks", "format": "json_lines"}).select("source_uri", "project_id", "content_hash")
+
+
+@case("configured_raw_source", """
+SELECT '/r/' || doc_id || '.txt' AS source_uri, 'plain' AS project_id, sha256(text) AS content_hash FROM documents WHERE text <> ''""")
+def configured_raw_source(v):
+    files = _files(v.table("documents"), F.concat(F.lit("/r/"), "doc_id", F.lit(".txt")), F.col("text"))
+    return S.configured(files, {"name": "plain"}).select("source_uri", "project_id", "content_hash")

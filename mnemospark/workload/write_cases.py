@@ -1,10 +1,13 @@
 """Write path, conflicts, supersession, reconsolidation, feedback, snapshots."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from mnemospark import fixed_values as V
 from mnemospark.functions import text as T
 from mnemospark.operators import evolve, gate, retrieve as R, write
+from mnemospark.operators.ranking import shared_folder
 from mnemospark.plans import pipelines
 from mnemospark.sources import messages, snapshots
 from mnemospark.workload import oracle_views as O
@@ -347,6 +350,16 @@ def gate_stateful(v):
     return gate.gate_decisions(_gate_events(v))
 
 
+_KEPT_RING = "(CASE WHEN e.seq % 7 = 0 THEN []::VARCHAR[][] ELSE g.ring END)"
+_RESET_RING = _RING.replace("e.t, g.ring,", f"e.t, {_KEPT_RING} AS ring,").replace("list_filter(g.ring", f"list_filter({_KEPT_RING}")
+
+
+@case("gate_reset", O.with_views("turns", _EVENTS).rstrip() + f",\nfold AS ({_RESET_RING}\n)\nSELECT event_id, reason AS gate_reason FROM fold WHERE event_id IS NOT NULL")
+def gate_reset(v):
+    """The gate with a project's memory of passed summaries cleared before every seventh sequence number."""
+    return gate.gate_decisions(_gate_events(v).withColumn("reset", F.col("seq") % 7 == 0))
+
+
 @case("gate_counts", O.with_views("turns", _EVENTS).rstrip() + f",\nfold AS ({_RING}\n)\n" + """
 SELECT project_id, reason AS gate_reason, count(*) AS n, CAST(sum(CASE WHEN reason = 'below_threshold' THEN 0 ELSE 1 END) AS BIGINT) AS persisted FROM fold WHERE event_id IS NOT NULL GROUP BY 1, 2""")
 def gate_counts(v):
@@ -382,6 +395,20 @@ def upsert(v):
     return snapshots.upsert(base, delta, order=F.col("event_id")).withColumn("weight", r6("weight"))
 
 
+@case("snapshot_read", O.with_views("epi") + """
+SELECT CAST(1 AS BIGINT) AS version, id::VARCHAR AS id, project_id, round(weight, 6) AS weight, epoch_us(obsoleted_at) AS obsoleted_us FROM v_epi
+UNION ALL SELECT 2, id::VARCHAR, project_id, round(weight, 6), epoch_us(coalesce(obsoleted_at, CASE WHEN task_type = 'debug' THEN TIMESTAMP '2024-01-31 00:00:00' END)) FROM v_epi""")
+def snapshot_read(v):
+    """A first version written and read, a second one made from it in which rows are retired, and both read again."""
+    root = f"{shared_folder(v.spark)}/snapshots-{uuid.uuid4().hex}"
+    snapshots.write(v.epi(), root, "episodic")
+    base = snapshots.read(v.spark, root, "episodic")
+    snapshots.write(snapshots.obsolete(base, base.filter("task_type = 'debug'"), NOW), root, "episodic")
+    kept = [snapshots.read(v.spark, root, "episodic", version).withColumn("version", F.lit(n)) for n, version in ((1, 1), (2, None))]
+    return kept[0].unionByName(kept[1]).select(
+        big("version").alias("version"), "id", "project_id", r6("weight").alias("weight"), micros("obsoleted_at").alias("obsoleted_us"))
+
+
 @case("delete_project", O.with_views("epi") + "SELECT project_id, count(*) AS deleted FROM v_epi WHERE project_id IN ('p1', 'p4') GROUP BY 1")
 def delete_project(v):
     return snapshots.delete_project(v.epi(), ["p1", "p4"])[1]
