@@ -17,31 +17,34 @@ def module_complexity(files: DataFrame) -> DataFrame:
         F.avg(W.file_complexity(F.col("size_bytes"))).alias("complexity"), F.count("*").alias("files"))
 
 
-def contributions(matches: DataFrame, pitfalls: DataFrame, now: datetime | Column) -> DataFrame:
-    """Risk share of each injectable pitfall matched to a question (question_id, id)."""
+def contributions(matches: DataFrame, pitfalls: DataFrame, now: datetime | Column, key: str = "question_id") -> DataFrame:
+    """Risk share of each injectable pitfall matched to a question (question_id, id).
+
+    Where all questions of a project match alike, ``key`` may be the project: its pitfalls are then weighed once, not once for each question.
+    """
     at = now if isinstance(now, Column) else F.lit(now)
     usable = pitfalls.filter(W.injectable(F.col("status"), F.col("occurrence_count"), F.col("weight"))).select(
         "id", "was_user_corrected", "last_occurred_at",
         W.risk_contribution(F.col("occurrence_count"), F.col("trust_level"), F.col("last_occurred_at"), at)
         .alias("contribution"))
     recent = F.unix_micros(at) - F.unix_micros("last_occurred_at") < 7 * 86400000000
-    return matches.select("question_id", "id").join(usable, "id").withColumn(
+    return matches.select(key, "id").join(usable, "id").withColumn(
         "recent", F.coalesce(recent, F.lit(False)))
 
 
-def top_contributions(contributed: DataFrame, k: int = V.PITFALL_TOP) -> DataFrame:
-    return top_per_key(contributed, ["question_id"], [F.desc("contribution"), F.asc("id")], k)
+def top_contributions(contributed: DataFrame, k: int = V.PITFALL_TOP, key: str = "question_id") -> DataFrame:
+    return top_per_key(contributed, [key], [F.desc("contribution"), F.asc("id")], k)
 
 
-def risk_scores(requests: DataFrame, contributed: DataFrame, recalled: DataFrame | None = None) -> DataFrame:
-    """risk_score and sorted reason_codes per request (question_id, complexity, files).
+def risk_scores(requests: DataFrame, contributed: DataFrame, recalled: DataFrame | None = None, key: str = "question_id") -> DataFrame:
+    """risk_score and sorted reason_codes per request (question_id, complexity, files and the ``key`` of ``contributed``).
 
     ``recalled`` holds the question_ids that retrieved at least one episode.
     """
-    sums = contributed.groupBy("question_id").agg(
+    sums = contributed.groupBy(key).agg(
         F.sum("contribution").alias("_total"), F.bool_or("was_user_corrected").alias("_user"),
         F.bool_or("recent").alias("_recent"), F.max("contribution").alias("_top"))
-    joined = requests.join(sums, "question_id", "left")
+    joined = requests.join(sums, key, "left")
     if recalled is not None:
         joined = joined.join(recalled.select("question_id").distinct().withColumn("_recall", F.lit(True)),
                              "question_id", "left")

@@ -208,6 +208,21 @@ def test_risk(spark):
     assert got["hidden"].risk_score == got["weak"].risk_score == 0.0 and 0 < got["old"].risk_score < 0.3 and got["old"].reason_codes == []
 
 
+def test_risk_by_project_weighs_each_pitfall_once(spark):
+    pits = spark.range(40).select("id", F.concat(F.lit("p"), F.col("id") % 2).alias("project_id"), F.lit("confirmed").alias("status"), F.lit(1).alias("occurrence_count"),
+                                  F.lit(1.0).alias("weight"), F.lit(1).alias("trust_level"), (F.col("id") == 3).alias("was_user_corrected"), F.lit(NEW).alias("last_occurred_at"))
+    asked = spark.range(1000).select(F.col("id").alias("question_id"), F.concat(F.lit("p"), F.col("id") % 3).alias("project_id"), F.lit(0.5).alias("complexity"), F.lit(0).alias("files"))
+    shares = risk.contributions(pits.select("id", "project_id"), pits, NEW, key="project_id")
+    each = risk.contributions(asked.join(pits.select("id", "project_id"), "project_id"), pits, NEW)
+
+    def rounded(scores):
+        return {(r.question_id, round(r.risk_score, 9), tuple(r.reason_codes)) for r in scores.collect()}
+
+    assert shares.count() == 40 and rounded(risk.risk_scores(asked, shares, key="project_id")) == rounded(risk.risk_scores(asked, each))
+    top = asked.join(risk.top_contributions(shares, key="project_id"), "project_id")
+    assert {(r.question_id, r.id, r["rank"]) for r in top.collect()} == {(r.question_id, r.id, r["rank"]) for r in risk.top_contributions(each).collect()}
+
+
 def test_feedback_and_pitfall_state(spark):
     targets = spark.createDataFrame([("m", "episodic", 0.9, 1.0)], "id string, kind string, weight double, frequency double")
     fb = spark.createDataFrame([("m", 1, "corrected"), ("m", 2, "ignored"), ("m", 3, "bogus")], "memory_id string, seq long, action string")
