@@ -203,7 +203,8 @@ def _block_scores(left: pd.DataFrame, right: pd.DataFrame, lexical: bool = True)
             here = (at_r >= start) & (at_r < start + width)
             b[own_r[here], at_r[here] - start] = 1
             shared += a @ b.T
-        dice = np.round(2.0 * shared.astype(np.float64) / np.maximum(size_l[:, None] + size_r[None, :], 1), 9)
+        # Half up, as SQL rounds.
+        dice = np.floor(2.0 * shared.astype(np.float64) / np.maximum(size_l[:, None] + size_r[None, :], 1) * 1e9 + 0.5) / 1e9
         lex = np.where(dice > 0, dice, np.nan)
     after, before = (left[f"l_occurred_{w}"].to_numpy(np.float64, na_value=np.nan)[:, None] for w in ("after", "before"))
     at = right["r_at"].to_numpy(np.float64, na_value=np.nan)[None, :]

@@ -237,3 +237,13 @@ def test_mixed_search_branches(spark):
     q = ask(spark, "check connection limits").withColumns({"language": F.lit(""), "task_type": F.lit("debug"), "entity_id": F.lit("e")})
     got = retrieve.mixed_search(q, m, rules, pits, 10).orderBy("rank").collect()
     assert [(r.kind, r.relevance) for r in got] == [("pitfall", 0.6), ("episodic", 0.55), ("semantic", 0.5)]
+
+
+def test_overlaps_of_fusion_round_half_up():
+    import numpy as np
+    import pandas as pd
+
+    none = {"vector": [None], "occurred_after": [np.nan], "occurred_before": [np.nan], "at": [np.nan]}
+    left = pd.DataFrame({"l_grams": [np.arange(1024)], **{f"l_{k}": v for k, v in none.items()}})
+    right = pd.DataFrame({"r_grams": [np.arange(1023, 2047)], **{f"r_{k}": v for k, v in none.items()}})
+    assert R._block_scores(left, right)[1][0, 0] == 0.000976563  # 2 / 2048 = 0.0009765625
