@@ -246,4 +246,4 @@ def test_overlaps_of_fusion_round_half_up():
     none = {"vector": [None], "occurred_after": [np.nan], "occurred_before": [np.nan], "at": [np.nan]}
     left = pd.DataFrame({"l_grams": [np.arange(1024)], **{f"l_{k}": v for k, v in none.items()}})
     right = pd.DataFrame({"r_grams": [np.arange(1023, 2047)], **{f"r_{k}": v for k, v in none.items()}})
-    assert R._block_scores(left, right)[1][0, 0] == 0.000976563  # 2 / 2048 = 0.0009765625
+    assert retrieve._block_scores(left, right)[1][0, 0] == 0.000976563  # 2 / 2048 = 0.0009765625
