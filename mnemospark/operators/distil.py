@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mnemospark import fixed_values as V
 from mnemospark.functions import text as T, vectors as X
@@ -248,12 +248,14 @@ def cluster_entities(groups: DataFrame, vector: str | None = "context_vector",
 def representatives(clusters: DataFrame, keys: tuple[str, ...] = ("project_id", "entity_group", "cluster")) -> DataFrame:
     """Most representative member of each cluster: highest mean overlap with the rest.
 
-    ``clusters`` has keys, id, member, summary; ids are unique. Members meet in blocks, and each block sends one sum for
-    each of its rows.
+    ``clusters`` has keys, id, member, summary; ids are unique. Copies of a text have the same overlaps, so its first member speaks for them; these
+    meet in blocks, and each block sends one sum for each of its rows.
     """
-    rows = pinned(clusters.select(*keys, "id", "member", "summary"), grams=T.char_bigrams(F.col("summary")))
-    sums = linkage.overlap_sums(rows.select(*keys, "id", "grams"), list(keys)).withColumnRenamed("id", "_id")
-    scored = rows.drop("grams").join(sums, F.col("id") == F.col("_id"))
+    texts = clusters.groupBy(*keys, "summary").agg(
+        F.min_by("id", "member").alias("id"), F.min("member").alias("member"), F.count("*").alias("n"))
+    rows = linkage.durable(pinned(linkage.durable(texts), grams=T.char_bigrams(F.col("summary"))))
+    sums = linkage.overlap_sums(rows.select(*keys, "id", "n", "grams"), list(keys)).withColumnRenamed("id", "_id")
+    scored = rows.drop("grams", "n").join(sums, F.col("id") == F.col("_id"))
     best = scored.groupBy(*keys).agg(
         F.max_by(F.struct("id", "summary", "total", "others"), F.struct("total", -F.col("member"))).alias("b"))
     mean = F.col("b.total") / (F.greatest(F.col("b.others"), F.lit(1)) * 1000000.0)
@@ -303,30 +305,26 @@ def merge_pitfalls(pitfalls: DataFrame, leaders: DataFrame) -> DataFrame:
     counts add up, sources join, the longest fix (in bytes), the latest
     occurrence and any user correction survive.
     """
-    carried = [c for c in pitfalls.columns if c not in ("position",)]
-    members = pitfalls.join(leaders, "id").groupBy("leader_id").agg(
-        F.array_sort(F.collect_list(F.struct("position", "id", F.struct(*carried).alias("p")))).alias("_m"))
-
-    def fold(acc: Column, item: Column) -> Column:
-        other = item["p"]
-        swap = other["occurrence_count"] > acc["occurrence_count"]
-        base, rest = (lambda c: F.when(swap, other[c]).otherwise(acc[c])), (
-            lambda c: F.when(swap, acc[c]).otherwise(other[c]))
-        merged = {
-            "occurrence_count": acc["occurrence_count"] + other["occurrence_count"],
-            "source_episodic_ids": F.concat(base("source_episodic_ids"), rest("source_episodic_ids")),
-            "fix_strategy": F.when(F.octet_length(rest("fix_strategy")) > F.octet_length(base("fix_strategy")),
-                                   rest("fix_strategy")).otherwise(base("fix_strategy")),
-            "last_occurred_at": F.greatest(acc["last_occurred_at"], other["last_occurred_at"]),
-            "was_user_corrected": acc["was_user_corrected"] | other["was_user_corrected"],
-            "obsoleted_at": acc["obsoleted_at"],
-        }
-        return F.struct(*[merged.get(c, base(c)).alias(c) for c in carried])
-
-    first = F.element_at("_m", 1)["p"]
-    rest = F.slice("_m", 2, F.greatest(F.size("_m") - 1, F.lit(1)))
-    return members.select(F.size("_m").alias("merged_members"), F.when(F.size("_m") == 1, first).otherwise(
-        F.aggregate(rest, first, fold)).alias("p")).select("p.*", "merged_members")
+    carried = [c for c in pitfalls.columns if c != "position"]
+    order = Window.partitionBy("leader_id").orderBy("position", "id")
+    before = F.sum("occurrence_count").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = pitfalls.join(leaders, "id").withColumns({"_at": F.row_number().over(order), "_before": before})
+    # The first member is the base until another's count exceeds all before it; the sources of a new base stand before the others.
+    swap = (F.col("_at") == 1) | F.coalesce(F.col("occurrence_count") > F.col("_before"), F.lit(False))
+    turned = placed.withColumn("_swap", swap).withColumn("_place", F.when(F.col("_swap") & (F.col("_at") > 1), -F.col("_at")).otherwise(F.col("_at")))
+    sources = F.array_sort(F.collect_list(F.struct("_place", F.col("source_episodic_ids").alias("s"))))
+    longest = F.struct(F.coalesce(F.octet_length("fix_strategy"), F.lit(-1)), "_swap", F.when(F.col("_swap"), F.col("_at")).otherwise(-F.col("_at")))
+    merged = {
+        "occurrence_count": F.sum("occurrence_count").cast(pitfalls.schema["occurrence_count"].dataType),
+        "source_episodic_ids": F.flatten(F.transform(sources, lambda x: x["s"])),
+        "fix_strategy": F.max_by("fix_strategy", longest),
+        "last_occurred_at": F.max("last_occurred_at"),
+        "was_user_corrected": F.bool_or("was_user_corrected"),
+        "obsoleted_at": F.min_by("obsoleted_at", "_at"),
+    }
+    base = F.max_by(F.struct(*[c for c in carried if c not in merged]), F.when(F.col("_swap"), F.col("_at")))
+    groups = turned.groupBy("leader_id").agg(base.alias("b"), F.count("*").cast("int").alias("merged_members"), *[c.alias(n) for n, c in merged.items()])
+    return groups.select(*[F.col(c if c in merged else f"b.{c}") for c in carried], "merged_members")
 
 
 # --- prompt and response tables -------------------------------------------------

@@ -271,3 +271,11 @@ def test_consolidation_run(spark):
     run = done.run.first()
     assert (run.episodics_scanned, run.rules_persisted, run.pitfalls_persisted) == (4, done.rules.count(), 1) and run.candidate_rules_found >= 2
     assert done.edges.filter("edge_type = 'DERIVED_FROM'").count() == 4 * (run.rules_persisted + 1)
+
+
+def test_merged_pitfalls_keep_a_fix_the_base_lacks(spark):
+    rows = [(f"p{i}", "e", "p", i, "same", None, c, fix, NEW, False, [f"s{i}"], None) for i, (c, fix) in enumerate([(4, None), (1, "longer fix"), (9, None), (2, "fix")])]
+    df = spark.createDataFrame(rows, "id string, entity_id string, project_id string, position int, signature string, signature_embedding array<float>, "
+                               "occurrence_count int, fix_strategy string, last_occurred_at timestamp, was_user_corrected boolean, source_episodic_ids array<string>, obsoleted_at timestamp")
+    [r] = distil.merge_pitfalls(df, distil.dedup_pitfalls(df)).collect()
+    assert (r.id, r.occurrence_count, r.fix_strategy, r.source_episodic_ids, r.merged_members) == ("p2", 16, "longer fix", ["s2", "s0", "s1", "s3"], 4)
