@@ -54,3 +54,37 @@ def test_judge_equals_all_pairs(spark):
     want = evolve.covered_pairs(evolve.update_pairs(m, m, ids)).select(*columns).collect()
     got = write.covered_found(write.judge(m, m, block_rows=7)).select(*columns).collect()
     assert len(want) > 20 and sorted(want) == sorted(got)
+
+
+def _tasks(df, key):
+    return len({r.task for r in df.select(key, F.spark_partition_id().alias("task")).collect()})
+
+
+def test_counted_updates_are_those_of_the_pairs(spark):
+    rows = [(f"m{i:02d}", dict(summary=f"never restart node {i % 5} while {i % 7} runs", context_vector=[1.0, 0.1 * i], occurred_at=OLD + timedelta(days=i))) for i in range(30)]
+    m = episodic(spark, rows)
+    pairs = write.covered_found(write.judge(m, m)).collect()
+    want = {(i, c): sum((p.new_id if c else p.old_id) == i for p in pairs) for p in pairs for i, c in ((p.new_id, True), (p.old_id, False))}
+    counts = write.covered_counts(m, m, block_rows=7)
+    assert {(r.id, r.carrier): r.edges for r in counts.collect()} == want and len(want) > 10
+    changed = evolve.applied_counts(counts, m.withColumn("weight", F.lit(0.5))).collect()
+    assert {(r.id, r.weight) for r in changed} == {(i, 0.75 if c else 0.0) for i, c in want}
+
+
+def test_edges_of_one_entity_are_the_work_of_several_tasks(spark):
+    new = spark.range(60).select("id", F.lit("p").alias("project_id"), F.lit("debug").alias("task_type"), F.lit("e").alias("entity_group"))
+    pits = spark.range(5).select("id", F.lit("p").alias("project_id"), F.lit("e").alias("entity_id"), F.lit(None).cast("timestamp").alias("obsoleted_at"))
+    found = write.triggered_pitfalls(new, pits)
+    assert found.distinct().count() == found.count() == 300 and _tasks(found, "edge_type") > 1
+
+
+def test_updates_of_one_project_are_the_work_of_several_tasks(spark):
+    texts = F.concat(F.lit("the cache of node "), F.col("id").cast("string"), F.lit(" holds "), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 24))
+    memories = spark.range(80).select(
+        "id", F.lit("p").alias("project_id"), texts.alias("summary"), F.lit("").alias("entity_group"), F.timestamp_seconds("id").alias("occurred_at"),
+        F.timestamp_seconds("id").alias("created_at"), F.lit(None).cast("timestamp").alias("obsoleted_at"))
+    found = evolve.explicit_updates(memories.filter("id = 79"), memories)
+    text = {r.id: r.summary for r in memories.collect()}
+    grams = {i: {s[k:k + 2] for k in range(len(s) - 1)} for i, s in text.items()}
+    want = {i for i in range(79) if 8 * len(grams[i] & grams[79]) >= len(grams[i]) + len(grams[79]) > 20 / 9 * len(grams[i] & grams[79])}
+    assert {r.old_id for r in found.collect()} == want and len(want) > 20 and _tasks(found, "new_id") > 1
