@@ -141,11 +141,7 @@ def _bigrams(s: str) -> frozenset:
 
 
 def _cluster_group(cosine_floor: float, dice_floor: float):
-    """Average-link clustering of one entity's episodes.
-
-    Sums and pair counts are kept per cluster pair, so a merge adds two rows; only the row
-    that changed, and rows whose best partner it was, are looked at again.
-    """
+    """Average-link clustering of one entity's episodes."""
 
     def overlaps(grams: list[frozenset]) -> np.ndarray:
         code = {g: k for k, g in enumerate(sorted(set().union(*grams)))}
@@ -171,49 +167,8 @@ def _cluster_group(cosine_floor: float, dice_floor: float):
             at = np.array([i for i, v in enumerate(vectors) if v is not None and len(v) == size])
             x = np.stack([vectors[i] / np.linalg.norm(vectors[i]) for i in at])
             cos[np.ix_(at, at)] = x @ x.T
-        for m in (cos, seen, lex):
-            np.fill_diagonal(m, 0.0)
         floor = cosine_floor if there.any() else dice_floor
-        members: list[list[int]] = [[i] for i in range(n)]
-        sizes, alive = np.ones(n), np.ones(n, np.bool_)
-
-        def row(i: int) -> np.ndarray:
-            with np.errstate(invalid="ignore", divide="ignore"):
-                sims = np.round(np.where(seen[i] > 0, cos[i] / seen[i], lex[i] / (sizes[i] * sizes)), 9)
-            return np.where(alive, sims, -np.inf)
-
-        best, partner = np.full(n, -np.inf), np.zeros(n, np.int64)
-
-        def look(i: int) -> None:
-            later = row(i)[i + 1:]
-            if len(later):
-                k = int(np.argmax(later))
-                best[i], partner[i] = later[k], i + 1 + k
-            else:
-                best[i] = -np.inf
-
-        for i in range(n):
-            look(i)
-        while alive.sum() > 1:
-            i = int(np.argmax(best))
-            j = int(partner[i])
-            if not best[i] > 0 or best[i] < floor:
-                break
-            for m in (cos, seen, lex):
-                m[i, :] += m[j, :]
-                m[:, i] += m[:, j]
-            members[i] += members[j]
-            sizes[i] += sizes[j]
-            alive[j], best[j] = False, -np.inf
-            fresh = row(i)
-            for k in np.flatnonzero(alive[:i] & np.isin(partner[:i], (i, j))):
-                look(k)
-            better = np.flatnonzero(alive[:i] & ((fresh[:i] > best[:i]) | ((fresh[:i] == best[:i]) & (partner[:i] > i))))
-            best[better], partner[better] = fresh[better], i
-            for k in i + np.flatnonzero(alive[i:j] & (partner[i:j] == j)):
-                look(k)
-            look(i)
-        members = [m for m, kept in zip(members, alive) if kept]
+        members = linkage.merged_members(cos, seen, lex, np.ones(n), floor)
         label = {m: (ms[0], p) for ms in members for p, m in enumerate(ms)}
         out = group[["project_id", "entity_group", "id"]].copy()
         out["cluster"] = [group["position"].iloc[label[m][0]] for m in range(n)]
@@ -241,7 +196,7 @@ def cluster_entities(groups: DataFrame, vector: str | None = "context_vector",
     large = sized.filter(F.col("_rows") > task_rows).drop("_rows")
     if large.isEmpty():
         return small
-    rounds = linkage.cluster_rounds(large, cosine_floor, dice_floor)
+    rounds = linkage.cluster_rounds(large, cosine_floor, dice_floor, task_rows=task_rows)
     return small.unionByName(rounds.select(*keys, "id", F.col("root").alias("cluster"), "member"))
 
 
