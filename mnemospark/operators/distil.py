@@ -84,19 +84,21 @@ def backtest(rules: DataFrame, scan: DataFrame, embed: Callable[[Column], Column
     """Mean cosine between a rule's text and its members; 0.5 without any signal.
 
     ``embed`` turns a text column into vectors; members that carry a
-    context_vector keep it.
+    context_vector keep it. Copies of a text are embedded once and count as often as they occur.
     """
     ruled = pinned(rules.select("project_id", "task_type", "content"), _rv=embed(F.col("content"))).drop("content")
     stored = F.col("context_vector") if "context_vector" in scan.columns else F.lit(None).cast("array<float>")
-    members = scan.select("project_id", "task_type", "summary", stored.alias("_stored"))
-    members = pinned(members, _kv=embed(F.col("summary"))).select(
-        "project_id", "task_type", F.when(X.has_magnitude(F.col("_stored")), F.col("_stored")).otherwise(
-            F.col("_kv")).alias("_mv"))
+    known = F.coalesce(X.has_magnitude(stored), F.lit(False))
+    carried = scan.filter(known).select("project_id", "task_type", stored.alias("_mv"), F.lit(1).cast("bigint").alias("_n"))
+    copies = scan.filter(~known).groupBy("project_id", "task_type", "summary").agg(F.count("*").alias("_n"))
+    texts = pinned(copies, _mv=embed(F.col("summary"))).select("project_id", "task_type", "_mv", "_n")
     signal = X.has_magnitude(F.col("_rv")) & X.has_magnitude(F.col("_mv"))
+    members = carried.unionByName(texts) if "context_vector" in scan.columns else texts
     scored = ruled.join(members, ["project_id", "task_type"]).withColumn(
         "_c", F.when(signal, X.cosine(F.col("_rv"), F.col("_mv"))))
+    mean = F.sum(F.col("_c") * F.col("_n")) / F.sum(F.when(F.col("_c").isNotNull(), F.col("_n")))
     return scored.groupBy("project_id", "task_type").agg(
-        F.coalesce(F.avg("_c"), F.lit(V.BACKTEST_NO_SIGNAL)).alias("backtest_accuracy"))
+        F.coalesce(mean, F.lit(V.BACKTEST_NO_SIGNAL)).alias("backtest_accuracy"))
 
 
 def persist_rules(rules: DataFrame, run_id: str, now: Column, threshold: float = V.BACKTEST_MIN
@@ -188,7 +190,8 @@ def cluster_entities(groups: DataFrame, vector: str | None = "context_vector",
     """
     v = F.col(vector).cast("array<double>") if vector else F.lit(None).cast("array<double>")
     keys = ["project_id", "entity_group"]
-    slim = groups.select(*keys, F.col("id").cast("string").alias("id"), "position", "summary", v.alias("vector"))
+    # Read again by every count and by both ways below; the order of a group is sorted out once.
+    slim = linkage.durable(groups.select(*keys, F.col("id").cast("string").alias("id"), "position", "summary", v.alias("vector")))
     sizes = slim.groupBy(*keys).agg(F.count("*").alias("_rows"))
     sized = slim.join(sizes, keys)
     small = sized.filter(F.col("_rows") <= task_rows).drop("_rows").groupBy(*keys).applyInPandas(

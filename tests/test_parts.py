@@ -44,3 +44,23 @@ def test_parts_of_nothing(spark):
     assert distil.rule_parts(df).count() == distil.validation_parts(df).count() == 0
     lone = ranking.ordered_parts(spark.createDataFrame([("k", 5, None)], "k string, o long, t string"), ["k"], "o", "t")
     assert [(r.part, r["items"], r.content, r.offset) for r in lone.collect()] == [(0, 1, "", 0)]
+
+
+def test_backtest_embeds_a_copied_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(c):
+        @F.udf("array<float>")
+        def embed(text):
+            seen.add(1)
+            return None if text is None else [float(text.count("a")), float(text.count("b"))]
+
+        return embed(c)
+
+    rows = [("p", "debug", "aab", None)] * 30 + [("p", "debug", "b", [0.0, 0.0])] * 9 + [("p", "debug", "zzz", None), ("p", "debug", None, None)]
+    rows += [("p", "debug", "aab", [3.0, 4.0])] * 2 + [("q", "debug", "b", None)] * 3
+    scan = spark.createDataFrame(rows, "project_id string, task_type string, summary string, context_vector array<float>")
+    rules = spark.createDataFrame([("p", "debug", "a"), ("q", "debug", "zz")], "project_id string, task_type string, content string")
+    got = {r.project_id: r.backtest_accuracy for r in distil.backtest(rules, scan, counted).collect()}
+    assert abs(got["p"] - (30 * 2 / 5 ** 0.5 + 9 * 0.0 + 2 * 0.6) / 41) < 1e-9 and got["q"] == 0.5
+    assert seen.value <= 2 * (2 + 5)  # rules and different texts of a group; a task may be planned twice
