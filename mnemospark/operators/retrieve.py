@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mnemospark import fixed_values as V
 from mnemospark.functions import text as T, vectors as X, weights as W
+from mnemospark.operators import linkage
 from mnemospark.operators.ranking import block_pairs, durable, nearest_neighbours, overlap_topk, pinned, top_per_key
 
 
@@ -69,7 +70,7 @@ def cosine_topk(questions: DataFrame, memories: DataFrame, k: int, surprise_boos
         found = nearest_neighbours(
             questions, memories, k, on=on, left_id="question_id", left_vector="query_vector")
         return found.withColumnsRenamed({"left_id": "question_id", "right_id": "id"})
-    pairs = _heads(questions, memories, on, k, surprise_boost).withColumnRenamed("sem", "similarity")
+    pairs = _heads(questions, _scored_memories(memories, on), on, k, surprise_boost).withColumnRenamed("sem", "similarity")
     order = [F.desc("similarity"), F.desc("weight"), F.asc("id")]
     return top_per_key(pairs, ["question_id"], order, k).select("question_id", "id", "similarity", "rank")
 
@@ -156,17 +157,21 @@ def gate_stats(questions: DataFrame, memories: DataFrame, cap: int | None = None
 
 # --- rank fusion -------------------------------------------------------------
 
-def _scored_blocks(questions: DataFrame, memories: DataFrame, on: tuple[str, ...], *extra: str):
+def _scored_memories(memories: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    """Active memories with vector, bigram set and what ranking needs."""
+    return memories.filter(F.col("obsoleted_at").isNull()).select(
+        "id", *on, F.col("context_vector").alias("vector"), T.char_bigrams(F.col("summary"), fold_case=True).alias("grams"), "weight",
+        F.coalesce("surprise_score", F.lit(0.0)).alias("surprise_score"), F.unix_micros("occurred_at").alias("at"))
+
+
+def _scored_blocks(questions: DataFrame, scored: DataFrame, on: tuple[str, ...], *extra: str):
     """Question and memory blocks with vectors, bigram sets and what ranking needs; ``extra`` question columns ride along."""
     def at(name: str) -> Column:
         return (F.unix_micros(name) if name in questions.columns else F.lit(None).cast("bigint")).alias(name)
 
     q = questions.select("question_id", *on, F.col("query_vector").alias("vector"), T.char_bigrams(F.col("query"), fold_case=True).alias("grams"),
                          at("occurred_after"), at("occurred_before"), *extra)
-    m = memories.filter(F.col("obsoleted_at").isNull()).select(
-        "id", *on, F.col("context_vector").alias("vector"), T.char_bigrams(F.col("summary"), fold_case=True).alias("grams"), "weight",
-        F.coalesce("surprise_score", F.lit(0.0)).alias("surprise_score"), F.unix_micros("occurred_at").alias("at"))
-    return block_pairs(q, m, on, "question_id", "id", 256, 2048)
+    return block_pairs(q, scored, on, "question_id", "id", 256, 2048)
 
 
 def _block_scores(left: pd.DataFrame, right: pd.DataFrame, lexical: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -269,9 +274,9 @@ def _count_rows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out).astype({"channel": object})
 
 
-def _heads(questions: DataFrame, memories: DataFrame, on: tuple[str, ...], depth: int, boost: float | None = None) -> DataFrame:
-    left, right = _scored_blocks(questions, memories, on)
-    kinds = dict(questions.dtypes) | dict(memories.select("id").dtypes)
+def _heads(questions: DataFrame, scored: DataFrame, on: tuple[str, ...], depth: int, boost: float | None = None) -> DataFrame:
+    left, right = _scored_blocks(questions, scored, on)
+    kinds = dict(questions.dtypes) | dict(scored.select("id").dtypes)
     found = left.cogroup(right).applyInPandas(_head_rows(depth, boost), (
         f"question_id {kinds['question_id']}, id {kinds['id']}, weight double, surprise_score double, occurred_at bigint, sem double, lex double"))
     return found.withColumns({"occurred_at": F.timestamp_micros("occurred_at"), "sem": F.nanvl("sem", F.lit(None)), "lex": F.nanvl("lex", F.lit(None))})
@@ -296,11 +301,13 @@ def rrf_topk(questions: DataFrame, memories: DataFrame, k: int = V.EPISODE_TOP,
     into one task. Instead questions and memories meet in blocks, as matrix
     products, and each block sends on its first L rows of either channel (see
     :func:`fusion_depth`); the other-channel rank of those few candidates is found
-    by a second pass that sends on only how many pairs beat them.
+    by a second pass that sends on only how many pairs beat them. Both passes read the
+    memories' bigram sets from one table, so no text is looked at twice.
     Columns: question_id, id, score, rank, sem_rank, lex_rank, occurred_at.
     """
     depth = fusion_depth(k, rrf_k, surprise_boost)
-    pairs = durable(_heads(questions, memories, on, depth))
+    scored = linkage.durable(_scored_memories(memories, on))
+    pairs = durable(_heads(questions, scored, on, depth))
     tie = [F.desc("weight"), F.asc("id")]
     columns = ["question_id", "id", "weight", "surprise_score", "occurred_at", "sem", "lex"]
 
@@ -328,7 +335,7 @@ def rrf_topk(questions: DataFrame, memories: DataFrame, k: int = V.EPISODE_TOP,
     thresholds = durable(thresholds)
     parts = {f"{c}_{f}": F.col(f"{c}_keys.{f}") for c in ("sem", "lex") for f in "swi"}
     keyed = questions.join(thresholds.select("question_id", *[c.alias(n) for n, c in parts.items()]), "question_id")
-    left, right = _scored_blocks(keyed, memories, on, *parts)
+    left, right = _scored_blocks(keyed, scored, on, *parts)
     beaten = left.cogroup(right).applyInPandas(
         _count_rows, f"question_id {dict(questions.dtypes)['question_id']}, channel string, at int, n bigint",
     ).groupBy("question_id", "channel", "at").agg(F.sum("n").alias("n"))

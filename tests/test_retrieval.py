@@ -247,3 +247,17 @@ def test_overlaps_of_fusion_round_half_up():
     left = pd.DataFrame({"l_grams": [np.arange(1024)], **{f"l_{k}": v for k, v in none.items()}})
     right = pd.DataFrame({"r_grams": [np.arange(1023, 2047)], **{f"r_{k}": v for k, v in none.items()}})
     assert retrieve._block_scores(left, right)[1][0, 0] == 0.000976563  # 2 / 2048 = 0.0009765625
+
+
+def test_fusion_looks_at_each_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    rows = [memory(f"m{i:03d}", f"note {i} on pools", (1.0, i / 100, 0.0)) for i in range(120)]
+    m = spark.createDataFrame(rows, MEMORY).withColumn("summary", read("summary"))
+    best = retrieve.rrf_topk(ask(spark, "note 7 on pools"), m, 5, rrf_k=1).collect()
+    assert len(best) == 5 and seen.value == 120
