@@ -88,3 +88,50 @@ def test_updates_of_one_project_are_the_work_of_several_tasks(spark):
     grams = {i: {s[k:k + 2] for k in range(len(s) - 1)} for i, s in text.items()}
     want = {i for i in range(79) if 8 * len(grams[i] & grams[79]) >= len(grams[i]) + len(grams[79]) > 20 / 9 * len(grams[i] & grams[79])}
     assert {r.old_id for r in found.collect()} == want and len(want) > 20 and _tasks(found, "new_id") > 1
+
+
+def test_few_pairs_tell_what_all_pairs_tell(spark):
+    rows = [(f"m{i:02d}", dict(summary=f"never restart node {i % 5} while {i % 7} runs", context_vector=[1.0, 0.1 * (i % 9)], occurred_at=OLD + timedelta(days=i), weight=i % 3 / 2))
+            for i in range(40)]
+    m = episodic(spark, rows).withColumn("seq", F.substring("id", 2, 2).cast("long"))
+    for block_rows in (7, 8192):
+        found = write.judge(m, m, earlier="seq", block_rows=block_rows).collect()
+        few = write.judge(m, m, earlier="seq", block_rows=block_rows, settled=True).collect()
+        pairs, kept = ([(r.new_id, r.old_id) for r in rs if r.covers] for rs in (found, few))
+        assert set(kept) <= set(pairs) and len(kept) == len(set(kept)) and len(pairs) > 300
+        for side in (0, 1):
+            others = {p[side]: {q[1 - side] for q in pairs if q[side] == p[side]} for p in pairs}
+            assert {p[side] for p in kept} == set(others)
+            assert all(len({q[1 - side] for q in kept if q[side] == k}) >= min(2, len(v)) for k, v in others.items())
+        first = {o: min(n for n, x in pairs if x == o) for _, o in pairs}
+        assert {o: min(r.position for r in few if r.covers and r.old_id == o) for o in first} == {o: float(n[1:]) for o, n in first.items()}
+        best = [sorted(map(tuple, write.merge_found(spark.createDataFrame([(r.new_id, r.old_id, r.covers, r.cosine, r.weight) for r in rs],
+                "new_id string, old_id string, covers boolean, cosine double, weight double")).collect())) for rs in (found, few)]
+        assert best[0] == best[1]
+    # Before, every pair was stored.
+    assert len(kept) <= 5 * 40 < len(pairs)
+
+
+def test_a_batch_retires_and_boosts_what_its_edges_name(spark, monkeypatch):
+    said = []
+    monkeypatch.setattr(evolve, "update_effects", lambda pairs, *a, f=evolve.update_effects, **kw: said.append(pairs) or f(pairs, *a, **kw))
+    told = [dict(summary=f"The user {'now ' * (i % 4 == 3)}prefers {'PostgreSQL SQLite Oracle MariaDB'.split()[i % 4]} {i % 3}", entity_group=("", "", "e", "f")[i % 4], seq=i,
+                 context_vector=[1.0, (i % 6) / 3, (i % 5) / 4], occurred_at=OLD + timedelta(hours=i * 7 % 60)) for i in range(60)]
+    memories = episodic(spark, [(f"m{i}", dict(summary=f"The user prefers SQL {i}", context_vector=[1.0, i / 9, 0.0], entity_group="" if i % 2 else "e")) for i in range(9)])
+    pits = spark.createDataFrame([], NO_PITS)
+    result = pipelines.write_batch(write_event(spark, told), memories, pits, NEW)
+    edges = {(r.from_id, r.to_id) for r in result.edges.filter("edge_type = 'SUPERSEDED'").collect()}
+    few = {(r.new_id, r.old_id) for r in said[0].collect()}
+    assert few <= edges and all({p[k] for p in few} == {p[k] for p in edges} for k in (0, 1)) and len(edges) > 20
+    rows = {r.id: r.obsoleted_at for r in result.memories.collect()}
+    assert {i for i, at in rows.items() if at == NEW} == {b for _, b in edges}
+    assert sorted(r.weight for r in result.outcomes.collect()) == sorted(
+        r.weight for r in result.outcomes.drop("weight").join(result.memories.select(F.col("id").alias("memory_id"), "weight"), "memory_id").collect())
+
+
+def test_weights_of_a_batch_move_no_texts(spark):
+    memories = episodic(spark, [("m1", dict(summary="pool exhausted", context_vector=[1.0, 0.0, 0.0]))])
+    events = write_event(spark, [dict(summary="pool exhausted once more", context_vector=[0.99, 0.05, 0.0])])
+    result = pipelines.write_batch(events, memories, spark.createDataFrame([], NO_PITS), NEW)
+    plan = result.outcomes._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("max_by" in line for line in plan) and not [line for line in plan if "summary" in line and "LogicalRDD" not in line]
